@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import duplicates, leaks
+from quillspark.llm import balanced, duplicates, leaks, packing, sample_ledger
 from quillspark.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,69 @@ def p2_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return duplicates.collapse(table(spark, sf, "prompts"), table(spark, sf, "prompt_lines"))
 
 
+@query
+def p3_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return sample_ledger.stable_sample(table(spark, sf, "prompts"))
+
+
+SQL["p3_sample"] = sample_ledger.SQL_SAMPLE
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_report(spark, sf).filter("short").select("category")
+
+
+@query
+def p5_report(spark: SparkSession, sf: str) -> DataFrame:
+    return balanced.draw(table(spark, sf, "prompts"), table(spark, sf, "mix_targets"))[1]
+
+
+@query
+def p5_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return balanced.draw(table(spark, sf, "prompts"), table(spark, sf, "mix_targets"))[0]
+
+
+SQL["p5_found"] = """
+WITH p AS (
+  SELECT DISTINCT CASE WHEN regexp_full_match(replace(t, '-', ''), '[0-9a-f]{32}') THEN replace(t, '-', '') ELSE t END AS id, label
+  FROM (SELECT lower(regexp_replace(id, '[\\s{}]', '', 'g')) AS t, lower(regexp_replace(category, '[^\\p{L}\\p{N}\\p{M}\\p{S}]+', '', 'g')) AS label FROM prompts)
+  WHERE t IS NOT NULL AND t <> ''),
+s AS (SELECT count(DISTINCT id) // 5 AS s FROM p),
+c AS (SELECT label, count(DISTINCT id) AS n FROM p GROUP BY 1)
+SELECT m.category FROM mix_targets m CROSS JOIN s
+LEFT JOIN c ON c.label = lower(regexp_replace(m.category, '[^\\p{L}\\p{N}\\p{M}\\p{S}]+', '', 'g'))
+WHERE coalesce(c.n, 0) < greatest(m.min_rows, ceil(m.target_share * s.s))
+"""
+
+
+def _capacity(spark: SparkSession, sf: str) -> int:
+    return int(table(spark, sf, "pack_plan").filter("item_table = 'regen'").select("capacity").first()[0])
+
+
+@query
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_packed(spark, sf).filter("n_parts > 1 AND part = 0").select("resp_id", "turn")
+
+
+@query
+def p6_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "regen"), _capacity(spark, sf))
+
+
+@query
+def p6_summary(spark: SparkSession, sf: str) -> DataFrame:
+    capacity = _capacity(spark, sf)
+    return packing.summary(packing.pack(table(spark, sf, "regen"), capacity), capacity)
+
+
+SQL["p6_found"] = """
+SELECT resp_id, CAST(k - 1 AS INTEGER) AS turn
+FROM (SELECT resp_id, unnest(range(1, len(conversations) + 1)) AS k, conversations AS c FROM regen)
+WHERE length(c[k].content) > (SELECT capacity FROM pack_plan)
+"""
+
+
 @query
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaked(table(spark, sf, "documents"), table(spark, sf, "bench_turns"))
