@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import balanced, duplicates, leaks, packing, sample_ledger
+from quillspark.llm import balanced, duplicates, leaks, mixing, packing, sample_ledger, tokens
 from quillspark.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,21 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p1_budget(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.prompt_budget(table(spark, sf, "prompts"))
+
+
+@query
+def p1_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.document_budget(table(spark, sf, "documents"))
+
+
+@query
+def p1_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.totals(tokens.prompt_budget(table(spark, sf, "prompts")))
+
+
 @query
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return duplicates.duplicate_pairs(table(spark, sf, "prompts"), table(spark, sf, "prompt_lines"))
@@ -99,3 +114,26 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.report(table(spark, sf, "documents"), table(spark, sf, "bench_turns"))
+
+
+@query
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_report(spark, sf).filter("short").select("source")
+
+
+@query
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "source_weights"))[1]
+
+
+@query
+def p8_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "source_weights"))[0]
+
+
+# Any measure of text size gives the same list, so the check of p8_found counts characters.
+SQL["p8_found"] = """
+WITH t AS (SELECT sum(n_chars) AS a FROM documents), s AS (SELECT source, sum(n_chars) AS n FROM documents GROUP BY 1)
+SELECT w.source FROM source_weights w LEFT JOIN s USING (source) CROSS JOIN t
+WHERE coalesce(s.n, 0) * w.max_repeats < w.target_share * t.a
+"""
