@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import balanced, duplicates, leaks, mixing, packing, sample_ledger, tokens
+from quillspark.llm import balanced, duplicates, leaks, mixing, packing, residue, sample_ledger, tokens
 from quillspark.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p1_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.prompt_tokens(table(spark, sf, "prompts"))
+
+
 @query
 def p1_budget(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.prompt_budget(table(spark, sf, "prompts"))
@@ -137,3 +142,13 @@ WITH t AS (SELECT sum(n_chars) AS a FROM documents), s AS (SELECT source, sum(n_
 SELECT w.source FROM source_weights w LEFT JOIN s USING (source) CROSS JOIN t
 WHERE coalesce(s.n, 0) * w.max_repeats < w.target_share * t.a
 """
+
+
+@query
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.found(table(spark, sf, "documents"))
+
+
+@query
+def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.clean(table(spark, sf, "documents")).select("doc_id", "source", "lang", "n_chars")

@@ -212,9 +212,10 @@ def _slices(df: DataFrame) -> DataFrame:
 
 
 def prompt_tokens(prompts: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(source, lang, domain, n_tokens) of each prompts row: all contents together, each split on its own."""
+    """(line_no, source, lang, domain, n_tokens) of each prompts row: all contents together, each split on its own."""
     return with_tokens(
         prompts.select(
+            "line_no",
             F.trim("source").alias("source"),
             language(F.col("lang")).alias("lang"),
             runtime.canonical_label(F.col("category")).alias("domain"),
