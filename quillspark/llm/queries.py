@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import balanced, duplicates, leaks, mixing, packing, residue, sample_ledger, tokens
+from quillspark.llm import balanced, duplicates, leaks, mixing, packing, pairs, residue, sample_ledger, tokens
 from quillspark.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,17 @@ def p3_sample(spark: SparkSession, sf: str) -> DataFrame:
 SQL["p3_sample"] = sample_ledger.SQL_SAMPLE
 
 
+@query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.defects(table(spark, sf, "regen"))
+
+
+@query
+def p4_summary(spark: SparkSession, sf: str) -> DataFrame:
+    regen = table(spark, sf, "regen")
+    return pairs.summary(pairs.defects(regen), regen)
+
+
 @query
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_report(spark, sf).filter("short").select("category")
