@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,27 +59,44 @@ SMALL_WORDS = frozenset(
 )
 COVERED = frozenset(["", "en", "de", "fr", "es", "ru"])
 
-_FENCE = regex.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", regex.DOTALL)
-_MENTION = regex.compile(r"`[^`\n]*`|\bf?\"[^\"\n]*\"|[“„][^”“\n]*[”“]|\$[^$\n]*[\\^=_][^$\n]*\$|\\[a-zA-Z]+(?:\{[^\n]*?\}+)+")
-_CUT = regex.compile(r"\n+|(?<=[.!?])\s+|(?<=[。？！])")
-_PLAIN = regex.compile(r"[\p{Latin}\s.,!?'’-]+")
-
-
-def _kind(seg: str, bare: str, covered: bool) -> int:
-    """0 none, 1 an open slot, 2 filler, 3 error or notice, 4 words without any small word. bare is seg without code, formulas and quotations."""
-    for m in SLOT.finditer(bare):
-        if m.group(0).strip("<>/").lower() not in TAGS:
-            return 1
-    if FILLER.search(bare):
-        return 2
+#: Stems of which every wording above holds one, or begins with one; sentences without any need no closer look.
+STEMS = tuple(
+    """goes here|lorem ipsum|sample text|sample paragraph|sample copy|dummy text|dummy paragraph|dummy copy|placeholder text|placeholder paragraph|placeholder copy|replace before|replace this|replace me
+    |copy to follow|show the layout|text to come|hier folgt|hier kommt|hier steht|ici viendra|aquí irá|aquí va|здесь будет|此处
+    |err_|(4|(5|not found|forbidden|bad gateway|bad request|gateway time|unavailable|internal|too many|rate limit|access denied|session|login required|was removed
+    |not answer|request timed|request failed|not connect|your request|longer exists|something broke|something went|permission|página no|introuvable|nicht gefunden|страница|页面
+    |try again|réessayer|später erneut|inténtelo|попробуйте|请稍后|check the address|site owner|been logged|reference code|start page|script|cookie|client-side|js""".replace("\n    ", "").split("|")
+)
+STARTS = ("http", "error", "status", "fehler", "erreur", "code", "sorry", "oops", "gone", "4", "5")
+_SLOT_SIGNS = re.compile(r"[{<@«\[]|%[%(]|__")
+_LEAD = re.compile(r"\w")
+
+_FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.DOTALL)
+_MENTION = re.compile(r"`[^`\n]*`|\bf?\"[^\"\n]*\"|[“„][^”“\n]*[”“]|\$[^$\n]*[\\^=_][^$\n]*\$|\\[a-zA-Z]+(?:\{[^\n]*?\}+)+")
+_CUT = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[。？！])")
+_PLAIN = re.compile(r"[A-Za-zÀ-ɏ\s.,!?'’-]+")
+_ENDED = re.compile(r"[.!?。？！:]\W*$")
+_DIGITS, _GAPS = re.compile(r"\d+"), re.compile(r"\W+")
+
+
+def _kind(seg: str, bare: str, covered: bool, stems: list[str]) -> int:
+    """0 none, 1 an open slot, 2 filler, 3 error or notice, 4 words without any small word. bare is seg without code, formulas and quotations;
+    stems are those of STEMS that the text holds."""
+    if _SLOT_SIGNS.search(bare):
+        for m in SLOT.finditer(bare):
+            if m.group(0).strip("<>/").lower() not in TAGS:
+                return 1
     w = seg.split()
-    hits = len(ERROR.findall(bare)) + (len(SCRIPT.findall(bare)) if NEEDS.search(bare) else 0)
-    if hits and len(w) <= max(16, 12 * hits):
-        return 3
-    if covered and len(w) >= 4 and _PLAIN.fullmatch(seg):
-        low = [x.strip(".,!?'’-").lower() for x in w]
-        if not any(x in SMALL_WORDS for x in low):
-            return 4
+    low = bare.lower()
+    lead = _LEAD.search(low)
+    if any(x in low for x in stems) or lead and low.startswith(STARTS, lead.start()):
+        if FILLER.search(bare):
+            return 2
+        hits = len(ERROR.findall(bare)) + (len(SCRIPT.findall(bare)) if NEEDS.search(bare) else 0)
+        if hits and len(w) <= max(16, 12 * hits):
+            return 3
+    if covered and len(w) >= 4 and not any(x.strip(".,!?'’-").lower() in SMALL_WORDS for x in w) and _PLAIN.fullmatch(seg):
+        return 4
     return 0
 
 
@@ -90,18 +108,20 @@ def segments(text: str | None, lang: str | None = None) -> tuple[list[str], list
     if not text or not text.strip():
         return [], [], []
     covered = (lang or "").strip().lower()[:2] in COVERED
-    t = _FENCE.sub("\n", text)
+    t = _FENCE.sub("\n", text) if "```" in text or "~~~" in text else text
+    low = t.lower()
+    stems = [x for x in STEMS if x in low]
     first, _, more = t.strip().partition("\n")
-    title = first if more.strip() and not regex.search(r"[.!?。？！:]\W*$", first) else None
+    title = first if more.strip() and not _ENDED.search(first) else None
     keys, kinds, sizes = [], [], []
     for k, s in enumerate(x.strip() for x in _CUT.split(t.strip())):
         if not s:
             continue
         bare = _MENTION.sub(" ", s) if any(q in s for q in "`\"“„$\\") else s
-        kind = _kind(s, bare, covered)
+        kind = _kind(s, bare, covered, stems)
         if kind == 0 and kinds and kinds[-1] == 3 and s.count(" ") < 8 and NEEDS.search(bare):
             kind = 3
-        keys.append(regex.sub(r"\W+", " ", regex.sub(r"\d+", "0", SLOT.sub(" ∅ ", s).lower())).strip())
+        keys.append(_GAPS.sub(" ", _DIGITS.sub("0", (SLOT.sub(" ∅ ", s) if kind == 1 else s).lower())).strip())
         kinds.append(kind)
         sizes.append(0 if k == 0 and title is not None and s == title.strip() and kind == 0 else len(s))
     if not keys:
@@ -118,7 +138,7 @@ def _segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"]):
             keys, kinds, sizes = segments(text, lang)
             h = pd.util.hash_array(np.array(keys, dtype=object), categorize=False).view(np.int64).tolist() if keys else []
-            out.append((d, h, kinds, sizes, sum(len(m.group(0)) for m in _FENCE.finditer(text or ""))))
+            out.append((d, h, kinds, sizes, sum(len(m.group(0)) for m in _FENCE.finditer(text)) if text and ("```" in text or "~~~" in text) else 0))
         yield pd.DataFrame(out, columns=["doc_id", "keys", "kinds", "sizes", "code"])
 
 
