@@ -35,6 +35,11 @@ DECLINES = re.compile(
     r"|не могу помочь|отказаться отвечать|не могу ответить|无法回答|不能协助|无法提供|不能回答",
     re.IGNORECASE,
 )
+#: Stems of which every wording above holds one.
+_DECLINE_STEMS = tuple(
+    """can't|cant|cannot|not able|unable|declin|won't|will not|rather not|guidelines|allowed to|no answer|request i can|no reply|professional|right for me|no comment|something else
+    |should end|not going|to discuss|instructions|my rules|turned down|another subject|nicht|ablehnen|refuser|impossible|peux pas|no puedo|rechazar|permitido|не могу|отказ|无法|不能""".replace("\n    ", "").split("|")
+)
 #: Small words that one language has alone among those told apart.
 WORDS = {
     "en": "the of and to is that it for with are be this by was not an from we which what how when has have before but only after does you your i my at on",
@@ -52,9 +57,11 @@ ASKED = {
     "ru": r"russian|russisch\w*|russe|ruso|русск\w*|по-русски|俄[文语]",
     "zh": r"chinese|chinesisch\w*|chinois|chino|китайск\w*|по-китайски|中文|汉语",
 }
+_ASKED_STEMS = tuple("engl|angl|inglés|англи|英|germ|deutsch|allem|alem|немец|德|fren|franz|fran|французск|法|spani|espa|castell|испан|西班|russ|ruso|русск|俄|chin|китай|中文|汉语".split("|"))
 _ASKED = {k: re.compile(rf"\b(?:{v})" if k != "zh" else v, re.IGNORECASE) for k, v in ASKED.items()}
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _WORD = re.compile(r"[^\W\d_]+")
+_WORD_OR_NUMBER = re.compile(r"[^\W\d_]+|\d+")
 _CUT = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[。？！])")
 _MARK = re.compile(r"\s*(?:\d{1,2}[.)]|[-*•])\s*$")
 _LISTED = re.compile(r"(?:\d{1,2}[.)]|[-*•])\s")
@@ -85,11 +92,12 @@ def language_hits(text: str) -> Counter[str]:
 
 def allowed_languages(question: str) -> set[str]:
     """Languages of the question (all with a third of the strongest evidence) and those it asks for; empty: any."""
-    prose = _FENCE.sub(" ", question)
+    prose = _FENCE.sub(" ", question) if "```" in question else question
     hits = language_hits(prose)
     top = max(hits.values(), default=0)
     out = {k for k, n in hits.items() if top and n * 3 >= top}
-    if out:
+    low = prose.lower()
+    if out and any(x in low for x in _ASKED_STEMS):
         out |= {k for k, p in _ASKED.items() if p.search(prose)}
     return out
 
@@ -145,6 +153,21 @@ def _bucket(name: str) -> int:
     return b
 
 
+_words: dict[str, tuple[int, str | None]] = {}
+
+
+def _word(t: str) -> tuple[int, str | None]:
+    """Bucket of a word, all numbers sharing one, and the language that it is evidence of."""
+    if len(_words) > 500_000:
+        _words.clear()
+    c = t[0]
+    lang = _WORD_LANG.get(t) or ("ru" if "\u0400" <= c <= "\u04ff" else "zh" if "\u3400" <= c <= "\u9fff" else None)
+    got = (_bucket("w0"), None) if c.isdigit() else (_bucket("w" + t), lang)
+    if not c.isdigit() or len(t) < 5:
+        _words[t] = got
+    return got
+
+
 def _ending(s: str, toks: list[str], alone: bool, known: frozenset[str] | set[str]) -> list[str]:
     """Features of how the last clause ends."""
     mark = not alone and bool(_MARK.fullmatch(s))
@@ -167,10 +190,12 @@ def features(parts: list[str], question: str, allowed: set[str], known: frozense
     cq = canon(question)
     out, sizes, told = [], [], []
     n = len(parts)
-    lang_of, bucket = _WORD_LANG.get, _bucket
+    get, bucket = _words.get, _bucket
     short = sum(map(len, parts)) < SHORT
+    low = " ".join(parts).lower() if short else ""
     for i, s in enumerate(parts):
-        c = canon(s)
+        toks = _WORD_OR_NUMBER.findall(s.casefold())
+        c = "".join(toks)  # canon(s)
         size, lang = len(c), False
         f = [bucket("b"), bucket("first")] if i == 0 else [bucket("b")]
         echo = size >= 6 and bool(cq) and (c in cq or size > 12 and c[-max(12, size - INTRO) :] in cq or cq in c and size <= len(cq) + INTRO)
@@ -179,30 +204,23 @@ def features(parts: list[str], question: str, allowed: set[str], known: frozense
             if i == n - 1:
                 f += [bucket(x) for x in (("last", "stop") if len(s) > 5 and s.endswith("```") else ("last", "nostop", "e_open"))]
         else:
-            toks = _TOKENS.findall(s.lower())
             hits: dict[str, int] = {}
             for t in toks:
-                if t[0] < "0" or len(t) == 1 and not t.isalnum():
-                    continue
-                if t[0] <= "9":
-                    f.append(bucket("w0"))
-                    continue
-                f.append(bucket("w" + t))
-                if k := lang_of(t):
-                    hits[k] = hits.get(k, 0) + 1
-                elif t[0] >= "\u0400":
-                    if t[0] <= "\u04ff":
-                        hits["ru"] = hits.get("ru", 0) + 1
-                    elif "\u3400" <= t[0] <= "\u9fff":
-                        hits["zh"] = hits.get("zh", 0) + len(t)
+                b, k = get(t) or _word(t)
+                f.append(b)
+                if k is not None:
+                    if k == "zh":
+                        hits[k] = hits.get(k, 0) + len(t)
                         size += 2 * len(t)
+                    else:
+                        hits[k] = hits.get(k, 0) + 1
             if hits and not echo:
                 best = max(hits, key=hits.__getitem__)
                 lang = True
                 f.append(bucket("far" if allowed and best not in allowed and 2 * sum(hits.get(k, 0) for k in allowed) < hits[best] else "near"))
             if i == n - 1:
-                f += [bucket(x) for x in _ending(s, toks, n == 1, known)]
-        if short and DECLINES.search(s):
+                f += [bucket(x) for x in _ending(s, _TOKENS.findall(s.lower()), n == 1, known)]
+        if short and any(x in low for x in _DECLINE_STEMS) and DECLINES.search(s):
             f.append(bucket("declines"))
         f.append(bucket("echo" if echo else "new"))
         out.append(f)
@@ -445,8 +463,11 @@ def judge(question: str, answer: str, labels: np.ndarray, sizes: list[int], told
 def train(rows: DataFrame, sample: int = SAMPLE) -> Field:
     """Fits the field on sample rows of (resp_id, conversations, finish_reason), those of lowest hash."""
     cut = F.transform("conversations", lambda m: F.struct(m["role"].alias("role"), F.substring(m["content"], 1, SAMPLE_CHARS).alias("content")))
-    picked = rows.filter("resp_id IS NOT NULL AND conversations IS NOT NULL").select("resp_id", "finish_reason", cut.alias("c"), F.xxhash64("resp_id").alias("h"))
-    got = picked.orderBy("h", "resp_id").limit(sample).collect()
+    place = F.pmod(F.xxhash64("resp_id"), F.lit(2**40))
+    known = rows.filter("resp_id IS NOT NULL AND conversations IS NOT NULL").withColumn("h", place)
+    # all rows' places are uniform: those below this bound are a little more than the sample, so little more is sent
+    bound = int(2**40 * min(1.0, 1.2 * (sample + 50) / max(1, known.count())))
+    got = known.filter(F.col("h") < bound).select("resp_id", "finish_reason", cut.alias("c"), "h").orderBy("h", "resp_id").limit(sample).collect()
     made = []
     for r in got:
         q, a = question_and_answer([m.asDict() if m is not None else None for m in r["c"]])
