@@ -1 +1,175 @@
-"""Queries."""
+"""Queries of lengths, latencies, gates, counters and histograms."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions import chat, text
+from quillspark.operators import stats
+from quillspark.plans.chat_queries import _R, convs, s_blank
+from quillspark.plans.registry import query
+from quillspark.runtime import table
+
+_PCT = "list_sort(list(n_chars))[CAST(least(floor({p} * count(n_chars)), count(n_chars) - 1) AS BIGINT) + 1]"
+
+
+@query(f"SELECT source, {_PCT.format(p=0.5)} AS p50, {_PCT.format(p=0.95)} AS p95 FROM documents WHERE n_chars IS NOT NULL GROUP BY 1")
+def pct_nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.index_percentiles(table(spark, sf, "documents"), ["source"], "n_chars", {"p50": 0.5, "p95": 0.95})
+
+
+@query(f"""SELECT doc_domain, count(n_chars) AS n, CAST(sum(n_chars) AS BIGINT) AS total, min(n_chars) AS least, max(n_chars) AS most, {_PCT.format(p=0.5)} AS p50, {_PCT.format(p=0.95)} AS p95, {_PCT.format(p=0.99)} AS p99
+ FROM documents WHERE doc_domain IS NOT NULL GROUP BY 1""")
+def pct_index_upper(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.length_stats(table(spark, sf, "documents").filter("doc_domain IS NOT NULL"), ["doc_domain"], "n_chars")
+
+
+@query("SELECT event_type AS category, count(value) AS num_runs, round(quantile_cont(value, 0.5), 2) AS median FROM events WHERE value IS NOT NULL GROUP BY 1")
+def median_interp(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.medians(table(spark, sf, "events").select(F.col("event_type").alias("category"), "value"), "category", "value")
+
+
+@query("SELECT round(avg(m), 2) AS average FROM (SELECT round(quantile_cont(value, 0.5), 2) AS m FROM events GROUP BY event_type)")
+def mean_of_medians(spark: SparkSession, sf: str) -> DataFrame:
+    m = stats.medians(table(spark, sf, "events"), "event_type", "value")
+    return m.agg(F.round(F.avg("median"), 2).alias("average"))
+
+
+@query("""WITH b AS (SELECT 'click' AS category, 30.0::DOUBLE AS baseline_ms UNION ALL SELECT 'view', 20.0 UNION ALL SELECT 'absent', 9.0), m AS (SELECT event_type AS category, round(quantile_cont(value, 0.5), 2) AS median FROM events GROUP BY 1)
+SELECT category, baseline_ms, median, baseline_ms / nullif(median, 0) AS speedup FROM b LEFT JOIN m USING (category)""")
+def latency_speedup(spark: SparkSession, sf: str) -> DataFrame:
+    base = spark.createDataFrame([("click", 30.0), ("view", 20.0), ("absent", 9.0)], "category STRING, baseline_ms DOUBLE")
+    m = stats.medians(table(spark, sf, "events").select(F.col("event_type").alias("category"), "value"), "category", "value")
+    return stats.speedup(m.select("category", "median"), base, "category")
+
+
+@query("SELECT round(avg(m), 4) AS macro_mean FROM (SELECT source, avg(n_chars) AS m FROM documents WHERE source IS NOT NULL GROUP BY 1)")
+def macro_subtask_mean(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.mean_of_means(table(spark, sf, "documents").filter("source IS NOT NULL"), "source", "n_chars").select(F.round("macro_mean", 4).alias("macro_mean"))
+
+
+_GATE = """WITH s AS (SELECT source AS task, round(avg(n_chars), 4) AS score FROM documents GROUP BY 1), t AS (SELECT source AS task, target_share * 8000 AS threshold FROM source_weights)
+SELECT t.task, s.score, round(t.threshold, 4) AS threshold, coalesce(s.score >= t.threshold, false) AS passed FROM t LEFT JOIN s USING (task)"""
+
+
+def _gated(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "documents").groupBy(F.col("source").alias("task")).agg(F.round(F.avg("n_chars"), 4).alias("score"))
+    t = table(spark, sf, "source_weights").select(F.col("source").alias("task"), (F.col("target_share") * 8000).alias("threshold"))
+    return stats.gates(s, t).withColumn("threshold", F.round("threshold", 4))
+
+
+@query(_GATE)
+def gate_pass(spark: SparkSession, sf: str) -> DataFrame:
+    return _gated(spark, sf)
+
+
+@query(f"SELECT coalesce(bool_and(passed), true) AS all_passed, count(*) AS n_tasks FROM ({_GATE})")
+def gate_all(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.all_passed(_gated(spark, sf))
+
+
+@query("""WITH h AS (SELECT len(conversations) AS v FROM regen), n AS (SELECT count(*) AS n FROM h) SELECT b.b, coalesce(c.c, 0) / n.n AS share FROM (SELECT unnest(range(0, 9)) AS b) b CROSS JOIN n LEFT JOIN (SELECT v, count(*) AS c FROM h GROUP BY 1) c ON c.v = b.b""")
+def accept_hist_micro(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.histogram(table(spark, sf, "regen").select(F.size("conversations").cast("long").alias("v")), "v", 8)
+
+
+@query("SELECT round(avg(m), 6) AS macro_mean FROM (SELECT gen_model, avg(len(conversations)) AS m FROM regen GROUP BY 1)")
+def mean_accept_macro(spark: SparkSession, sf: str) -> DataFrame:
+    r = table(spark, sf, "regen").select("gen_model", F.size("conversations").alias("v"))
+    return stats.mean_of_means(r, "gen_model", "v").select(F.round("macro_mean", 6).alias("macro_mean"))
+
+
+@query("""WITH e AS (SELECT CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'before' ELSE 'after' END AS snapshot, user_id AS drafts, user_id * 2 AS accepted FROM events)
+SELECT CAST(d AS BIGINT) AS drafts, CAST(a AS BIGINT) AS accepted, CASE WHEN d > 0 THEN round((a + d) / d, 6) END AS mal FROM (SELECT sum(CASE WHEN snapshot = 'after' THEN drafts ELSE -drafts END) AS d, sum(CASE WHEN snapshot = 'after' THEN accepted ELSE -accepted END) AS a FROM e)""")
+def mal_from_counters(spark: SparkSession, sf: str) -> DataFrame:
+    snap = F.when(F.col("ts") < F.lit("2024-01-15").cast("timestamp"), "before").otherwise("after")
+    e = table(spark, sf, "events").select(snap.alias("snapshot"), F.col("user_id").alias("drafts"), (F.col("user_id") * 2).alias("accepted"))
+    return stats.acceptance_from_counters(e).withColumn("mal", F.round("mal", 6))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean_tpot, round(1 / avg(value), 6) AS throughput, round(sum(user_id) / greatest(sum(value), 1e-6), 4) AS tokens_per_second FROM events GROUP BY 1")
+def throughput(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").groupBy("event_type").agg(
+        F.round(F.avg("value"), 6).alias("mean_tpot"), F.round(1 / F.avg("value"), 6).alias("throughput"), F.round(F.sum("user_id") / F.greatest(F.sum("value"), F.lit(1e-6)), 4).alias("tokens_per_second")
+    )
+
+
+@query("SELECT event_type, round(sum(value * (user_id % 2)) / greatest(sum(user_id % 2), 1e-8), 6) AS masked, round(sum(value * user_id) / (sum(user_id) + 1e-6), 6) AS weighted FROM events GROUP BY 1")
+def masked_mean(spark: SparkSession, sf: str) -> DataFrame:
+    v, m = F.col("value"), F.col("user_id") % 2
+    return table(spark, sf, "events").groupBy("event_type").agg(F.round(stats.masked_mean(v, m), 6).alias("masked"), F.round(F.sum(v * F.col("user_id")) / (F.sum("user_id") + 1e-6), 6).alias("weighted"))
+
+
+@query("SELECT event_id, user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS delta FROM events")
+def counter_delta(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.counter_delta(table(spark, sf, "events").select("event_id", "user_id"), "user_id", ["event_id"], "event_id")
+
+
+@query(f"""WITH r AS (SELECT finish_reason = 'length' AS cut, c[len(c)].role AS role, c[len(c)].content AS content FROM ({_R.replace('SELECT resp_id', 'SELECT finish_reason')})),
+s AS (SELECT coalesce(cut, false) AS cut, coalesce(role, '') <> 'assistant' OR {s_blank('content')} AS empty FROM r)
+SELECT count(*) AS seen, count(*) FILTER (NOT cut AND NOT empty) AS done, count(*) FILTER (cut) AS truncated, count(*) FILTER (NOT cut AND empty) AS empty FROM s""")
+def pair_count_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.generator_counters(table(spark, sf, "regen"))
+
+
+@query("SELECT resp_id FROM regen WHERE finish_reason IS DISTINCT FROM 'length'")
+def filter_truncated(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "regen").filter(~F.col("finish_reason").eqNullSafe("length")).select("resp_id")
+
+
+@query(f"SELECT resp_id FROM ({_R}) WHERE len(c) > 0 AND c[len(c)].role = 'assistant' AND NOT {s_blank('c[len(c)].content')}")
+def filter_empty(spark: SparkSession, sf: str) -> DataFrame:
+    last = F.get("c", F.size("c") - 1)
+    return convs(spark, sf, "regen", "resp_id").filter((F.size("c") > 0) & (last["role"] == "assistant") & ~text.is_blank(last["content"])).select("resp_id")
+
+
+_LEN = "len(regexp_extract_all(coalesce(text, ''), '\\S+'))"
+
+
+@query(f"SELECT doc_id, CAST({_LEN} AS INTEGER) AS n_tokens FROM documents WHERE {_LEN} < 100")
+def filter_prompt_len(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.size(text.words(F.col("text"))).alias("n_tokens")).filter("n_tokens < 100")
+
+
+@query(f"SELECT doc_id, CAST({_LEN} AS INTEGER) AS n_tokens FROM documents WHERE {_LEN} >= 300")
+def filter_min_context(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.size(text.words(F.col("text"))).alias("n_tokens")).filter("n_tokens >= 300")
+
+
+@query("SELECT CASE WHEN value < 20 THEN 'ok' WHEN CAST(value AS INTEGER) % 100 = 29 THEN 'transient' WHEN value < 60 THEN 'permanent' ELSE 'transient' END AS kind, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
+def http_permanent_vs_transient(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("value")
+    kind = F.when(v < 20, "ok").when(F.round(v).cast("int") % 100 == 29, "transient").when(v < 60, "permanent").otherwise("transient")
+    return table(spark, sf, "events").filter("value IS NOT NULL").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT doc_id, md5(array_to_string(regexp_extract_all(coalesce(text, ''), '\\S+')[1:64], ' ')) AS short, md5(array_to_string(regexp_extract_all(coalesce(text, ''), '\\S+')[1:256], ' ')) AS medium FROM documents""")
+def longbench_latency_pool(spark: SparkSession, sf: str) -> DataFrame:
+    w = table(spark, sf, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
+    return w.select("doc_id", F.md5(F.array_join(F.slice("w", 1, 64), " ")).alias("short"), F.md5(F.array_join(F.slice("w", 1, 256), " ")).alias("medium"))
+
+
+@query("SELECT len(conversations) AS turns, repeat('filler ', CAST(greatest(1, len(conversations) // 2) AS INTEGER)) AS filler, count(*) AS n FROM regen GROUP BY 1, 2")
+def filler_repeat(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.size("conversations")
+    return table(spark, sf, "regen").groupBy(n.cast("long").alias("turns"), F.repeat(F.lit("filler "), F.greatest(F.lit(1), F.floor(n / 2)).cast("int")).alias("filler")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH t AS (SELECT category, count(*) AS n FROM prompts GROUP BY 1) SELECT category, n, n / sum(n) OVER () AS share FROM t""")
+def category_share(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "prompts").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return t.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+_C = chat  # the calibration set below uses the last turns of each answer
+
+
+@query(f"""WITH p AS ({_R}), o AS (SELECT resp_id, list_last(list_transform(list_filter(c, lambda m: m.role = 'user'), lambda m: m.content)) AS u, list_last(list_transform(list_filter(c, lambda m: m.role = 'assistant'), lambda m: m.content)) AS a FROM p),
+k AS (SELECT resp_id, md5(regexp_replace(lower(u), '\\s+', ' ', 'g')) AS h, len(regexp_extract_all(u || ' ' || a, '\\S+')) AS n FROM o WHERE NOT {s_blank('u')} AND NOT {s_blank('a')}),
+d AS (SELECT h, min(resp_id) AS resp_id FROM k WHERE n <= 400 GROUP BY 1)
+SELECT d.resp_id, CAST(k.n AS INTEGER) AS n_tokens FROM d JOIN k USING (resp_id)""")
+def build_calib(spark: SparkSession, sf: str) -> DataFrame:
+    o = convs(spark, sf, "regen", "resp_id").select("resp_id", _C.last_turns(F.col("c")).alias("o")).filter("o IS NOT NULL")
+    k = o.select("resp_id", F.md5(F.regexp_replace(F.lower("o.user"), r"[\t\n\f\r ]+", " ")).alias("h"), F.size(text.words(F.concat_ws(" ", "o.user", "o.assistant"))).alias("n_tokens"))
+    return k.filter("n_tokens <= 400").groupBy("h").agg(F.min(F.struct("resp_id", "n_tokens")).alias("s")).select("s.resp_id", "s.n_tokens")
