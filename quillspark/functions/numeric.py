@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,74 +28,92 @@ def absmax(a: Column) -> Column:
     return F.array_max(F.transform(a, F.abs))
 
 
-def bf16(x: Column) -> Column:
+def _rows(f: Callable[..., list[np.ndarray | None]], kind: str) -> Callable[..., Column]:
+    """A function of numpy rows as a pandas UDF: lambdas over arrays are interpreted and would compute what a whole
+    row shares once for each element. A null row gives null."""
+    def one(*rows: object) -> np.ndarray | None:
+        return None if any(x is None for x in rows) else f(*(np.asarray(x) for x in rows))
+
+    @F.pandas_udf(f"array<{kind}>")
+    def udf1(a: pd.Series) -> pd.Series:
+        return pd.Series([one(x) for x in a], dtype=object)
+
+    @F.pandas_udf(f"array<{kind}>")
+    def udf2(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=object)
+
+    return lambda *c: (udf1 if len(c) == 1 else udf2)(*c)
+
+
+def _np_scales(v: np.ndarray, size: int, floor: float) -> np.ndarray:
+    if not len(v):
+        return np.empty(0)
+    return np.maximum(np.maximum.reduceat(np.abs(v), np.arange(0, len(v), size)) / 7, floor)
+
+
+def _np_bf16(x: np.ndarray) -> np.ndarray:
     """x rounded to the nearest value of an 8-bit mantissa, halves to even."""
-    e = F.floor(F.log2(F.abs(x)))
-    unit = F.pow(F.lit(2.0), e - 7)
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x / unit) * unit)
+    out = np.zeros_like(x, dtype=float)
+    on = x != 0
+    unit = 2.0 ** (np.floor(np.log2(np.abs(x[on]))) - 7)
+    out[on] = np.rint(x[on] / unit) * unit
+    return out
 
 
 def int4_codes(a: Column, size: int, floor: float = 1e-30) -> Column:
-    """Codes -8..7 of each group by absmax / 7, halves to even."""
-    def group(g: Column) -> Column:
-        s = F.greatest(absmax(g) / 7, F.lit(floor))
-        return F.transform(g, lambda x: F.greatest(F.least(F.rint(x / s), F.lit(7.0)), F.lit(-8.0)).cast("int"))
-
-    return F.flatten(F.transform(groups(a, size), group))
+    """Codes -8..7 of each group by absmax / 7, halves to even; the last group may be shorter."""
+    return _rows(lambda v: np.clip(np.rint(v / np.repeat(_np_scales(v, size, floor), size)[: len(v)]), -8, 7).astype(np.int32), "int")(a)
 
 
 def int4_scales(a: Column, size: int, floor: float = 1e-30) -> Column:
-    return F.transform(groups(a, size), lambda g: F.greatest(absmax(g) / 7, F.lit(floor)))
+    return _rows(lambda v: _np_scales(v, size, floor), "double")(a)
 
 
 def dequantize(codes: Column, scales: Column, size: int) -> Column:
-    """Codes times their group's scale, the scale rounded as it is stored."""
-    return F.transform(codes, lambda q, i: q * bf16(F.get(scales, F.floor(i / size).cast("int"))))
+    """Codes times their group's scale, the scale rounded to eight bits of mantissa as it is stored."""
+    return _rows(lambda q, s: q * np.repeat(_np_bf16(s), size)[: len(q)], "double")(codes, scales)
 
 
-def pack_int4(codes: Column) -> Column:
-    """Eight codes to a 32-bit integer, the first lowest; missing ones at the end are stored as 0."""
-    n = F.ceil(F.size(codes) / 8).cast("int")
+def _np_pack(q: np.ndarray) -> np.ndarray:
+    n = -(-len(q) // 8) * 8
+    u = np.zeros(n, dtype=np.uint32)
+    u[: len(q)] = (q + 8).astype(np.uint32)
+    return np.bitwise_or.reduce(u.reshape(-1, 8) << np.arange(0, 32, 4, dtype=np.uint32), axis=1).view(np.int32)
 
-    def word(w: Column) -> Column:
-        put = lambda acc, j: acc.bitwiseOR(F.expr("0").cast("long") + _shl(F.coalesce(F.get(codes, w * 8 + j), F.lit(-8)) + 8, j))
-        v = F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), put)
-        return F.when(v >= 2**31, v - 2**32).otherwise(v).cast("int")
 
-    return F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), word)
+def pack_int4(codes: Column) -> Column:
+    """Eight codes to a 32-bit integer, the first lowest; missing ones at the end are stored as -8, that is 0 bits."""
+    return _rows(_np_pack, "int")(codes)
 
 
-def _shl(x: Column, j: Column) -> Column:
-    return (x.cast("long") * F.pow(F.lit(16.0), j).cast("long")).cast("long")
+def unpack_int4(words: Column, n: Column) -> Column:
+    """The first n codes of packed words."""
+    def row(w: np.ndarray, n: np.ndarray) -> np.ndarray:
+        u = w.astype(np.int32).view(np.uint32)
+        return (((u[:, None] >> np.arange(0, 32, 4, dtype=np.uint32)) & 15).astype(np.int32) - 8).ravel()[: int(n)]
 
+    return _rows(row, "int")(words, n)
 
-def unpack_int4(words: Column, n: Column) -> Column:
-    """The n codes of packed words."""
-    def code(i: Column) -> Column:
-        w = F.pmod(F.get(words, F.floor(i / 8).cast("int")).cast("long"), F.lit(2**32))
-        return (F.pmod(F.floor(w / F.pow(F.lit(16.0), i % 8)).cast("long"), F.lit(16)) - 8).cast("int")
 
-    return F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), code)
+def _np_log_softmax(v: np.ndarray) -> np.ndarray:
+    return v - v.max() - np.log(np.exp(v - v.max()).sum()) if len(v) else v.astype(float)
 
 
 def log_softmax(a: Column) -> Column:
-    m = F.array_max(a)
-    z = F.log(total(F.transform(a, lambda x: F.exp(x - m))))
-    return F.transform(a, lambda x: x - m - z)
+    return _rows(_np_log_softmax, "double")(a)
 
 
 def softmax(a: Column) -> Column:
-    return F.transform(log_softmax(a), F.exp)
+    return _rows(lambda v: np.exp(_np_log_softmax(v)), "double")(a)
 
 
-def kl_divergence(target: Column, student_logits: Column) -> Column:
-    """Sum of t * (log max(t, 1e-12) - log_softmax(s)) for target probabilities and student logits."""
-    ls = log_softmax(student_logits)
-    return total(F.zip_with(target, ls, lambda t, s: t * (F.log(F.greatest(t, F.lit(1e-12))) - s)))
+def kl_divergence(target: Column, log_student: Column) -> Column:
+    """Sum of t * (log max(t, 1e-12) - s) for target probabilities and the student's log-probabilities."""
+    return total(F.zip_with(target, log_student, lambda t, s: t * (F.log(F.greatest(t, F.lit(1e-12))) - s)))
 
 
-def soft_cross_entropy(target: Column, student_logits: Column) -> Column:
-    return -total(F.zip_with(target, log_softmax(student_logits), lambda t, s: t * s))
+def soft_cross_entropy(target: Column, log_student: Column) -> Column:
+    return -total(F.zip_with(target, log_student, lambda t, s: t * s))
 
 
 def acceptance(p: Column, q: Column) -> Column:
@@ -120,18 +138,15 @@ def decay_weights(n: int, offset: int, gamma: float) -> Column:
 
 def prefix_products(p: Column, mask: Column, alpha: float) -> Column:
     """Running products of the smoothed probabilities (1 - alpha) p + alpha; places off the mask count as 1."""
-    s = F.zip_with(p, mask, lambda x, m: F.when(m == 1, (1 - alpha) * x + alpha).otherwise(F.lit(1.0)))
-    return F.transform(s, lambda _, i: F.aggregate(F.slice(s, F.lit(1), i + 1), F.lit(1.0), lambda a, x: a * x))
+    return _rows(lambda x, m: np.cumprod(np.where(m == 1, (1 - alpha) * x + alpha, 1.0)), "double")(p, mask)
 
 
 def suffix_sums(prefix: Column, mask: Column) -> Column:
-    v = F.zip_with(prefix, mask, lambda x, m: x * m)
-    return F.transform(v, lambda _, i: total(F.slice(v, i + 1, F.size(v) - i)))
+    return _rows(lambda x, m: np.cumsum((x * m)[::-1])[::-1], "double")(prefix, mask)
 
 
 def rms_norm(a: Column, eps: float = 1e-6) -> Column:
-    r = F.sqrt(total(F.transform(a, lambda x: x * x)) / F.size(a) + eps)
-    return F.transform(a, lambda x: x / r)
+    return _rows(lambda v: v / np.sqrt((v * v).mean() + eps) if len(v) else v, "double")(a)
 
 
 def rotate_half(a: Column) -> Column:

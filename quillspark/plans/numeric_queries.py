@@ -60,12 +60,12 @@ def dequant_block(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT count(*) FILTER (m > 0.5000001) AS off_grid, count(*) AS n FROM (SELECT list_max(flatten(list_transform({_G}, lambda g: list_transform(g, lambda x: abs(x / {_SC.format(g='g')} - round_even(x / {_SC.format(g='g')}, 0)))))) AS m FROM ({_E}))")
 def grid_check(spark: SparkSession, sf: str) -> DataFrame:
-    def res(g: Column) -> Column:
-        s = F.greatest(N.absmax(g) / 7, F.lit(1e-30))
-        return F.transform(g, lambda x: F.abs(x / s - F.rint(x / s)))
-
-    m = emb(spark, sf).select(F.array_max(F.flatten(F.transform(N.groups(F.col("v"), 32), res))).alias("m"))
-    return m.agg(F.count_if(F.col("m") > 0.5000001).alias("off_grid"), F.count(F.lit(1)).alias("n"))
+    e = emb(spark, sf).select("v", N.int4_codes(F.col("v"), 32).alias("q"), N.int4_scales(F.col("v"), 32).alias("s"))
+    cell = e.select(F.posexplode(F.arrays_zip("v", "q")).alias("i", "z"), "s")
+    off = F.abs(F.col("z.v") / F.element_at("s", (F.floor(F.col("i") / 32) + 1).cast("int")) - F.col("z.q"))
+    n = e.agg(F.count(F.lit(1)).alias("n"))
+    m = cell.select(off.alias("m")).agg(F.count_if(F.col("m") > 0.5000001).alias("off_grid")).crossJoin(F.broadcast(n))
+    return m.select("off_grid", "n")
 
 
 _PAIR = f"SELECT a.vec_id, a.v AS a, b.v AS b FROM ({_E}) a JOIN ({_E}) b ON b.vec_id = a.vec_id + 1"
@@ -82,8 +82,8 @@ _PP = f"SELECT vec_id, a, b, {_LSE.format(x='a')} AS za, {_LSE.format(x='b')} AS
 
 @query(f"SELECT vec_id, round(list_sum(list_transform(range(1, len(a) + 1), lambda i: exp(a[i] - za) * (ln(greatest(exp(a[i] - za), 1e-12)) - (b[i] - zb)))), 6) AS kl, round(-list_sum(list_transform(range(1, len(a) + 1), lambda i: exp(a[i] - za) * (b[i] - zb))), 6) AS ce FROM ({_PP})")
 def kl_divergence(spark: SparkSession, sf: str) -> DataFrame:
-    t = N.softmax(F.col("a"))
-    return pairs(spark, sf).select("vec_id", r(N.kl_divergence(t, F.col("b"))).alias("kl"), r(N.soft_cross_entropy(t, F.col("b"))).alias("ce"))
+    p = pairs(spark, sf).select("vec_id", N.softmax(F.col("a")).alias("t"), N.log_softmax(F.col("b")).alias("s"))
+    return p.select("vec_id", r(N.kl_divergence(F.col("t"), F.col("s"))).alias("kl"), r(N.soft_cross_entropy(F.col("t"), F.col("s"))).alias("ce"))
 
 
 @query(f"SELECT vec_id, round(list_sum(list_transform(range(1, len(a) + 1), lambda i: least(exp(a[i] - za), exp(b[i] - zb)))), 6) AS acceptance FROM ({_PP})")
@@ -122,10 +122,12 @@ def moe_load_balance(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH c AS (SELECT vec_id, unnest([0, 16, 32, 48]) AS o, v FROM ({_E})), q AS (SELECT vec_id, list_max(v[o + 1 : o + 16]) AS m, list_sum(list_transform(v[o + 1 : o + 16], lambda x: exp(x - list_max(v[o + 1 : o + 16])))) AS s FROM c), g AS (SELECT vec_id, max(m) AS mm FROM q GROUP BY 1) SELECT vec_id, round(mm + ln(sum(s * exp(m - mm))), 6) AS lse FROM q JOIN g USING (vec_id) GROUP BY vec_id, mm")
 def logsumexp_merge(spark: SparkSession, sf: str) -> DataFrame:
     chunk = F.explode(N.groups(F.col("v"), 16))
-    c = emb(spark, sf).select("vec_id", chunk.alias("c")).select("vec_id", F.array_max("c").alias("m"), F.col("c"))
-    q = c.select("vec_id", "m", N.total(F.transform("c", lambda x: F.exp(x - F.col("m")))).alias("s"))
-    g = q.groupBy("vec_id").agg(F.max("m").alias("top"), F.collect_list(F.struct("m", "s")).alias("l"))
-    return g.select("vec_id", r(F.col("top") + F.log(N.total(F.transform("l", lambda x: x["s"] * F.exp(x["m"] - F.col("top")))))).alias("lse"))
+    c = emb(spark, sf).select("vec_id", chunk.alias("c"))
+    # a chunk as (its largest value, the sum of exponents below it), merged in any order
+    part = F.aggregate("c", F.lit(0.0), lambda s, x: s + F.exp(x))
+    q = c.select("vec_id", F.array_max("c").alias("m"), part.alias("e")).select("vec_id", "m", (F.col("e") / F.exp("m")).alias("s"))
+    top = q.groupBy("vec_id").agg(F.max("m").alias("top"))
+    return q.join(top, "vec_id").groupBy("vec_id", "top").agg(F.sum(F.col("s") * F.exp(F.col("m") - F.col("top"))).alias("z")).select("vec_id", r(F.col("top") + F.log("z")).alias("lse"))
 
 
 @query("SELECT CAST(k AS INTEGER) AS k, round(exp(-greatest(k - 1, 0) / 4.0), 9) AS w FROM range(16) x(k)")
