@@ -126,10 +126,11 @@ def kth_smallest(df: DataFrame, col: str, k: int, step: int = 4, leaf: int = 20_
 def canonical_text(c: Column) -> Column:
     """Text with letter case, white space, invisible characters and punctuation set aside; null stays null.
 
-    Keeps letters, numbers, marks and symbols. Upper then lower case folds pairs such as sharp s and ss.
+    Keeps letters, numbers, marks and symbols. Beside lower case, sharp s is ss, and final sigma, long s and the micro
+    sign are the letters they stand for.
     """
     kept = F.regexp_replace(c, r"[^\p{L}\p{N}\p{M}\p{S}]+", "")
-    return F.translate(F.lower(F.upper(kept)), "ς", "σ")
+    return F.translate(F.replace(F.lower(kept), F.lit("ß"), F.lit("ss")), "ςſµ", "σsμ")
 
 
 def canonical_label(c: Column) -> Column:
