@@ -28,7 +28,7 @@ class SelectionLedger:
             raise ValueError("share must lie between 0 and 1")
         self.spark, self.share = spark, share
         self.path = path or runtime.scratch(spark, "selection-ledger")
-        self._cuts = [tuple(r) for r in self._read("cuts", self.CUTS).collect()]
+        self._cuts = [tuple(r) for r in self._read("cuts", self.CUTS).select("delivery", "n_new", "quota", "cutoff").collect()]
 
     def _read(self, part: str, schema: str) -> DataFrame:
         jvm = self.spark.sparkContext._jvm
