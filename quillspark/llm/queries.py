@@ -167,13 +167,14 @@ def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 _CANON = "translate(replace(lower(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}\\p{{M}}\\p{{S}}]+', '', 'g')), 'ß', 'ss'), 'ςſµ', 'σsμ')"
 _RECORDS = f"""WITH m AS (
-  SELECT line_no, category AS cat, list_transform(conversations, lambda m: {{'r': m.role, 'c': m.content}}) AS ms FROM prompts WHERE len(conversations) > 0
+  SELECT line_no, coalesce(batch_no, -1) AS delivery, category AS cat, list_transform(conversations, lambda m: {{'r': m.role, 'c': m.content}}) AS ms FROM prompts WHERE len(conversations) > 0
   UNION ALL
-  SELECT line_no, json_extract_string(raw_line, '$.category'), list_transform(coalesce(json_extract(raw_line::JSON, '$.conversations[*]'), []), lambda j: {{'r': j->>'role', 'c': j->>'content'}})
+  SELECT line_no, 2147483647, json_extract_string(raw_line, '$.category'), list_transform(coalesce(json_extract(raw_line::JSON, '$.conversations[*]'), []), lambda j: {{'r': j->>'role', 'c': j->>'content'}})
   FROM prompt_lines WHERE json_valid(raw_line)),
-k AS (SELECT line_no, coalesce('c' || {_CANON.format(x="cat")}, 'n') || chr(2) || array_to_string(list_transform(ms, lambda m: coalesce({_CANON.format(x="m.r")}, '') || chr(1) || coalesce({_CANON.format(x="m.c")}, '')), chr(3)) AS k FROM m)
+k AS (SELECT line_no, delivery, coalesce('c' || {_CANON.format(x="cat")}, 'n') || chr(2) || array_to_string(list_transform(ms, lambda m: coalesce({_CANON.format(x="m.r")}, '') || chr(1) || coalesce({_CANON.format(x="m.c")}, '')), chr(3)) AS k FROM m)
 """
 SQL["p2_found"] = _RECORDS + "SELECT line_a, line_b FROM (SELECT min(line_no) OVER (PARTITION BY k) AS line_a, line_no AS line_b FROM k) WHERE line_a <> line_b"
+SQL["p2_collapsed"] = _RECORDS + "SELECT min(line_no) AS line_no, count(*) AS n_copies, CAST(min(delivery) AS INTEGER) AS first_delivery FROM k GROUP BY k"
 
 _WORDS = "string_split(trim(regexp_replace(regexp_replace(lower(upper({x})), '\\p{{Cf}}', '', 'g'), '[\\s\\p{{Z}}\\p{{P}}\\p{{C}}]+', ' ', 'g')), ' ')"
 SQL["p7_found"] = f"""WITH t AS (SELECT item_id, {_WORDS.format(x="t")} AS w FROM (SELECT item_id, unnest(turns) AS t FROM bench_turns)),

@@ -16,7 +16,7 @@ from quillspark import runtime
 LEAST_COPIES = 5  # records that must share a template before its company says what it is
 COMPANY = 0.6  # mean share of known residue in the rest of its documents from which a shared template is residue
 COVER = 0.5  # share of residue in a document's content from which the document is a case
-HOT_SHARE = 1000
+HOT_SHARE = 10_000  # a template with more than one HOT_SHARE-th of all sentences is hot: there are fewer than HOT_SHARE
 
 #: Forms in which templates mark their slots; the names inside are free.
 SLOT = regex.compile(
@@ -155,7 +155,7 @@ def detect(docs: DataFrame) -> DataFrame:
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", lang.alias("lang")).mapInPandas(_segment, _SEGMENTED)
     rows = runtime.materialize(rows, "residue-segments")
-    n_docs = rows.count()
+    n_docs, n_segments = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
     known = F.aggregate(F.arrays_zip("kinds", "sizes"), F.lit(0), lambda a, x: a + F.when(x["kinds"] > 0, x["sizes"]).otherwise(0))
     total = F.aggregate("sizes", F.col("code"), lambda a, x: a + x)
     each = rows.select("doc_id", known.alias("known"), total.alias("total"), F.explode(F.arrays_zip("keys", "kinds", "sizes")).alias("s"))
@@ -164,15 +164,16 @@ def detect(docs: DataFrame) -> DataFrame:
     rest = F.col("total") - F.col("size")
     beside = F.when((F.col("kind") == 0) & (rest > 0), F.col("known") / rest)
     templates = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.avg(beside).alias("company"), F.max("kind").alias("most"), F.avg("size").alias("width"))
-    shared = templates.filter((F.col("n") >= LEAST_COPIES) & (F.col("most") == 0))
-    learned = F.when(F.col("company") >= COMPANY, 1).when((F.col("width") <= 40) & (F.col("n") >= F.greatest(F.lit(LEAST_COPIES), F.lit(n_docs // 500))), 2)
-    shared = runtime.materialize(shared.select("key", "n", learned.alias("learned")).filter("learned IS NOT NULL"), "residue-templates")
-    # templates in a thousandth of the documents are few; they are looked up by broadcast and never meet in one task
-    bar = max(LEAST_COPIES, n_docs // HOT_SHARE)
-    hot = shared.filter(F.col("n") > bar).select("key", F.col("learned").alias("l1"))
-    cold = shared.filter(F.col("n") <= bar).select("key", F.col("learned").alias("l2"))
+    bar = max(LEAST_COPIES, n_segments // HOT_SHARE)
+    learned = F.when(F.col("company") >= COMPANY, 1).when((F.col("width") <= 40) & (F.col("n") > max(LEAST_COPIES, n_docs // 500, bar)), 2)
+    learned = F.when((F.col("n") >= LEAST_COPIES) & (F.col("most") == 0), learned)
+    shared = templates.select("key", "n", learned.alias("learned")).filter((F.col("n") > bar) | F.col("learned").isNotNull())
+    shared = runtime.materialize(shared, "residue-templates")
+    # all hot templates, learned or not, are looked up by broadcast, so their sentences never meet in one task
+    hot = shared.filter(F.col("n") > bar).select("key", F.col("learned").alias("l1"), F.lit(True).alias("hot"))
+    cold = shared.filter((F.col("n") <= bar) & (F.col("learned") == 1)).select("key")
     j = each.join(F.broadcast(hot), "key", "left")
-    open_ = j.filter("kind = 0 AND l1 IS NULL").join(cold.filter("l2 = 1"), "key", "left_semi").select("doc_id", F.col("size").alias("more"))
+    open_ = j.filter("kind = 0 AND hot IS NULL").join(cold, "key", "left_semi").select("doc_id", F.col("size").alias("more"))
     cover = j.groupBy("doc_id").agg(
         F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).alias("open_slots"),
         F.sum(F.when(F.col("kind") == 2, 1).otherwise(0)).alias("filler"),
