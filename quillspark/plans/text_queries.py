@@ -78,7 +78,8 @@ def classify_bucket(spark: SparkSession, sf: str) -> DataFrame:
 
     c = F.col("c")
     at = lambda r: F.when(chat.last_index(c, r) > 0, F.get(c, chat.last_index(c, r) - 1)["content"])
-    b = convs(spark, sf, "regen", "resp_id").select("resp_id", text.classify_bucket(at("user"), at("assistant")).alias("bucket"))
+    turns = convs(spark, sf, "regen", "resp_id").select("resp_id", at("user").alias("u"), at("assistant").alias("a"))
+    b = turns.select("resp_id", text.classify_bucket(F.col("u"), F.col("a")).alias("bucket"))
     return b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("resp_id").alias("ids"))
 
 
