@@ -16,6 +16,7 @@ from quillspark import runtime
 LEAST_COPIES = 5  # records that must share a template before its company says what it is
 COMPANY = 0.6  # mean share of known residue in the rest of its documents from which a shared template is residue
 COVER = 0.5  # share of residue in a document's content from which the document is a case
+PAGE_CHARS = 600  # content up to which a page counts as repeated where all its copies are alike; longer ones must differ in numbers or slots
 HOT_SHARE = 10_000  # a template with more than one HOT_SHARE-th of all sentences is hot: there are fewer than HOT_SHARE
 
 #: Forms in which templates mark their slots; the names inside are free.
@@ -70,6 +71,12 @@ STEMS = tuple(
 STARTS = ("http", "error", "status", "fehler", "erreur", "code", "sorry", "oops", "gone", "4", "5")
 _SLOT_SIGNS = re.compile(r"[{<@«\[]|%[%(]|__")
 _LEAD = re.compile(r"\w")
+#: Signs outside of prose, its punctuation and light markup.
+_SIGN = r"[^\w\s.,;:!?'’\"“”„()*`#|/\\&+=~^°€£§…–—•\u3000-\u303f\uff00-\uff65-]"
+_ANY_SIGN = re.compile(_SIGN + r"|__")
+#: Places that may be slots, of any syntax: words between signs that are not glued to a word before them, and blanks.
+#: Only the alignment of records tells which are.
+_PLACE = re.compile(rf"(?<![A-Za-z0-9_)\]]){_SIGN}+ ?([^\W\d](?:[\w .|=-]{{0,38}}\w)?) ?{_SIGN}+|(?<![A-Za-z0-9])__+(\w*)")
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.DOTALL)
 _MENTION = re.compile(r"`[^`\n]*`|\bf?\"[^\"\n]*\"|[“„][^”“\n]*[”“]|\$[^$\n]*[\\^=_][^$\n]*\$|\\[a-zA-Z]+(?:\{[^\n]*?\}+)+")
@@ -100,6 +107,29 @@ def _kind(seg: str, bare: str, covered: bool, stems: list[str]) -> int:
     return 0
 
 
+def _bare(s: str) -> str:
+    """A sentence without code, formulas and quotations."""
+    return _MENTION.sub(" ", s) if any(q in s for q in "`\"“„$\\") else s
+
+
+def places(text: str | None) -> list[tuple[int, str, str, str]]:
+    """(sentence, place, name, value) of what may be slots: the place is the sentence's other words and its number among them."""
+    out: list[tuple[int, str, str, str]] = []
+    if not text or not _ANY_SIGN.search(text):
+        return out
+    t = _FENCE.sub("\n", text) if "```" in text or "~~~" in text else text
+    for i, s in enumerate(_CUT.split(t.strip())):
+        if not _ANY_SIGN.search(s):
+            continue
+        bare = _bare(s)
+        found = [m for m in _PLACE.finditer(bare) if m.group(0).strip("<>/ ").lower() not in TAGS]
+        if found:
+            rest = _GAPS.sub(" ", _DIGITS.sub("0", _PLACE.sub(" ∅ ", bare).lower())).strip()
+            if rest:
+                out += [(i, f"{rest}\0{k}\0{len(found)}", _GAPS.sub(" ", (m.group(1) or m.group(2) or "").lower()), m.group(0)) for k, m in enumerate(found)]
+    return out
+
+
 def segments(text: str | None, lang: str | None = None) -> tuple[list[str], list[int], list[int]]:
     """Templates (texts with slots and digits taken out), kinds, and lengths of a text's lines and sentences.
 
@@ -117,7 +147,7 @@ def segments(text: str | None, lang: str | None = None) -> tuple[list[str], list
     for k, s in enumerate(x.strip() for x in _CUT.split(t.strip())):
         if not s:
             continue
-        bare = _MENTION.sub(" ", s) if any(q in s for q in "`\"“„$\\") else s
+        bare = _bare(s)
         kind = _kind(s, bare, covered, stems)
         if kind == 0 and kinds and kinds[-1] == 3 and s.count(" ") < 8 and NEEDS.search(bare):
             kind = 3
@@ -129,7 +159,13 @@ def segments(text: str | None, lang: str | None = None) -> tuple[list[str], list
     return keys, kinds, sizes
 
 
-_SEGMENTED = "doc_id BIGINT, keys ARRAY<BIGINT>, kinds ARRAY<INT>, sizes ARRAY<INT>, code INT"
+_SEGMENTED = (
+    "doc_id BIGINT, keys ARRAY<BIGINT>, kinds ARRAY<INT>, sizes ARRAY<INT>, code INT, page BIGINT, body BIGINT, places ARRAY<STRUCT<seg: INT, place: BIGINT, name: BIGINT, value: BIGINT>>"
+)
+
+
+def _hashes(texts: list[str]) -> list[int]:
+    return pd.util.hash_array(np.array(texts, dtype=object), categorize=False).view(np.int64).tolist() if texts else []
 
 
 def _segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,17 +173,49 @@ def _segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for d, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"]):
             keys, kinds, sizes = segments(text, lang)
-            h = pd.util.hash_array(np.array(keys, dtype=object), categorize=False).view(np.int64).tolist() if keys else []
-            out.append((d, h, kinds, sizes, sum(len(m.group(0)) for m in _FENCE.finditer(text)) if text and ("```" in text or "~~~" in text) else 0))
-        yield pd.DataFrame(out, columns=["doc_id", "keys", "kinds", "sizes", "code"])
+            code = sum(len(m.group(0)) for m in _FENCE.finditer(text)) if text and ("```" in text or "~~~" in text) else 0
+            # the whole page's skeleton, of pages without code that hold a word
+            page, body = _hashes(["\n".join(keys), text.strip()]) if not code and any(keys) else (None, None)
+            at = places(text)
+            h = _hashes([x for p in at for x in p[1:]])
+            out.append((d, _hashes(keys), kinds, sizes, code, page, body, [{"seg": p[0], "place": h[3 * k], "name": h[3 * k + 1], "value": h[3 * k + 2]} for k, p in enumerate(at)]))
+        pdf = pd.DataFrame(out, columns=["doc_id", "keys", "kinds", "sizes", "code", "page", "body", "places"])
+        yield pdf.astype({"page": "Int64", "body": "Int64"})
+
+
+def _induced(rows: DataFrame) -> DataFrame:
+    """(doc_id, induced) of documents with open slots told by alignment, induced counting their sentences.
+
+    Records whose words agree but for places of unknown syntax are aligned. A place whose values differ between at least
+    LEAST_COPIES records is a slot, and it is open where the same names recur in it: what is filled in varies freely.
+    A place with the same value in all records is a part of the text.
+    """
+    each = rows.select("doc_id", F.explode("places").alias("p")).select("doc_id", "p.*")
+    by = each.groupBy("place", "name").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    by = by.groupBy("place").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("names"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    slots = runtime.materialize(by.filter((F.col("n") >= LEAST_COPIES) & (F.col("lo") != F.col("hi")) & (2 * F.col("names") <= F.col("n"))).select("place", "n"), "residue-slots")
+    # hot places, fewer than HOT_SHARE, are looked up by broadcast and all others by shuffle
+    bar = max(LEAST_COPIES, each.count() // HOT_SHARE)
+    hot = F.broadcast(slots.filter(F.col("n") > bar).select("place"))
+    cold = slots.filter(F.col("n") <= bar).select("place")
+    got = each.join(hot, "place", "left_semi").unionByName(each.join(hot, "place", "left_anti").join(cold, "place", "left_semi"))
+    return got.groupBy("doc_id").agg(F.count_distinct("seg").alias("induced"))
+
+
+def _repeated(rows: DataFrame, n_docs: int) -> DataFrame:
+    """(page) of the whole-page skeletons that many documents share: LEAST_COPIES, and more than a HOT_SHARE-th of all, so there are
+    fewer than HOT_SHARE (in small tables a fifth of all documents at most)."""
+    size = F.aggregate("sizes", F.lit(0), lambda a, x: a + x)
+    by = rows.filter("page IS NOT NULL").groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("lo"), F.max("body").alias("hi"), F.max(size).alias("width"))
+    return by.filter((F.col("n") >= LEAST_COPIES) & (F.col("n") > n_docs // HOT_SHARE) & ((F.col("lo") != F.col("hi")) | (F.col("width") <= PAGE_CHARS))).select("page")
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """(doc_id, open_slots, filler, cover, is_residue) of every document, copies on their own; null and empty texts have none.
 
-    Lines and sentences with slots and digits taken out are templates; records with the same template are aligned, so
-    what differs between them are its slots. A slot that keeps a variable's name, a default or a blank outside of code,
-    formulas and quotations makes the document a case, as do sentences that hold a place for text. Error pages,
+    Slots of any syntax are induced by aligning records over all documents (_induced), outside of code, formulas and
+    quotations, and whole-page skeletons that many documents share (_repeated) are cases. Where too few records align, the known
+    forms of SLOT make the document a case, as do sentences that hold a place for text. Lines and sentences with slots and digits taken out are templates. Error pages,
     notices and strings of words without any small word of a known language are cases where they cover half of the content: titles and lines that stand in very many documents (menus)
     don't count as content. A template shared by LEAST_COPIES records and found mostly in the company of known residue
     is residue too; that is counted over all documents, in one aggregation by template.
@@ -182,7 +250,10 @@ def detect(docs: DataFrame) -> DataFrame:
         (F.max("total") - F.sum(F.when((F.col("kind") == 0) & (F.col("l1") == 2), F.col("size")).otherwise(0))).alias("content"),
     )
     more = open_.groupBy("doc_id").agg(F.sum("more").alias("more"))
-    got = cover.join(more, "doc_id", "left").withColumn("cover", F.coalesce((F.col("bad") + F.coalesce("more", F.lit(0))) / F.nullif("content", F.lit(0)), F.lit(0.0)))
+    pages = rows.join(F.broadcast(_repeated(rows, n_docs)), "page", "left_semi").select("doc_id").distinct().withColumn("whole", F.lit(True))
+    got = cover.join(more, "doc_id", "left").join(_induced(rows), "doc_id", "left").join(pages, "doc_id", "left")
+    got = got.withColumn("open_slots", F.greatest("open_slots", F.coalesce("induced", F.lit(0)))).withColumn("cover", F.coalesce((F.col("bad") + F.coalesce("more", F.lit(0))) / F.nullif("content", F.lit(0)), F.lit(0.0)))
+    got = got.withColumn("cover", F.when(F.col("whole"), 1.0).otherwise(F.col("cover")))
     is_case = (F.col("open_slots") > 0) | (F.col("filler") > 0) | (F.col("cover") >= COVER)
     return got.select("doc_id", "open_slots", "filler", "cover", is_case.alias("is_residue"))
 

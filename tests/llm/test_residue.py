@@ -43,3 +43,22 @@ def test_learned_company(spark):
     rows = [(i, f"Body copy to follow. {odd}. Text goes here.", "en", None, None) for i in range(8)] + [(50, odd + ".", "en", None, None), (51, REAL, "en", None, None)]
     got = {r["doc_id"] for r in residue.found(spark.createDataFrame(rows, DOC)).collect()}
     assert got == {*range(8), 50}
+
+
+def test_slots_of_unknown_syntax(spark):
+    """Slots in no listed form are told by aligning records; a value that all records share is text, and so is what varies freely."""
+    names = ["name", "order", "town"]
+    rows = [(i, f"{REAL} Dear ⟦{names[i % 3]}⟧, the box for ⟪{names[i % 2]}⟫ is on its way.", "en", None, None) for i in range(8)]
+    own = "amber birch cedar delta ember fjord grove heath".split()
+    rows += [(20 + i, f"{REAL} It is the {own[i]}. The row {i} holds ⟦name⟧ for all of us.", "en", None, None) for i in range(8)]
+    rows += [(40 + i, f"{REAL} It is the {own[i]}. This was shown by ⟦{w}⟧ in the first year.", "en", None, None) for i, w in enumerate("Adams Baker Clark Davis Evans Frank".split())]
+    got = {r["doc_id"]: r["open_slots"] for r in residue.detect(spark.createDataFrame(rows, DOC)).filter("is_residue").collect()}
+    assert got == dict.fromkeys(range(8), 1)
+
+
+def test_repeated_pages(spark):
+    """An error page in no listed wording is told by the many documents that are nothing else."""
+    rows = [(i, f"La pagina non è qui.\nCodice {i}.", "it", None, None) for i in range(6)] + [(20 + i, REAL * 9, "en", None, None) for i in range(6)]
+    rows += [(40, "La pagina non è qui.\nCodice 9.\n" + REAL, "en", None, None), *((50 + i, f"```\nreturn {i}\n```", None, None, None) for i in range(6))]
+    got = {r["doc_id"] for r in residue.found(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == set(range(6))
