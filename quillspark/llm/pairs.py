@@ -6,7 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark import runtime
+
 LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 SAMPLE = 4000  # rows the field is fitted on: those of lowest hash of resp_id; a bound of the fit, not of what is tagged
@@ -61,6 +63,7 @@ _ASKED_STEMS = tuple("engl|angl|inglés|англи|英|germ|deutsch|allem|alem|
 _ASKED = {k: re.compile(rf"\b(?:{v})" if k != "zh" else v, re.IGNORECASE) for k, v in ASKED.items()}
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _WORD = re.compile(r"[^\W\d_]+")
+_UNIT = re.compile(r"[\u3400-\u9fff]|[^\W\d_\u3400-\u9fff]+")  # words, and each ideograph on its own
 _WORD_OR_NUMBER = re.compile(r"[^\W\d_]+|\d+")
 _CUT = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[。？！])")
 _MARK = re.compile(r"\s*(?:\d{1,2}[.)]|[-*•])\s*$")
@@ -168,14 +171,39 @@ def _word(t: str) -> tuple[int, str | None]:
     return got
 
 
-def _ending(s: str, toks: list[str], alone: bool, known: frozenset[str] | set[str]) -> list[str]:
+class _All:
+    """A vocabulary that holds every word."""
+
+    def __contains__(self, w: object) -> bool:
+        return True
+
+
+def asked(parts: list[str]) -> str | None:
+    """The word that an answer without a full stop ends with; None if it has one, or ends with no word."""
+    if not parts or parts[-1].startswith("```") or _stopped(parts[-1], len(parts) == 1):
+        return None
+    toks = _TOKENS.findall(parts[-1].lower())
+    return _UNIT.findall(toks[-1])[-1] if toks and toks[-1].isalpha() else None
+
+
+def counted(body: str, parts: list[str]) -> set[str]:
+    """Words that an answer gives to the vocabulary: all but a last one without a full stop, which may be cut."""
+    words = _UNIT.findall(body.lower())
+    return set(words[:-1] if asked(parts) is not None else words)
+
+
+def _stopped(s: str, alone: bool) -> bool:
+    return bool(_END.search(s)) and (alone or not _MARK.fullmatch(s))
+
+
+def _ending(s: str, toks: list[str], alone: bool, known: Container[str]) -> list[str]:
     """Features of how the last clause ends."""
     mark = not alone and bool(_MARK.fullmatch(s))
-    if _END.search(s) and not mark:
+    if _stopped(s, alone):
         return ["last", "stop"]
     t = [("0" if x[0].isdigit() else x) for x in toks[-3:]]
     f = ["last", "nostop", "e1" + t[-1] if t else "e1", "e2" + " ".join(t[-2:]), "e3" + " ".join(t[-3:])]
-    if t and t[-1].isalpha() and t[-1] not in known:
+    if t and t[-1].isalpha() and _UNIT.findall(t[-1])[-1] not in known:
         f.append("e_unknown")
     if mark:
         f.append("e_mark")
@@ -184,7 +212,7 @@ def _ending(s: str, toks: list[str], alone: bool, known: frozenset[str] | set[st
     return f
 
 
-def features(parts: list[str], question: str, allowed: set[str], known: frozenset[str] | set[str]) -> tuple[list[list[int]], list[int], list[bool]]:
+def features(parts: list[str], question: str, allowed: set[str], known: Container[str]) -> tuple[list[list[int]], list[int], list[bool]]:
     """Features of each clause (bucket numbers), its weight in letters and digits (an ideograph has the weight of
     three), and whether it is prose of a known language."""
     cq = canon(question)
@@ -333,8 +361,51 @@ def _masked(s: str) -> str:
     return re.sub(r"\d+", "0", s.strip())
 
 
-def examples(sample: list[tuple[str, str | None, str | None]], seed: int = 3) -> tuple[list[tuple[list[list[int]], list[int]]], frozenset[str]]:
-    """Labelled rows from a sample of (question, answer, finish_reason).
+def _word_key(w: str) -> str:
+    return "w" + w
+
+
+def _end_key(s: str) -> str:
+    return "e" + _masked(s)
+
+
+def _hashes(keys: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(keys, dtype=object), categorize=False).view(np.int64)
+
+
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """(key, n): hashes of all answers' words (counted) and of their endings without a full stop, and the numbers of answers with them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter[str] = Counter()
+        for pdf in batches:
+            for conv in pdf["c"]:
+                a = question_and_answer(conv)[1]
+                body, open_trace = split_trace(a) if a is not None else ("", True)
+                parts = [] if open_trace else clauses(body)
+                if parts:
+                    n.update([_word_key(w) for w in counted(body, parts)])
+                    if not _stopped(parts[-1], False):
+                        n[_end_key(parts[-1])] += 1
+            if len(n) > 1_000_000:
+                yield pd.DataFrame({"key": _hashes(list(n)), "n": list(n.values())})
+                n.clear()
+        if n:
+            yield pd.DataFrame({"key": _hashes(list(n)), "n": list(n.values())})
+
+    # texts of users aren't looked at
+    cut = F.transform("conversations", lambda m: F.when(m.isNotNull(), F.struct(m["role"].alias("role"), F.when(F.lower(F.trim(m["role"])).isin(*USER), "").otherwise(m["content"]).alias("content"))))
+    got = rows.filter("resp_id IS NOT NULL AND conversations IS NOT NULL").select(cut.alias("c")).mapInPandas(run, "key BIGINT, n BIGINT")
+    return runtime.materialize(got.groupBy("key").agg(F.sum("n").alias("n")), "pairs-vocabulary")
+
+
+def examples(
+    sample: list[tuple[str, str | None, str | None]], look: Callable[[list[str]], dict[str, int]], usual: float = 3, seed: int = 3
+) -> tuple[list[tuple[list[list[int]], list[int]]], frozenset[str]]:
+    """Labelled rows from a sample of (question, answer, finish_reason), and the words at their ends that are known.
+
+    look gives the numbers of answers with a key (_word_key, _end_key), of all answers. An ending of usual answers or more is sound. A word is known
+    to an example where an answer other than its own has it, as for the rows tagged later.
 
     Sound answers are such as end like one and hold no sign of a defect; defects are made from them: cut at a random
     place, replaced by their question in another shape, or by an answer to a question in another language. Answers
@@ -348,13 +419,12 @@ def examples(sample: list[tuple[str, str | None, str | None]], seed: int = 3) ->
         body, open_trace = split_trace(a)
         if canon(body) and not open_trace and (fr or "").strip().lower() != "length":
             rows.append((q, body, clauses(body)))
-    ends = Counter(_masked(p[-1]) for _, _, p in rows)
-    known = frozenset(w for _, b, _ in rows for w in _WORD.findall(b.lower()))
-    out = []
+    ends = look([_end_key(p[-1]) for _, _, p in rows if not _stopped(p[-1], False)])
+    made: list[tuple[list[str], str, list[int], str | None, bool]] = []
 
-    def add(parts: list[str], q: str, labels: list[int], window: int = 64) -> None:
-        parts, labels = parts[-window:], labels[-window:]
-        out.append((features(parts, q, allowed_languages(q), known)[0], labels))
+    def add(parts: list[str], q: str, labels: list[int], window: int = 64, own: Container[str] = _All()) -> None:
+        w = asked(parts)
+        made.append((parts[-window:], q, labels[-window:], w, w is not None and w in own))
 
     sound: list[tuple[str, str, list[str], str]] = []
     opened: list[str] = []
@@ -362,14 +432,14 @@ def examples(sample: list[tuple[str, str | None, str | None]], seed: int = 3) ->
     for q, b, parts in rows:
         cq, ca = canon(q), canon(b)
         if is_copy(q, b):
-            add(parts, q, [ECHO] * len(parts))
+            add(parts, q, [ECHO] * len(parts), own=counted(b, parts))
             continue
         if len(ca) < 400 and DECLINES.search(parts[0]) and '"' not in b and not any(language_hits(p) and not DECLINES.search(p) and len(p) > 90 for p in parts[1:]):
-            add(parts, q, [REFUSAL] * len(parts))
+            add(parts, q, [REFUSAL] * len(parts), own=counted(b, parts))
             opened.append(parts[0])
             closed.extend(parts[1:])
             continue
-        if not (_END.search(parts[-1]) and not _MARK.fullmatch(parts[-1]) or ends[_masked(parts[-1])] >= 3):
+        if not (_stopped(parts[-1], False) or ends.get(_end_key(parts[-1]), 0) >= usual):
             continue
         ok = allowed_languages(q)
         hits = language_hits(_FENCE.sub(" ", b))
@@ -382,29 +452,30 @@ def examples(sample: list[tuple[str, str | None, str | None]], seed: int = 3) ->
             h = {} if p.startswith("```") else language_hits(p)
             best = max(h, key=h.__getitem__) if h else ""
             labels.append(ECHO if len(c) >= 6 and cq and c in cq else FOREIGN if best and ok and best not in ok else ANSWER)
-        add(parts, q, labels)
+        own = counted(b, parts)
+        add(parts, q, labels, own=own)
         sound.append((q, b, parts, main))
         for _ in range(2):  # whole clauses that lack their full stop
             k = rng.randrange(len(parts))
             bare = re.sub(r"[.!?。？！]+$", "", parts[k])
             if bare and not bare.startswith("```") and not _MARK.fullmatch(parts[k]):
-                add([*parts[:k], bare], q, labels[: k + 1], 3)
+                add([*parts[:k], bare], q, labels[: k + 1], 3, own)
         for _ in range(3):  # answers cut anywhere
             if len(b) > 60:
                 cut = b[: rng.randint(len(b) // 5, len(b) - 4)].rstrip()
                 got = clauses(cut)
                 whole = canon(parts[len(got) - 1]) if len(got) <= len(parts) else ""
                 if got and (len(got) > 1 and _MARK.fullmatch(got[-1]) or not _END.search(got[-1]) and canon(got[-1]) != whole):
-                    add(got, q, [*labels[: len(got) - 1], *[ANSWER] * max(0, len(got) - 1 - len(labels)), UNFINISHED], 3)
+                    add(got, q, [*labels[: len(got) - 1], *[ANSWER] * max(0, len(got) - 1 - len(labels)), UNFINISHED], 3, own)
         if rng.random() < 0.15 and cq:
             shape = rng.choice([str.upper, str.title, str.lower, lambda s: "> " + s, lambda s: "Question: " + s, lambda s: s + "\n\n" + s])
             got = clauses(shape(q))
             if got:
-                add(got, q, [ECHO] * len(got))
+                add(got, q, [ECHO] * len(got), own=frozenset())
         marks = [k for k in range(1, len(parts)) if _LISTED.match(parts[k])]
         if marks:  # cut behind a list mark
             k = rng.choice(marks)
-            add([*parts[:k], _LISTED.match(parts[k]).group(0).strip()], q, [*labels[:k], UNFINISHED], 3)
+            add([*parts[:k], _LISTED.match(parts[k]).group(0).strip()], q, [*labels[:k], UNFINISHED], 3, own)
     for k in range(3 * len(opened)):  # refusals put together anew
         q = sound[rng.randrange(len(sound))][0] if sound else ""
         got = [rng.choice(opened), *(rng.choice(closed) for _ in range(rng.randrange(3)) if closed)]
@@ -419,8 +490,16 @@ def examples(sample: list[tuple[str, str | None, str | None]], seed: int = 3) ->
                 other = sound[rng.randrange(len(sound))]
             else:
                 continue
-            add(other[2], q, [ANSWER if p.startswith("```") or not language_hits(p) else FOREIGN for p in other[2]])
-    return out, known
+            add(other[2], q, [ANSWER if p.startswith("```") or not language_hits(p) else FOREIGN for p in other[2]], own=counted(other[1], other[2]))
+    n = look([_word_key(w) for *_, w, _ in made if w is not None])
+    known: set[str] = set()
+    out = []
+    for parts, q, labels, w, mine in made:
+        told = w is not None and n.get(_word_key(w), 0) - mine >= 1
+        if told:
+            known.add(w)
+        out.append((features(parts, q, allowed_languages(q), {w} if told else ())[0], labels))
+    return out, frozenset(known)
 
 
 def is_copy(question: str, answer: str) -> bool:
@@ -460,20 +539,33 @@ def judge(question: str, answer: str, labels: np.ndarray, sizes: list[int], told
     return None
 
 
-def train(rows: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fits the field on sample rows of (resp_id, conversations, finish_reason), those of lowest hash."""
+def train(rows: DataFrame, sample: int = SAMPLE, words: DataFrame | None = None) -> Field:
+    """Fits the field on sample rows of (resp_id, conversations, finish_reason), those of lowest hash; words is the vocabulary of all
+    rows, counted here unless given. The driver looks up only what the examples end with."""
+    words = vocabulary(rows) if words is None else words
     cut = F.transform("conversations", lambda m: F.struct(m["role"].alias("role"), F.substring(m["content"], 1, SAMPLE_CHARS).alias("content")))
     place = F.pmod(F.xxhash64("resp_id"), F.lit(2**40))
     known = rows.filter("resp_id IS NOT NULL AND conversations IS NOT NULL").withColumn("h", place)
     # all rows' places are uniform: those below this bound are a little more than the sample, so little more is sent
-    bound = int(2**40 * min(1.0, 1.2 * (sample + 50) / max(1, known.count())))
+    n_rows = known.count()
+    bound = int(2**40 * min(1.0, 1.2 * (sample + 50) / max(1, n_rows)))
     got = known.filter(F.col("h") < bound).select("resp_id", "finish_reason", cut.alias("c"), "h").orderBy("h", "resp_id").limit(sample).collect()
     made = []
     for r in got:
         q, a = question_and_answer([m.asDict() if m is not None else None for m in r["c"]])
         made.append((q, a, r["finish_reason"]))
-    ex, known = examples(made)
-    return fit_field(ex, known)
+
+    def look(keys: list[str]) -> dict[str, int]:
+        keys = sorted(set(keys))
+        if not keys:
+            return {}
+        h = _hashes(keys).tolist()
+        few = rows.sparkSession.createDataFrame(pd.DataFrame({"key": h}), "key BIGINT").distinct()
+        n = {r["key"]: r["n"] for r in words.join(F.broadcast(few), "key").collect()}
+        return {k: n.get(x, 0) for k, x in zip(keys, h)}
+
+    ex, ends_known = examples(made, look, max(3, 3 * n_rows / sample))
+    return fit_field(ex, ends_known)
 
 
 def defects(rows: DataFrame, field: Field | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -481,36 +573,55 @@ def defects(rows: DataFrame, field: Field | None = None, sample: int = SAMPLE) -
 
     Null conversations, missing assistant turns and answers without a letter or digit are empty; finish_reason length
     and a trace never closed are truncated; all else is told by the tags of the field, fitted here unless given. Whole
-    answers are tagged. Repeated rows are judged each on their own; other columns don't matter.
+    answers are tagged. A row whose verdict depends on whether its last word is known is tagged both ways, and the two are told apart by a join
+    with the vocabulary of all answers (and of the field's, if given). Repeated rows are judged each on their own; other columns don't matter.
     """
+    words = vocabulary(rows)
+    trusted: frozenset[str] = field.known if field is not None else frozenset()
     if field is None:
-        field = train(rows, sample)
+        field = train(rows, sample, words)
     used = np.flatnonzero(np.abs(field.emit).max(1) > 0)
-    sent = rows.sparkSession.sparkContext.broadcast((used, field.emit[used].astype(np.float32), field.move, field.known))
+    sent = rows.sparkSession.sparkContext.broadcast((used, field.emit[used].astype(np.float32), field.move, trusted))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used, w, move, known = sent.value
+        used, w, move, trusted = sent.value
         emit = np.zeros((BUCKETS, len(LABELS)), dtype=np.float32)
         emit[used] = w
-        model = Field(emit, move, known)
+        model = Field(emit, move, trusted)
+        unknown = [_bucket("e_unknown")]
         for pdf in batches:
-            ids, defect = [], []
-            todo: list[tuple[int, str, str, list[list[int]], list[int], list[bool]]] = []
+            out: list[tuple[int, str | None, str | None, str | None, int]] = []  # id, defect, defect if the last word is unknown, that word, is it elsewhere in the row
+            todo: list[tuple[int, str, str, list[list[int]], list[int], list[bool], str | None, int]] = []
             for i, conv, fr in zip(pdf["resp_id"], pdf["conversations"], pdf["finish_reason"]):
                 q, a = question_and_answer(conv)
                 body, open_trace = split_trace(a) if a is not None else ("", False)
                 if open_trace or fr is not None and str(fr).strip().lower() == "length":
-                    ids.append(i), defect.append("truncated")
+                    out.append((i, "truncated", None, None, 0))
                 elif not canon(body):
-                    ids.append(i), defect.append("empty")
+                    out.append((i, "empty", None, None, 0))
                 else:
-                    todo.append((i, q, body, *features(clauses(body), q, allowed_languages(q), known)))
-            for (i, q, body, _, sizes, told), y in zip(todo, model.decode([t[3] for t in todo])):
-                if d := judge(q, body, y, sizes, told):
-                    ids.append(i), defect.append(d)
-            yield pd.DataFrame({"resp_id": pd.Series(ids, dtype="int64"), "defect": pd.Series(defect, dtype="object")})
-
-    return rows.filter("resp_id IS NOT NULL").select("resp_id", "conversations", "finish_reason").mapInPandas(run, "resp_id BIGINT, defect STRING")
+                    parts = clauses(body)
+                    last = asked(parts)
+                    if last in trusted:
+                        last = None
+                    todo.append((i, q, body, *features(parts, q, allowed_languages(q), _All()), last, int(last is not None and last in counted(body, parts))))
+            both = [t for t in todo if t[6] is not None]
+            other = {id(t): judge(t[1], t[2], y, t[4], t[5]) for t, y in zip(both, model.decode([[*t[3][:-1], t[3][-1] + unknown] for t in both]))}
+            for t, y in zip(todo, model.decode([t[3] for t in todo])):
+                d = judge(t[1], t[2], y, t[4], t[5])
+                e = other.get(id(t), d)
+                if d or e:
+                    out.append((t[0], d, e, t[6] if d != e else None, t[7]))
+            sure = [r[3] is None for r in out]
+            # keys of sure rows only spread them
+            key = _hashes([str(r[0]) if r[3] is None else _word_key(r[3]) for r in out]) if out else np.empty(0, dtype=np.int64)
+            cols = {"resp_id": pd.Series([r[0] for r in out], dtype="int64"), "defect": pd.Series([r[1] for r in out], dtype="object"), "other": pd.Series([r[2] for r in out], dtype="object")}
+            yield pd.DataFrame({**cols, "key": key, "own": pd.Series([r[4] for r in out], dtype="int32"), "sure": pd.Series(sure, dtype="bool")})
+
+    tags = rows.filter("resp_id IS NOT NULL").select("resp_id", "conversations", "finish_reason")
+    tags = tags.mapInPandas(run, "resp_id BIGINT, defect STRING, other STRING, key BIGINT, own INT, sure BOOLEAN").join(words, "key", "left")
+    known = F.col("sure") | (F.coalesce("n", F.lit(0)) - F.col("own") >= 1)
+    return tags.select("resp_id", F.when(known, F.col("defect")).otherwise(F.col("other")).alias("defect")).filter("defect IS NOT NULL")
 
 
 def summary(found: DataFrame, rows: DataFrame) -> DataFrame:

@@ -60,3 +60,26 @@ def test_held_out_cuts(spark, sf, field):
             todo.append(pairs.features(pairs.clauses(body), q, pairs.allowed_languages(q), field.known)[0])
     hit = sum(y[-1] == pairs.UNFINISHED for y in field.decode(todo))
     assert len(todo) > 20 and hit >= 0.9 * len(todo)
+
+
+def test_vocabulary_of_all_rows(spark):
+    """Words are counted over all answers, ideographs one by one, last words that may be cut not at all."""
+    a = ["The lamps are on.\nSee the harbour", "The harbour is wet. The lam", "这里下雪。雪很大", None]
+    df = spark.createDataFrame([(i, msgs(("user", "Zebra?"), ("assistant", x)), "stop") for i, x in enumerate(a)], REGEN)
+    got = {r["key"]: r["n"] for r in pairs.vocabulary(df).collect()}
+
+    def n(*keys):
+        return [got.get(h, 0) for h in pairs._hashes(list(keys)).tolist()]
+
+    assert n("wthe", "wharbour", "wlam", "w雪", "w大", "wzebra", "esee the harbour", "eSee the harbour") == [2, 1, 0, 1, 0, 0, 0, 1]
+    assert pairs.asked(["雪很大"]) == "大" and pairs.asked(["It is on."]) is None
+
+
+def test_last_word_known_outside_of_the_sample(spark):
+    """The verdict follows the vocabulary of all rows given, not that of the rows the field was fitted on."""
+    emit = pairs.np.zeros((pairs.BUCKETS, len(pairs.LABELS)))
+    emit[pairs._bucket("e_unknown"), pairs.UNFINISHED] = 9
+    field = pairs.Field(emit, pairs.np.zeros((len(pairs.LABELS),) * 2), frozenset())
+    a = ["They met at the harbour", "The harbour is wet.", "They met at the harb", "They met at the lighthouse"]
+    df = spark.createDataFrame([(i, msgs(("user", Q), ("assistant", x)), "stop") for i, x in enumerate(a)], REGEN)
+    assert sorted(map(tuple, pairs.defects(df, field).collect())) == [(2, "truncated"), (3, "truncated")]
