@@ -65,7 +65,8 @@ def stitch_missing_keys(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, CAST(CASE WHEN p < 100 THEN 0 WHEN p < 350 THEN 1 ELSE 2 END AS INTEGER) AS index FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents) WHERE p < 1000000")
 def split_by_lengths(spark: SparkSession, sf: str) -> DataFrame:
     flat = select.global_position(table(spark, sf, "documents").select("doc_id"), "doc_id")
-    lengths = spark.createDataFrame([(0, 100), (1, 250), (2, 999_650)], "index INT, n BIGINT")
+    rest = max(0, flat.count() - 350)  # the last piece takes all other rows
+    lengths = spark.createDataFrame([(0, 100), (1, 250), (2, rest)], "index INT, n BIGINT")
     return blocks.split_by_lengths(flat, "position", lengths).select("doc_id", "index")
 
 

@@ -283,3 +283,14 @@ def test_alloc_and_modules(spark):
     assert one(spark, "a=1, b = 2", "string", text.parse_allocation) == {"a": 1, "b": 2}
     names = ["m.linear_attn.in_proj_a", "model.visual.x", "mtp.fc", "lm_head", "m.mlp.up_proj", "mtp.fc.x"]
     assert [one(spark, n, "string", text.keeps_precision) for n in names] == [True, True, True, True, False, False]
+
+
+def test_split_by_lengths_covers_all_rows(spark, tmp_path):
+    """Rows from position 1,000,000 on fall to the last piece."""
+    from pyspark.sql import functions as F
+
+    from quillspark.plans import registry
+
+    spark.range(1_000_100).select(F.col("id").alias("doc_id")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["split_by_lengths"](spark, str(tmp_path)).groupBy("index").count().collect()
+    assert {r["index"]: r["count"] for r in got} == {0: 100, 1: 250, 2: 999_750}
