@@ -146,8 +146,8 @@ def count_pieces(m: Merges, pieces: list[str]) -> np.ndarray:
 class PieceStore:
     """Distinct pieces already counted, kept over all batches of a task."""
 
-    def __init__(self, path: str, limit: int = STORE):
-        self.merges, self.limit = load_merges(path), limit
+    def __init__(self, merges: Merges | str, limit: int = STORE):
+        self.merges, self.limit = load_merges(merges) if isinstance(merges, str) else merges, limit
         self.known: dict[str, int] = {}
         import re
 
@@ -179,13 +179,14 @@ def with_tokens(df: DataFrame, texts: str, vocabulary: str = VOCABULARY, out: st
     """df with column texts (a string, or an array of strings) replaced by the number of tokens in it.
 
     Nulls count 0. Texts are split and counted in Arrow batches; no text is shuffled, and totals are all that leaves.
+    The vocabulary file is read by the driver only, its merges go to the executors by broadcast (a few MB, whatever the input).
     """
-    path = vocabulary_path(vocabulary)
+    sent = df.sparkSession.sparkContext.broadcast(load_merges(vocabulary_path(vocabulary)))
     fields = [f for f in df.schema.fields if f.name != texts]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{out}` BIGINT"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = PieceStore(path)
+        store = PieceStore(sent.value)
         for b in batches:
             col = b.column(b.schema.get_field_index(texts))
             if pa.types.is_list(col.type):

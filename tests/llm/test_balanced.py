@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest_llm import PROMPT, prompt
+from llm_rows import PROMPT, prompt
 from pyspark.sql import functions as F
 
 from quillspark.llm import balanced

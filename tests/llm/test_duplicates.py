@@ -4,7 +4,7 @@ import json
 import unicodedata
 from collections import defaultdict
 
-from conftest_llm import LINE, PROMPT, msgs, prompt
+from llm_rows import LINE, PROMPT, msgs, prompt
 from pyspark.sql import functions as F
 
 from quillspark.llm import duplicates

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from conftest_llm import DOC
+from llm_rows import DOC
 from pyspark.sql import functions as F
 
 from quillspark.llm import leaks

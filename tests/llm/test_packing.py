@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
-from conftest_llm import REGEN, msgs
+from llm_rows import REGEN, msgs
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest_llm import REGEN, msgs
+from llm_rows import REGEN, msgs
 from pyspark.sql import functions as F
 
 from quillspark.llm import pairs

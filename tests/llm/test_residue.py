@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest_llm import DOC
+from llm_rows import DOC
 from pyspark.sql import functions as F
 
 from quillspark.llm import residue

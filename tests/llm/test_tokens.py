@@ -4,7 +4,7 @@ import base64
 
 import pytest
 import tiktoken
-from conftest_llm import DOC, PROMPT, msgs, prompt
+from llm_rows import DOC, PROMPT, msgs, prompt
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -31,12 +31,13 @@ def test_budget(spark):
     rows = [prompt(1, "hello world"), prompt(2, None), (3, None, None, None, None, "EN", None), (4, "i", "C ", msgs(("system", "a"), ("user", "b")), "s", "en_US", 1), prompt(1, "hello world")]
     df = spark.createDataFrame(rows, PROMPT).withColumn("n_tokens", F.lit("clash")).withColumn("texts", F.lit(1))
     got = {(r["source"], r["lang"], r["domain"]): (r["n_records"], r["n_tokens"]) for r in tokens.prompt_budget(df).collect()}
-    assert got == {("s", "en", "c"): (4, 6), (None, "en", None): (1, 0)}
+    n = {t: len(ENC.encode_ordinary(t)) for t in ("hello world", "a", "b")}
+    assert got == {("s", "en", "c"): (4, 2 * n["hello world"] + n["a"] + n["b"]), (None, "en", None): (1, 0)}
     assert tokens.prompt_budget(df.limit(0)).count() == 0
     docs = spark.createDataFrame([(1, "hello world", None, None, None), (2, None, "de-AT", "w", "chat")], DOC)
     slices = tokens.document_budget(docs)
-    assert slices.agg(F.sum("n_tokens")).first()[0] == 2
-    assert {(r["by"], r["label"], r["n_tokens"]) for r in tokens.totals(slices).collect() if r["by"] in ("all", "lang")} == {("all", None, 2), ("lang", None, 2), ("lang", "de", 0)}
+    assert slices.agg(F.sum("n_tokens")).first()[0] == n["hello world"]
+    assert {(r["by"], r["label"], r["n_tokens"]) for r in tokens.totals(slices).collect() if r["by"] in ("all", "lang")} == {("all", None, n["hello world"]), ("lang", None, n["hello world"]), ("lang", "de", 0)}
 
 
 @pytest.mark.parametrize("code, want", [("EN", "en"), ("en-US", "en"), (" fr_FR", "fr"), ("zh-Hans", "zh"), ("", None), (None, None)])
