@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import duck_rows, rows_of
+from sql_rows import duck_rows, rows_of
 
 from quillspark.plans import registry
 
