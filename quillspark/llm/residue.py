@@ -1,110 +1,63 @@
-"""Problem 9: template residue, filler, error pages and script notices in place of content."""
+"""Problem 9: template residue, filler, error pages and script notices in place of content, told by aligning records.
+
+No wording and no slot syntax is listed here. Sentences that many records share, the company they keep, the words that
+stand at one place of otherwise equal records, and the words that records of a language share decide.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from quillspark import runtime
+from quillspark.llm import bits
 
-LEAST_COPIES = 5  # records that must share a template before its company says what it is
-COMPANY = 0.6  # mean share of known residue in the rest of its documents from which a shared template is residue
+LEAST_COPIES = 5  # records that must agree before anything is induced from them
+COMPANY = 0.6  # mean share of shared sentences in the rest of its documents from which a shared sentence is residue
 COVER = 0.5  # share of residue in a document's content from which the document is a case
-PAGE_CHARS = 600  # content up to which a page counts as repeated where all its copies are alike; longer ones must differ in numbers or slots
-HOT_SHARE = 10_000  # a template with more than one HOT_SHARE-th of all sentences is hot: there are fewer than HOT_SHARE
-
-#: Forms in which templates mark their slots; the names inside are free.
-SLOT = regex.compile(
-    r"\{\{\s*[\p{L}_][\w .|-]*\}\}|\{%[^%{}]{1,60}%\}|<%[^%<>]{1,60}%>|[$#]\{\s*[\p{L}_][\w.]*\s*\}|\{[\p{L}_]\w*\}|%\([\p{L}_]\w*\)[sdf]|%%\w+%%"
-    r"|@@\w+@@|__[\p{L}]\w*?__|\[\[\s*[\p{L}_][\w .-]*\]\]|«\s*[\p{L}_][\w]*\s*»|<(?:insert|enter|your|add)\b[^<>]{1,40}>|<[\p{Ll}]+(?:_[\p{Ll}]+)*>"
-    r"|\[(?:your|insert|enter|add)\b[^\[\]]{0,40}\]|\[[^\[\]]{1,40}\b(?:TBD|TODO|here)\]|\[[\p{Lu}]{2,}(?:[_ ][\p{Lu}]+)*\]|_{4,}",
-    regex.IGNORECASE,
-)
+PAGE_WORDS = 60  # words up to which a text has the shape of an error page or a notice
+MENU_WORDS = 6  # words up to which a line without a sentence's end may be a menu
+WIDEST = 3  # words that the value of a slot has at most
+GAP = 4  # words that records of one page template may differ in within a sentence
+FREQUENT = 0.1  # share of a language's documents that hold a word, from which it is a common word
+KNOWN_LANGUAGE = 50  # documents with a language's label from which its common words are known
+HOT_SHARE = 10_000  # a key with more than one HOT_SHARE-th of all rows is hot: there are fewer than HOT_SHARE
+
 #: HTML elements, which are no slots.
-TAGS = frozenset("a b i p u s br hr em li ol ul td th tr div img pre sub sup code html head body span table title strong think answer".split())
-#: Sentences that hold a place for text.
-FILLER = regex.compile(
-    r"\b(?:text|copy|content|caption|title|paragraph) goes here\b|\blorem ipsum\b|\b(?:sample|dummy|placeholder) (?:text|paragraph|copy)\b|\breplace (?:before|this|me)\b"
-    r"|\bcopy to follow\b|\bonly here to show the layout\b|\btext to come\b|\bhier (?:folgt|kommt|steht)\b.{0,40}\btext\b|\bici viendra\b.{0,40}\btexte\b|\baquí (?:irá|va)\b.{0,40}\btexto\b"
-    r"|здесь будет текст|此处(?:填写|输入|为).{0,6}(?:文字|文本|内容)",
-    regex.IGNORECASE,
-)
-#: Wording of error pages.
-ERROR = regex.compile(
-    r"^\W*(?:(?:http|error|status|fehler|erreur|code|sorry|oops)\W*)+[45]\d\d\b|^\W*[45]\d\d\W*(?:[|:–-]|$)|\berr_[a-z_]{4,}|^\W*(?:http|error|fehler|erreur) (?:code )?\d{3}\b|\([45]\d\d\)\W*$"
-    r"|\b(?:page|resource|file|site|document|url)?\s?not found\b|\bforbidden\b|\bbad (?:gateway|request)\b|\bgateway time-?out\b|\bservice (?:is )?(?:temporarily )?unavailable\b"
-    r"|\binternal (?:server )?(?:error|fault)\b|\btoo many (?:requests|open sessions)\b|\brate limit (?:reached|exceeded)\b|\baccess denied\b|\bsession (?:has )?(?:expired|timed out)\b|\blogin required\b"
-    r"|\bresource was removed\b|^\W*(?:sorry\W+|http \d+\W+|\d+\W+)?gone\W*$|\bdid not answer\b|\brequest (?:timed out|failed)\b|\bcould not connect\b|\bcould not complete your request\b"
-    r"|\bno longer exists\b|\bsomething (?:broke|went wrong)\b|^\W*oops\b|\bdo not have permission\b|\bpágina no encontrada\b|\bpage introuvable\b|\bnicht gefunden\b|страница не найдена|页面(?:不存在|未找到)"
-    r"|\btry again later\b|\bréessayer plus tard\b|\bspäter erneut\b|\binténtelo de nuevo\b|попробуйте позже|请稍后再试|\bcheck the address\b|\btell the site owner\b|\bhas been logged\b|\breference code \d+|\bgo back to the start page\b",
-    regex.IGNORECASE,
-)
-#: Wording of notices that scripts are required.
-SCRIPT = regex.compile(r"\b(?:java\s?script|js|noscript|scripts?|scripting|client-side|cookies?)\b", regex.IGNORECASE)
-NEEDS = regex.compile(
-    r"\b(?:enable|turn(?:ed)? on|switch(?:ed)? on|allow|needs?|requires?|rel(?:y|ies) on|without|disabled?|blocked|must be|off|support|activ\w+|einschalten|aktivieren|not run|reload|robot)\b", regex.IGNORECASE
-)
-#: Small words of the languages of the corpus; prose of any length has some of them.
-SMALL_WORDS = frozenset(
-    """the of and to in is that it for on with as are be this by was not or an at from we when does has have before but if only can so its which after what how
-    der die das und ist nicht ein eine den dem des mit von zu bei im auf für sich dass wird als aber nach warum
-    le la les des du de et est un une que pour dans sur par avec plus ce pas ne se en d l au aux pourquoi mais
-    el los las del y es una por para con en que no se su más al lo sin tras qué
-    и в на не что с по для как из это но при через почему к у о""".split()
-)
-COVERED = frozenset(["", "en", "de", "fr", "es", "ru"])
-
-#: Stems of which every wording above holds one, or begins with one; sentences without any need no closer look.
-STEMS = tuple(
-    """goes here|lorem ipsum|sample text|sample paragraph|sample copy|dummy text|dummy paragraph|dummy copy|placeholder text|placeholder paragraph|placeholder copy|replace before|replace this|replace me
-    |copy to follow|show the layout|text to come|hier folgt|hier kommt|hier steht|ici viendra|aquí irá|aquí va|здесь будет|此处
-    |err_|(4|(5|not found|forbidden|bad gateway|bad request|gateway time|unavailable|internal|too many|rate limit|access denied|session|login required|was removed
-    |not answer|request timed|request failed|not connect|your request|longer exists|something broke|something went|permission|página no|introuvable|nicht gefunden|страница|页面
-    |try again|réessayer|später erneut|inténtelo|попробуйте|请稍后|check the address|site owner|been logged|reference code|start page|script|cookie|client-side|js""".replace("\n    ", "").split("|")
-)
-STARTS = ("http", "error", "status", "fehler", "erreur", "code", "sorry", "oops", "gone", "4", "5")
-_SLOT_SIGNS = re.compile(r"[{<@«\[]|%[%(]|__")
-_LEAD = re.compile(r"\w")
-#: Signs outside of prose, its punctuation and light markup.
-_SIGN = r"[^\w\s.,;:!?'’\"“”„()*`#|/\\&+=~^°€£§…–—•\u3000-\u303f\uff00-\uff65-]"
-_ANY_SIGN = re.compile(_SIGN + r"|__")
-#: Places that may be slots, of any syntax: words between signs that are not glued to a word before them, and blanks.
-#: Only the alignment of records tells which are.
-_PLACE = re.compile(rf"(?<![A-Za-z0-9_)\]]){_SIGN}+ ?([^\W\d](?:[\w .|=-]{{0,38}}\w)?) ?{_SIGN}+|(?<![A-Za-z0-9])__+(\w*)")
+TAGS = frozenset("a b i p u s br hr em li ol ul td th tr div img pre sub sup code html head body span table strong think answer".split())
+#: Signs that prose puts around words as well: a name in these only must be known from another marker.
+PROSE_SIGNS = frozenset(["[", "«", "<", "]", "»", ">"])
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.DOTALL)
 _MENTION = re.compile(r"`[^`\n]*`|\bf?\"[^\"\n]*\"|[“„][^”“\n]*[”“]|\$[^$\n]*[\\^=_][^$\n]*\$|\\[a-zA-Z]+(?:\{[^\n]*?\}+)+")
 _CUT = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[。？！])")
-_PLAIN = re.compile(r"[A-Za-zÀ-ɏ\s.,!?'’-]+")
 _ENDED = re.compile(r"[.!?。？！:]\W*$")
+_PROSE = re.compile(r"[^\W\d_][^\W\d_\s.,!?'’;:-]*(?:[\s.,!?'’;:-]+[^\W\d_]+)*[\s.,!?'’;:-]*")
 _DIGITS, _GAPS = re.compile(r"\d+"), re.compile(r"\W+")
+_UNIT = re.compile(r"[぀-ヿ㐀-鿿]|[^\W぀-ヿ㐀-鿿]+")
+_CAPITAL = re.compile(r"(?<=\w\s)(?=[A-ZÀ-ÞА-ЯЁ])")
+#: Signs outside of prose, its punctuation and light markup.
+_SIGN = r"[^\w\s.,;:!?'’\"“”„()*`|/\\&+=~^°€£§…–—•　-〿＀-･-]"
+_HAS_SIGN = re.compile(_SIGN + r"|__| [.,;:!?]|  ")
+#: Words between signs that aren't glued to a word before them; a letter glued behind belongs to the sign.
+_MARKED = re.compile(rf"(?<![\w)\]])((?:{_SIGN}){{1,3}}[(=]{{0,2}}) ?([^\W\d_](?:[\w .|-]{{0,38}}\w)?) ?([)=]?(?:{_SIGN}){{1,3}}|\)[a-z]\b)|(?<![A-Za-z0-9])(__+)([^\W_]\w*?)(__+)(?!\w)")
+#: A word that is a name in a program: with an underscore inside.
+_NAME = re.compile(r"(?<!\w)[^\W\d_]+(?:_[^\W_]+)+(?!\w)")
+#: Nothing where a word should be: two gaps in a row, a gap before a point or comma, or a ruled line.
+_BLANK = re.compile(r"(?<=\w)[^\S\n]+(?=[.,;!?])|(?<=[\w,;]) {2,}(?=\w)|(?<=\w)\s*_{3,}\s*(?=[\w.,;!?])")
+MARKED, NAMED, BLANK = 1, 2, 3
 
 
-def _kind(seg: str, bare: str, covered: bool, stems: list[str]) -> int:
-    """0 none, 1 an open slot, 2 filler, 3 error or notice, 4 words without any small word. bare is seg without code, formulas and quotations;
-    stems are those of STEMS that the text holds."""
-    if _SLOT_SIGNS.search(bare):
-        for m in SLOT.finditer(bare):
-            if m.group(0).strip("<>/").lower() not in TAGS:
-                return 1
-    w = seg.split()
-    low = bare.lower()
-    lead = _LEAD.search(low)
-    if any(x in low for x in stems) or lead and low.startswith(STARTS, lead.start()):
-        if FILLER.search(bare):
-            return 2
-        hits = len(ERROR.findall(bare)) + (len(SCRIPT.findall(bare)) if NEEDS.search(bare) else 0)
-        if hits and len(w) <= max(16, 12 * hits):
-            return 3
-    if covered and len(w) >= 4 and not any(x.strip(".,!?'’-").lower() in SMALL_WORDS for x in w) and _PLAIN.fullmatch(seg):
-        return 4
-    return 0
+def _hash(texts: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(texts, dtype=object), categorize=False).view(np.int64) if texts else np.empty(0, dtype=np.int64)
 
 
 def _bare(s: str) -> str:
@@ -112,150 +65,355 @@ def _bare(s: str) -> str:
     return _MENTION.sub(" ", s) if any(q in s for q in "`\"“„$\\") else s
 
 
-def places(text: str | None) -> list[tuple[int, str, str, str]]:
-    """(sentence, place, name, value) of what may be slots: the place is the sentence's other words and its number among them."""
-    out: list[tuple[int, str, str, str]] = []
-    if not text or not _ANY_SIGN.search(text):
-        return out
-    t = _FENCE.sub("\n", text) if "```" in text or "~~~" in text else text
-    for i, s in enumerate(_CUT.split(t.strip())):
-        if not _ANY_SIGN.search(s):
+def sentences(text: str | None) -> tuple[list[str], int]:
+    """(lines and sentences that hold a word, length of fenced code) of a text."""
+    if not text or not text.strip():
+        return [], 0
+    code = 0
+    if "```" in text or "~~~" in text:
+        code = sum(len(m.group(0)) for m in _FENCE.finditer(text))
+        text = _FENCE.sub("\n", text)
+    return [s for s in (x.strip() for x in _CUT.split(text.strip())) if _UNIT.search(s)], code
+
+
+def skeleton(s: str) -> str:
+    """What records of one template share of a sentence: its words in lower case, numbers as one."""
+    return _GAPS.sub(" ", _DIGITS.sub("0", s.lower())).strip()
+
+
+def units(s: str) -> list[str]:
+    """Words in lower case, numbers as one, each ideograph on its own."""
+    return _UNIT.findall(_DIGITS.sub("0", s.lower()))
+
+
+# frames: what stands around a place. 1: the word on either side. 3: up to three words on either side.
+_EDGE = np.uint64(0x9E3779B97F4A7C15)
+_A, _B, _C, _D, _E = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _A
+    return h ^ (h >> np.uint64(29))
+
+
+def _contexts(h: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of up to three words up to each place, of up to three words from it on, and how many words these are
+    before and behind (tens and units); both stop at an edge."""
+
+    def run(h: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out, n, live = h * _B, (~edge).astype(np.int64), ~edge
+        for k, m in ((1, _C), (2, _D)):
+            prev = np.concatenate([np.full(k, _EDGE, dtype=np.uint64), h[:-k]])[: len(h)]
+            on = np.concatenate([np.ones(k, dtype=bool), edge[:-k]])[: len(h)]
+            out = out + np.where(live, prev * m, np.uint64(0))
+            live = live & ~on
+            n = n + live
+        return _mix(out), n
+
+    left, a = run(h, edge)
+    right, b = run(h[::-1], edge[::-1])
+    return left, right[::-1], a * 10 + b[::-1]
+
+
+def _frames(h: np.ndarray, edge: np.ndarray, i: np.ndarray, j: np.ndarray, wide: bool) -> np.ndarray:
+    """Hash of the frame between places i and j; 0 where it holds too little to align by."""
+    with np.errstate(over="ignore"):
+        if wide:
+            left, right, n = _contexts(h, edge)
+            got = _mix(left[i] * _D + right[j] * _E)
+            return np.where(n[i] // 10 + n[j] % 10 >= 3, got, np.uint64(0))
+        got = _mix(h[i] * _B + h[j] * _E + _C)
+        return np.where(edge[i] & edge[j], np.uint64(0), got)
+
+
+def candidates(segs: list[str]) -> list[tuple[int, int, int, int, int, bool, list[int]]]:
+    """(segment, kind, frame, name, sign, in prose signs only, parts of the name) of each place that may be an open slot:
+    a marked name, a program's name as it stands, or a blank. Quotations, code and formulas have none, and a name that the text
+    also quotes is what it speaks of."""
+    out = []
+    quoted = " ".join(m.group(0) for s in segs if any(q in s for q in "`\"“„$\\") for m in _MENTION.finditer(s)).lower()
+    for k, s in enumerate(segs):
+        if not (_HAS_SIGN.search(s) or "_" in s):
+            continue
+        b = _DIGITS.sub("0", _bare(s).lower())
+        at = [(MARKED, m.start(), m.end(), m.group(2) or m.group(5), (m.group(1) or m.group(4)) + (m.group(3) or m.group(6))) for m in _MARKED.finditer(b)]
+        at = [x for x in at if b[x[1] : x[2]].strip("<>/ ") not in TAGS]
+        at += [(NAMED, m.start(), m.end(), m.group(0), "") for m in _NAME.finditer(b) if m.group(0) not in quoted and not any(x[1] <= m.start() < x[2] for x in at)]
+        at += [(BLANK, m.start(), m.end(), "", "") for m in _BLANK.finditer(b)]
+        if not at:
+            continue
+        w = list(_UNIT.finditer(b))
+        if not w:
             continue
-        bare = _bare(s)
-        found = [m for m in _PLACE.finditer(bare) if m.group(0).strip("<>/ ").lower() not in TAGS]
-        if found:
-            rest = _GAPS.sub(" ", _DIGITS.sub("0", _PLACE.sub(" ∅ ", bare).lower())).strip()
-            if rest:
-                out += [(i, f"{rest}\0{k}\0{len(found)}", _GAPS.sub(" ", (m.group(1) or m.group(2) or "").lower()), m.group(0)) for k, m in enumerate(found)]
+        starts, ends = [m.start() for m in w], [m.end() for m in w]
+        h = np.concatenate([[_EDGE], _hash([m.group(0) for m in w]).view(np.uint64), [_EDGE]])
+        edge = np.zeros(len(h), dtype=bool)
+        edge[[0, -1]] = True
+        for kind, x, y, name, sign in at:
+            i = int(np.searchsorted(ends, x, side="right"))  # words that end before the place; the left one is at i behind the edge
+            j = int(np.searchsorted(starts, y, side="left")) + 1
+            f = int(_frames(h, edge, np.array([i]), np.array([j]), kind != MARKED).view(np.int64)[0])
+            if f:
+                parts = units(name.replace("_", " "))
+                subs = [" ".join(parts[p:q]) for p in range(len(parts)) for q in range(p + 1, min(len(parts), p + WIDEST) + 1)]
+                out.append((k, kind, f, int(_hash([" ".join(parts)])[0]) if name else 0, int(_hash([sign])[0]), bool(sign) and all(c in PROSE_SIGNS for c in sign), _hash(subs).tolist()))
     return out
 
 
-def segments(text: str | None, lang: str | None = None) -> tuple[list[str], list[int], list[int]]:
-    """Templates (texts with slots and digits taken out), kinds, and lengths of a text's lines and sentences.
+def variants(k: int, s: str) -> list[tuple[int, str, int, bool]]:
+    """(segment, skeleton, length, whether it is a part) of what a short page's sentence may share with others: itself but
+    for one to GAP words, and its parts before and behind a capital letter."""
+    w = skeleton(s).split(" ")
+    out = [(k, " ".join([*w[:i], "∅", *w[i + n :]]), len(s), False) for n in range(1, min(GAP, len(w) - 2) + 1) for i in range(len(w) - n + 1)]
+    for m in _CAPITAL.finditer(s):
+        for part in (s[m.start() :], s[: m.start()].strip()):
+            if part.count(" ") >= 1:
+                out.append((k, skeleton(part), len(part), True))
+    return out
 
-    A first line without a sentence's end, set off from more text, is a title: its length counts 0.
-    """
-    if not text or not text.strip():
-        return [], [], []
-    covered = (lang or "").strip().lower()[:2] in COVERED
-    t = _FENCE.sub("\n", text) if "```" in text or "~~~" in text else text
-    low = t.lower()
-    stems = [x for x in STEMS if x in low]
-    first, _, more = t.strip().partition("\n")
-    title = first if more.strip() and not _ENDED.search(first) else None
-    keys, kinds, sizes = [], [], []
-    for k, s in enumerate(x.strip() for x in _CUT.split(t.strip())):
-        if not s:
-            continue
-        bare = _bare(s)
-        kind = _kind(s, bare, covered, stems)
-        if kind == 0 and kinds and kinds[-1] == 3 and s.count(" ") < 8 and NEEDS.search(bare):
-            kind = 3
-        keys.append(_GAPS.sub(" ", _DIGITS.sub("0", (SLOT.sub(" ∅ ", s) if kind == 1 else s).lower())).strip())
-        kinds.append(kind)
-        sizes.append(0 if k == 0 and title is not None and s == title.strip() and kind == 0 else len(s))
-    if not keys:
-        return ["```"], [0], [len(text)]
-    return keys, kinds, sizes
 
+_DOC = pa.schema([
+    ("doc_id", pa.int64()), ("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())), ("lines", pa.list_(pa.bool_())), ("title", pa.bool_()), ("code", pa.int32()),
+    ("page", pa.int64()), ("body", pa.int64()), ("alts", pa.list_(pa.struct([("seg", pa.int32()), ("key", pa.int64()), ("size", pa.int32()), ("part", pa.bool_())]))),
+    ("places", pa.list_(pa.struct([("seg", pa.int32()), ("kind", pa.int32()), ("frame", pa.int64()), ("name", pa.int64()), ("sign", pa.int64()), ("prose", pa.bool_()), ("subs", pa.list_(pa.int64()))]))),
+    ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()),
+])
+_LOOK = pa.schema([("doc_id", pa.int64()), ("odd", pa.list_(pa.int32())), ("frame", pa.int64()), ("value", pa.int64()), ("open", pa.bool_()), ("n", pa.int64())])
 
-_SEGMENTED = (
-    "doc_id BIGINT, keys ARRAY<BIGINT>, kinds ARRAY<INT>, sizes ARRAY<INT>, code INT, page BIGINT, body BIGINT, places ARRAY<STRUCT<seg: INT, place: BIGINT, name: BIGINT, value: BIGINT>>"
-)
 
+def _batch(schema: pa.Schema, cols: dict[str, object], n: int) -> pa.RecordBatch:
+    """A batch of n rows from some columns; the others are null."""
+    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-def _hashes(texts: list[str]) -> list[int]:
-    return pd.util.hash_array(np.array(texts, dtype=object), categorize=False).view(np.int64).tolist() if texts else []
 
+def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents, and behind them rows (lang, word, n) with the numbers of documents that hold each word."""
+    seen: Counter[tuple[str, str]] = Counter()
 
-def _segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    def words() -> pa.RecordBatch:
+        got = _batch(_DOC, {"lang": [k for k, _ in seen], "word": [w for _, w in seen], "n": list(seen.values())}, len(seen))
+        seen.clear()
+        return got
+
+    names = _DOC.names[:11]
+    for batch in batches:
         out = []
-        for d, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"]):
-            keys, kinds, sizes = segments(text, lang)
-            code = sum(len(m.group(0)) for m in _FENCE.finditer(text)) if text and ("```" in text or "~~~" in text) else 0
-            # the whole page's skeleton, of pages without code that hold a word
-            page, body = _hashes(["\n".join(keys), text.strip()]) if not code and any(keys) else (None, None)
-            at = places(text)
-            h = _hashes([x for p in at for x in p[1:]])
-            out.append((d, _hashes(keys), kinds, sizes, code, page, body, [{"seg": p[0], "place": h[3 * k], "name": h[3 * k + 1], "value": h[3 * k + 2]} for k, p in enumerate(at)]))
-        pdf = pd.DataFrame(out, columns=["doc_id", "keys", "kinds", "sizes", "code", "page", "body", "places"])
-        yield pdf.astype({"page": "Int64", "body": "Int64"})
-
-
-def _induced(rows: DataFrame) -> DataFrame:
-    """(doc_id, induced) of documents with open slots told by alignment, induced counting their sentences.
-
-    Records whose words agree but for places of unknown syntax are aligned. A place whose values differ between at least
-    LEAST_COPIES records is a slot, and it is open where the same names recur in it: what is filled in varies freely.
-    A place with the same value in all records is a part of the text.
+        for d, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            segs, code = sentences(text)
+            keys = [skeleton(s) for s in segs]
+            bag = units("\n".join(segs))
+            if segs:
+                lang = (lang or "").strip().lower()[:2]
+                seen.update([(lang, w) for w in set(bag)])
+                seen[lang, ""] += 1
+            n = [k.count(" ") + 1 if k.isascii() else len(units(k)) for k in keys]
+            lines = [not _ENDED.search(s) for s in segs]
+            alts = [x for i, s in enumerate(segs) for x in variants(i, s)] if not code and len(bag) <= PAGE_WORDS else []
+            h = _hash([*keys, *(x[1] for x in alts), "\n".join(keys), (text or "").strip()]).tolist()
+            alts = [{"seg": x[0], "key": y, "size": x[2], "part": x[3]} for x, y in zip(alts, h[len(keys) :])]
+            at = [dict(zip(("seg", "kind", "frame", "name", "sign", "prose", "subs"), x)) for x in candidates(segs)]
+            page = h[-2] if segs and not code and len(bag) <= PAGE_WORDS else None
+            out.append((d, h[: len(keys)], [len(s) for s in segs], n, lines, bool(lines and lines[0] and len(segs) > 1), code, page, h[-1], alts, at))
+        yield _batch(_DOC, dict(zip(names, zip(*out))) if out else {}, len(out))
+        if len(seen) > 500_000:
+            yield words()
+    if seen:
+        yield words()
+
+
+def _looker(common: frozenset[str], languages: frozenset[str], one: np.ndarray, wide: np.ndarray):  # noqa: ANN202
+    """A second pass: (doc_id, odd) sentences of words of which none is common, and (frame, value, n, open) what stands in
+    the frames that the maps hold; open values are names as programs have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd, flat = [], [""]
+            for d, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                segs, _ = sentences(text)
+                known = (lang or "").strip().lower()[:2] in languages
+                mine = []
+                for k, s in enumerate(segs):
+                    w = units(_bare(s))
+                    flat += w
+                    flat.append("")
+                    if known and len(w) >= 4 and common.isdisjoint(w) and _PROSE.fullmatch(s):
+                        mine.append(k)
+                if mine:
+                    odd.append((d, mine))
+            codes, uniq = pd.factorize(np.array(flat, dtype=object))
+            h = np.where(uniq == "", _EDGE, _hash(uniq.tolist()).view(np.uint64))[codes] if len(uniq) else np.empty(0, dtype=np.uint64)
+            edge, name = (uniq == "")[codes], np.array(["_" in w for w in uniq], dtype=bool)[codes]
+            got = []
+            with np.errstate(over="ignore"):
+                left, right, n = _contexts(h, edge)
+                for v in range(1, WIDEST + 1):
+                    i = np.arange(max(0, len(h) - v - 1))
+                    ok = ~edge[i + 1]
+                    value = h[i + 1] * _B
+                    for k in range(2, v + 1):
+                        ok &= ~edge[i + k]
+                        value = _mix(value) + h[i + k] * _C
+                    i = i[ok]
+                    value, j = _mix(value[ok]), i + v + 1
+                    open_ = name[i + 1].copy()
+                    for k in range(2, v + 1):
+                        open_ |= name[i + k]
+                    f1 = np.where(edge[i] & edge[j], np.uint64(0), _mix(h[i] * _B + h[j] * _E + _C))
+                    f3 = np.where(n[i] // 10 + n[j] % 10 >= 3, _mix(left[i] * _D + right[j] * _E), np.uint64(0))
+                    for f, m in ((f1, one), (f3, wide)):
+                        on = (f != 0) & bits.hits(m, f)
+                        got.append(pd.DataFrame({"frame": f[on].view(np.int64), "value": value[on].view(np.int64), "open": open_[on]}))
+            yield _batch(_LOOK, {"doc_id": [x[0] for x in odd], "odd": [x[1] for x in odd]}, len(odd))
+            by = pd.concat(got).groupby(["frame", "value", "open"], as_index=False).size()
+            yield _batch(_LOOK, {"frame": by["frame"], "value": by["value"], "open": by["open"], "n": by["size"]}, len(by))
+
+    return run
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, n_rows: int, how: str) -> DataFrame:
+    """rows joined with table (key, n, ...), n being the rows with each key: hot keys, fewer than HOT_SHARE, by broadcast and
+    all others by shuffle. table must have every hot key."""
+    bar = max(LEAST_COPIES, n_rows // HOT_SHARE)
+    hot, cold = table.filter(F.col("n") > bar).drop("n"), table.filter(F.col("n") <= bar).drop("n")
+    got = rows.join(F.broadcast(hot), key, "inner")
+    return got.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how), allowMissingColumns=True)
+
+
+def _common_words(rows: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
+    """(words that a FREQUENT share of a language's documents hold, languages with KNOWN_LANGUAGE documents). A language has at
+    most the words of 1 / FREQUENT mean documents."""
+    by = rows.filter("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    sizes = by.filter(F.col("word") == "").select("lang", F.col("n").alias("all")).filter(F.col("all") >= KNOWN_LANGUAGE)
+    got = by.filter("word <> ''").join(F.broadcast(sizes), "lang").filter(F.col("n") >= FREQUENT * F.col("all")).select("word").distinct().collect()
+    return frozenset(r[0] for r in got), frozenset(r[0] for r in sizes.select("lang").collect())
+
+
+def _open_slots(places: DataFrame, values: DataFrame, n_places: int) -> DataFrame:
+    """(doc_id, open_slots) of documents with slots left open, open_slots counting their sentences.
+
+    A place is a slot where LEAST_COPIES records or more agree around it and differ in it. A marked name in a slot is open if
+    the same name is left in other slots as well, that is in LEAST_COPIES frames or more, or recurs among others in this one;
+    a name known in prose signs only is none. A program's name or a blank is open where records fill the slot in with
+    LEAST_COPIES words or more of three kinds.
     """
-    each = rows.select("doc_id", F.explode("places").alias("p")).select("doc_id", "p.*")
-    by = each.groupBy("place", "name").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    by = by.groupBy("place").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("names"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    slots = runtime.materialize(by.filter((F.col("n") >= LEAST_COPIES) & (F.col("lo") != F.col("hi")) & (2 * F.col("names") <= F.col("n"))).select("place", "n"), "residue-slots")
-    # hot places, fewer than HOT_SHARE, are looked up by broadcast and all others by shuffle
-    bar = max(LEAST_COPIES, each.count() // HOT_SHARE)
-    hot = F.broadcast(slots.filter(F.col("n") > bar).select("place"))
-    cold = slots.filter(F.col("n") <= bar).select("place")
-    got = each.join(hot, "place", "left_semi").unionByName(each.join(hot, "place", "left_anti").join(cold, "place", "left_semi"))
-    return got.groupBy("doc_id").agg(F.count_distinct("seg").alias("induced"))
-
-
-def _repeated(rows: DataFrame, n_docs: int) -> DataFrame:
-    """(page) of the whole-page skeletons that many documents share: LEAST_COPIES, and more than a HOT_SHARE-th of all, so there are
-    fewer than HOT_SHARE (in small tables a fifth of all documents at most)."""
-    size = F.aggregate("sizes", F.lit(0), lambda a, x: a + x)
-    by = rows.filter("page IS NOT NULL").groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("lo"), F.max("body").alias("hi"), F.max(size).alias("width"))
-    return by.filter((F.col("n") >= LEAST_COPIES) & (F.col("n") > n_docs // HOT_SHARE) & ((F.col("lo") != F.col("hi")) | (F.col("width") <= PAGE_CHARS))).select("page")
+    frames = values.groupBy("frame").agg(
+        F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"), F.sum(F.when(~F.col("open"), F.col("n")).otherwise(0)).alias("filled"), F.count_if(~F.col("open")).alias("fills")
+    )
+    own = places.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == MARKED).alias("marked"))
+    names = places.filter(F.col("kind") == MARKED).groupBy("frame", "name").agg(F.count(F.lit(1)).alias("c")).groupBy("frame").agg(F.count(F.lit(1)).alias("names"))
+    slots = own.join(names, "frame", "left").join(frames, "frame", "left").fillna(0)
+    slots = slots.withColumns({
+        "slot": (F.col("all") >= LEAST_COPIES) & (F.col("kinds") >= 2),
+        "recurs": (F.col("marked") >= LEAST_COPIES) & (F.col("names") >= 2) & (2 * F.col("names") <= F.col("marked")),
+        "filled_in": (F.col("filled") >= LEAST_COPIES) & (F.col("fills") >= 3),
+    }).select("frame", "n", "slot", "recurs", "filled_in")
+    known = places.filter(F.col("kind") == MARKED).groupBy("name").agg(F.count_distinct("frame").alias("frames"), F.count_distinct("sign").alias("signs"), F.bool_and("prose").alias("prose"), F.count(F.lit(1)).alias("n"))
+    sound = (F.col("frames") >= LEAST_COPIES) & ((F.col("signs") >= 2) | ~F.col("prose"))
+    bar = max(LEAST_COPIES, n_places // HOT_SHARE)
+    known = known.filter(sound | (F.col("n") > bar)).select("name", "n", sound.alias("sound"))
+    at = _looked_up(places, runtime.materialize(slots, "residue-slots"), "frame", n_places, "inner")
+    certain = at.filter((F.col("kind") == MARKED) & F.col("recurs") | (F.col("kind") != MARKED) & F.col("filled_in")).select("doc_id", "seg")
+    parts = at.filter((F.col("kind") == MARKED) & F.col("slot") & ~F.col("recurs")).select("doc_id", "seg", F.explode("subs").alias("name"))
+    told = _looked_up(parts, runtime.materialize(known, "residue-names"), "name", n_places, "inner").filter("sound").select("doc_id", "seg")
+    return certain.unionByName(told).groupBy("doc_id").agg(F.count_distinct("seg").alias("open_slots"))
+
+
+def _sum(a: str, f) -> Column:  # noqa: ANN001
+    return F.aggregate(a, F.lit(0), lambda s, x: s + f(x))
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """(doc_id, open_slots, filler, cover, is_residue) of every document, copies on their own; null and empty texts have none.
-
-    Slots of any syntax are induced by aligning records over all documents (_induced), outside of code, formulas and
-    quotations, and whole-page skeletons that many documents share (_repeated) are cases. Where too few records align, the known
-    forms of SLOT make the document a case, as do sentences that hold a place for text. Lines and sentences with slots and digits taken out are templates. Error pages,
-    notices and strings of words without any small word of a known language are cases where they cover half of the content: titles and lines that stand in very many documents (menus)
-    don't count as content. A template shared by LEAST_COPIES records and found mostly in the company of known residue
-    is residue too; that is counted over all documents, in one aggregation by template.
+    """(doc_id, open_slots, cover, is_residue) of every document with an id; null and empty texts are no residue.
+
+    Records are aligned by their sentences (words in lower case, numbers as one). A sentence that LEAST_COPIES different
+    records share is residue if the rest of its documents is made of shared sentences as well, COMPANY on average: real text
+    rarely is. A short shared line in other company is a menu. Sentences of words of which none is common in any known
+    language are residue too. A document is a case if residue covers COVER of its content; menus and a first line that no other
+    record has don't count as content. Short pages are then compared with one gap of up to GAP words, and by the parts of a line,
+    with the sentences found so far; a short page that LEAST_COPIES documents repeat whole is a case unless its sentences
+    also stand in real text. Independently, slots are induced from the words around them, and a document with a slot that keeps
+    a variable's name or nothing is a case (_open_slots).
+
+    Copies count on their own, but agree with one another as one record. Rows that share a doc_id are judged together. All
+    counts run over all documents. Fewer than LEAST_COPIES records of a template are not found.
     """
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", lang.alias("lang")).mapInPandas(_segment, _SEGMENTED)
-    rows = runtime.materialize(rows, "residue-segments")
-    n_docs, n_segments = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
-    known = F.aggregate(F.arrays_zip("kinds", "sizes"), F.lit(0), lambda a, x: a + F.when(x["kinds"] > 0, x["sizes"]).otherwise(0))
-    total = F.aggregate("sizes", F.col("code"), lambda a, x: a + x)
-    each = rows.select("doc_id", known.alias("known"), total.alias("total"), F.explode(F.arrays_zip("keys", "kinds", "sizes")).alias("s"))
-    each = each.select("doc_id", "known", "total", F.col("s.keys").alias("key"), F.col("s.kinds").alias("kind"), F.col("s.sizes").alias("size"))
-    # company: what the document holds beside this segment
-    rest = F.col("total") - F.col("size")
-    beside = F.when((F.col("kind") == 0) & (rest > 0), F.col("known") / rest)
-    templates = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.avg(beside).alias("company"), F.max("kind").alias("most"), F.avg("size").alias("width"))
-    bar = max(LEAST_COPIES, n_segments // HOT_SHARE)
-    learned = F.when(F.col("company") >= COMPANY, 1).when((F.col("width") <= 40) & (F.col("n") > max(LEAST_COPIES, n_docs // 500, bar)), 2)
-    learned = F.when((F.col("n") >= LEAST_COPIES) & (F.col("most") == 0), learned)
-    shared = templates.select("key", "n", learned.alias("learned")).filter((F.col("n") > bar) | F.col("learned").isNotNull())
-    shared = runtime.materialize(shared, "residue-templates")
-    # all hot templates, learned or not, are looked up by broadcast, so their sentences never meet in one task
-    hot = shared.filter(F.col("n") > bar).select("key", F.col("learned").alias("l1"), F.lit(True).alias("hot"))
-    cold = shared.filter((F.col("n") <= bar) & (F.col("learned") == 1)).select("key")
-    j = each.join(F.broadcast(hot), "key", "left")
-    open_ = j.filter("kind = 0 AND hot IS NULL").join(cold, "key", "left_semi").select("doc_id", F.col("size").alias("more"))
-    cover = j.groupBy("doc_id").agg(
-        F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).alias("open_slots"),
-        F.sum(F.when(F.col("kind") == 2, 1).otherwise(0)).alias("filler"),
-        F.sum(F.when((F.col("kind") > 0) | (F.col("l1") == 1), F.col("size")).otherwise(0)).alias("bad"),
-        F.max("known").alias("known"),
-        (F.max("total") - F.sum(F.when((F.col("kind") == 0) & (F.col("l1") == 2), F.col("size")).otherwise(0))).alias("content"),
-    )
-    more = open_.groupBy("doc_id").agg(F.sum("more").alias("more"))
-    pages = rows.join(F.broadcast(_repeated(rows, n_docs)), "page", "left_semi").select("doc_id").distinct().withColumn("whole", F.lit(True))
-    got = cover.join(more, "doc_id", "left").join(_induced(rows), "doc_id", "left").join(pages, "doc_id", "left")
-    got = got.withColumn("open_slots", F.greatest("open_slots", F.coalesce("induced", F.lit(0)))).withColumn("cover", F.coalesce((F.col("bad") + F.coalesce("more", F.lit(0))) / F.nullif("content", F.lit(0)), F.lit(0.0)))
-    got = got.withColumn("cover", F.when(F.col("whole"), 1.0).otherwise(F.col("cover")))
-    is_case = (F.col("open_slots") > 0) | (F.col("filler") > 0) | (F.col("cover") >= COVER)
-    return got.select("doc_id", "open_slots", "filler", "cover", is_case.alias("is_residue"))
+    src = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", lang.alias("lang"))
+    rows = runtime.materialize(src.mapInArrow(_segment, from_arrow_schema(_DOC)), "residue-segments")
+    pages = rows.filter("word IS NULL")
+    places = runtime.materialize(pages.select("doc_id", F.explode("places").alias("p")).select("doc_id", "p.*"), "residue-places")
+    common, languages = _common_words(rows)
+    one = bits.bit_map(places.filter(F.col("kind") == MARKED), "frame")
+    wide = bits.bit_map(places.filter(F.col("kind") != MARKED), "frame")
+    looker = _looker(common, languages, one, wide)
+    look = runtime.materialize(src.mapInArrow(looker, from_arrow_schema(_LOOK)), "residue-values")
+    values = look.filter("frame IS NOT NULL").groupBy("frame", "value", "open").agg(F.sum("n").alias("n"))
+    slots = _open_slots(places, values, places.count())
+
+    # sentences that different records share
+    each = pages.select("doc_id", "body", "title", "code", F.posexplode(F.arrays_zip("keys", "sizes", "words", "lines")).alias("seg", "s"))
+    each = each.select("doc_id", "body", "title", "code", "seg", F.col("s.keys").alias("key"), F.col("s.sizes").alias("size"), F.col("s.words").alias("words"), F.col("s.lines").alias("line"))
+    n_segs = pages.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    bar = max(LEAST_COPIES, n_segs // HOT_SHARE)
+    by = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("body").alias("records"))
+    shared = runtime.materialize(by.filter((F.col("records") >= LEAST_COPIES) | (F.col("n") > bar)).select("key", "n", (F.col("records") >= LEAST_COPIES).alias("shared")), "residue-shared")
+    seg = F.struct("seg", "key", "size", "words", "line", F.coalesce("shared", F.lit(False)).alias("shared"))
+    whole = _looked_up(each, shared, "key", n_segs, "left").groupBy("doc_id").agg(F.min("body").alias("body"), F.sum(F.when(F.col("seg") == 0, F.col("code"))).alias("code"), F.bool_or("title").alias("title"), F.collect_list(seg).alias("segs"))
+    no_title = F.transform("segs", lambda x: F.when((x["seg"] == 0) & F.col("title") & ~x["shared"], x.withField("size", F.lit(0))).otherwise(x))
+    whole = whole.select("doc_id", "body", no_title.alias("segs"), F.coalesce("code", F.lit(0)).alias("code"))
+    whole = whole.withColumns({"total": F.col("code") + _sum("segs", lambda x: x["size"]), "known": _sum("segs", lambda x: F.when(x["shared"], x["size"]).otherwise(0))})
+    whole = runtime.materialize(whole, "residue-documents")
+
+    # the company that shared sentences keep; copies are one record
+    seg_rows = whole.select("doc_id", "body", "total", "known", F.explode(F.filter("segs", lambda x: x["shared"])).alias("s")).select("doc_id", "body", "total", "known", "s.*")
+    one_key = seg_rows.groupBy("body", "key").agg(F.min("doc_id").alias("doc_id"), F.max("total").alias("total"), F.max("known").alias("known"), F.max("size").alias("size"), F.max("words").alias("words"), F.bool_and("line").alias("line"))
+    company = F.avg(F.when(F.col("total") > F.col("size"), (F.col("known") - F.col("size")) / (F.col("total") - F.col("size"))))
+    told = one_key.groupBy("key").agg(company.alias("company"), F.max("words").alias("words"), F.bool_and("line").alias("line")).join(shared.select("key", "n"), "key")
+    good = F.coalesce(F.col("company"), F.lit(1.0)) >= COMPANY
+    told = told.select("key", "n", good.alias("good"), (~good & F.col("line") & (F.col("words") <= MENU_WORDS)).alias("menu"))
+    told = runtime.materialize(told.filter(F.col("good") | F.col("menu") | (F.col("n") > bar)), "residue-told")
+    marks = _looked_up(seg_rows, told, "key", n_segs, "inner").groupBy("doc_id").agg(
+        F.sum(F.when(F.col("good"), F.col("size")).otherwise(0)).alias("good"), F.sum(F.when(F.col("menu"), F.col("size")).otherwise(0)).alias("menu"),
+        F.collect_set(F.when(F.col("good"), F.col("seg"))).alias("done"), F.collect_set(F.when(F.col("menu"), F.col("seg"))).alias("menus"),
+    )
+    odd = look.filter("odd IS NOT NULL").groupBy("doc_id").agg(F.flatten(F.collect_list("odd")).alias("odd"))
+    judged = whole.select("doc_id", "body", "segs", "total").join(marks, "doc_id", "left").join(odd, "doc_id", "left")
+    is_odd = F.filter("segs", lambda x: F.array_contains("odd", x["seg"]) & ~F.coalesce(F.array_contains("done", x["seg"]), F.lit(False)))
+    judged = judged.withColumn("bad", F.coalesce("good", F.lit(0)) + F.coalesce(_sum(is_odd, lambda x: x["size"]), F.lit(0)))
+    judged = judged.withColumn("content", F.col("total") - F.coalesce("menu", F.lit(0)))
+    judged = runtime.materialize(judged.select("doc_id", "body", "bad", "content", *(F.coalesce(c, F.array().cast("array<int>")).alias(c) for c in ("done", "menus")), F.transform("segs", lambda x: F.struct(x["seg"].alias("seg"), x["size"].alias("size"))).alias("sizes")), "residue-judged")
+
+    # short pages: one gap in a sentence, and parts of a line
+    alts = pages.filter(F.size("alts") > 0).select("doc_id", F.explode("alts").alias("a")).select("doc_id", "a.*")
+    alts = alts.join(judged.select("doc_id", "body", "bad", "content", "done", "menus", "sizes"), "doc_id").filter(~F.array_contains("menus", F.col("seg")))
+    counted = F.array_max(F.transform(F.filter("sizes", lambda x: x["seg"] == F.col("seg")), lambda x: x["size"]))  # 0 for a first line that isn't content
+    alts = alts.select("doc_id", "body", "bad", "content", "seg", "key", "size", "part", F.coalesce(counted, F.lit(0)).alias("counted"), F.array_contains("done", F.col("seg")).alias("done"))
+    alts = runtime.materialize(alts, "residue-variants")
+    rest = F.col("content") - F.col("counted")
+    beside = F.when(rest > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("bad") - F.when(F.col("done"), F.col("counted")).otherwise(0)) / rest)))
+    gaps = alts.filter("NOT part").groupBy("key", "body").agg(F.max(beside).alias("c"), F.count(F.lit(1)).alias("m"))
+    gaps = gaps.groupBy("key").agg(F.count("c").alias("records"), F.avg("c").alias("company"), F.sum("m").alias("n"))
+    n_alts = alts.count()
+    alt_bar = max(LEAST_COPIES, n_alts // HOT_SHARE)
+    fits = (F.col("records") >= LEAST_COPIES) & (F.col("company") >= COMPANY)
+    gaps = runtime.materialize(gaps.filter(fits | (F.col("n") > alt_bar)).select("key", "n", F.coalesce(fits, F.lit(False)).alias("fits")), "residue-gaps")
+    parts = open_alts.filter("part").groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(told.filter("good").select("key", F.lit(True).alias("fits")), "key", "left")
+    parts = runtime.materialize(parts.filter(F.col("fits") | (F.col("n") > alt_bar)), "residue-parts")
+    open_alts = alts.filter((F.col("bad") < COVER * F.col("content")) & ~F.col("done") & (F.col("counted") > 0)).select("doc_id", "seg", "key", "size", "part")
+    close = _looked_up(open_alts.filter("NOT part"), gaps, "key", n_alts, "inner").unionByName(_looked_up(open_alts.filter("part"), parts, "key", n_alts, "inner"))
+    more = close.filter("fits").groupBy("doc_id", "seg").agg(F.max("size").alias("size")).groupBy("doc_id").agg(F.sum("size").alias("more"))
+
+    # whole pages; those with a sentence that also stands in real text are none
+    real = _looked_up(seg_rows.select("doc_id", "key"), told, "key", n_segs, "left").filter("good IS NULL OR NOT good AND NOT menu").select("doc_id").distinct()
+    again = pages.filter("page IS NOT NULL").groupBy("page").agg(F.count(F.lit(1)).alias("n"))
+    n_docs = pages.count()
+    again = runtime.materialize(again.filter(F.col("n") >= LEAST_COPIES), "residue-pages")
+    copies = _looked_up(pages.filter("page IS NOT NULL").select("doc_id", "page"), again, "page", n_docs, "inner").select("doc_id").join(real, "doc_id", "left_anti").distinct().withColumn("repeated", F.lit(True))
+
+    got = pages.select("doc_id").distinct().join(judged.select("doc_id", "bad", "content"), "doc_id", "left").join(more, "doc_id", "left").join(slots, "doc_id", "left").join(copies, "doc_id", "left")
+    cover = F.least(F.lit(1.0), F.coalesce((F.col("bad") + F.coalesce("more", F.lit(0))) / F.nullif("content", F.lit(0)), F.lit(0.0)))
+    got = got.withColumns({"open_slots": F.coalesce("open_slots", F.lit(0)), "cover": F.when(F.col("repeated"), 1.0).otherwise(cover)})
+    return got.select("doc_id", "open_slots", "cover", ((F.col("open_slots") > 0) | (F.col("cover") >= COVER)).alias("is_residue"))
 
 
 def found(docs: DataFrame) -> DataFrame:
