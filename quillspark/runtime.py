@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import tempfile
 import uuid
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,18 +35,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where the cluster sets it, else a folder of this host (tests)."""
+    """The folder all executors share: spark.checkpoint.dir where the cluster sets it, else a folder of this host.
+
+    The latter is for local masters only (tests): on a cluster executors wouldn't see it, so there it is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = known.get() if known.isDefined() else None
     if not where:
+        master = spark.conf.get("spark.master", "") or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         where = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
 _written: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -54,6 +63,87 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _fs(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> bool:
+    """Moves a file or folder; False where the target is there already."""
+    fs, p = _fs(spark, old)
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new)
+    return not fs.exists(to) and fs.rename(p, to)
+
+
+def commit_entry(spark: SparkSession, log: str, number: int, entry: dict[str, Any]) -> None:
+    """Adds an entry to a log folder: written aside and renamed, so it is there whole or not at all. A number is taken once."""
+    fs, tmp = _fs(spark, f"{log}/.{uuid.uuid4().hex}")
+    out = fs.create(tmp, True)
+    out.write(bytearray(json.dumps(entry).encode()))
+    out.close()
+    if not rename(spark, tmp.toString(), f"{log}/{number:08d}.json"):
+        fs.delete(tmp, True)
+        raise RuntimeError(f"entry {number} of {log} is taken: another writer was faster")
+
+
+def log_entries(spark: SparkSession, log: str) -> list[dict[str, Any]]:
+    """The entries of a log folder in order of their numbers; none where there is no folder."""
+    fs, p = _fs(spark, log)
+    if not fs.exists(p):
+        return []
+    out = []
+    for name in sorted(f.getPath().toString() for f in fs.listStatus(p) if f.getPath().getName().endswith(".json")):
+        fs, file = _fs(spark, name)
+        stream = fs.open(file)
+        out.append(json.loads(bytes(stream.readAllBytes()).decode()))
+        stream.close()
+    return out
+
+
+class Buckets:
+    """Versions of a table in fixed hash buckets of a key, below one folder that outlives the session.
+
+    Joins on the key don't exchange these rows. Names in the catalog are of one use; the files are all that counts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, n: int):
+        self.spark, self.path, self.schema, self.key, self.n = spark, path, schema, key, n
+
+    def bucket(self) -> Column:
+        """The bucket that a key's rows are in."""
+        return F.pmod(F.hash(self.key), F.lit(self.n))
+
+    def aligned(self, df: DataFrame) -> DataFrame:
+        """df, grouped by the key before, in the buckets' partitions: only exchanged where the session has another number."""
+        return df if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) == self.n else df.repartition(self.n, self.key)
+
+    def write(self, df: DataFrame, version: int) -> None:
+        """Writes one version, in place of what a failed attempt may have left of it."""
+        to, name = f"{self.path}/version={version}", f"quillspark_{uuid.uuid4().hex}"
+        remove(self.spark, to)
+        df.write.format("parquet").option("compression", "zstd").bucketBy(self.n, self.key).option("path", to).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")
+
+    def read(self) -> DataFrame:
+        """All versions on disk, with the column version to choose by."""
+        name, schema = f"quillspark_{uuid.uuid4().hex}", f"{self.schema}, version INT"
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], schema)
+        at = self.path.replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet PARTITIONED BY (version) CLUSTERED BY ({self.key}) INTO {self.n} BUCKETS LOCATION '{at}'")
+        _tables.append((self.spark, name))
+        self.spark.sql(f"MSCK REPAIR TABLE {name}")
+        return self.spark.table(name)
+
+    def drop(self, version: int) -> None:
+        remove(self.spark, f"{self.path}/version={version}")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared folder; removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -63,6 +153,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 @atexit.register
 def _clear() -> None:
+    for spark, name in _tables:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # noqa: BLE001 - the session may be gone by now
+            pass
     for spark, path in _written:
         try:
             remove(spark, path)
