@@ -30,10 +30,10 @@ def units(prompts: DataFrame) -> DataFrame:
     return rows.filter("id IS NOT NULL").groupBy("id").agg(first.getField("label").alias("label"))
 
 
-def supply(prompts: DataFrame) -> DataFrame:
-    """(label, supply): distinct ids that carry each category, an id with several categories counting for each."""
+def carriers(prompts: DataFrame) -> DataFrame:
+    """(id, label): the distinct ids that carry each category, an id with several categories once for each."""
     rows = prompts.select(runtime.canonical_uuid(F.col("id")).alias("id"), runtime.canonical_label(F.col("category")).alias("label"))
-    return rows.filter("id IS NOT NULL AND label IS NOT NULL").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("supply"))
+    return rows.filter("id IS NOT NULL AND label IS NOT NULL").distinct()
 
 
 def allocate(targets: list[tuple[str, float, int]], have: dict[str, int], size: int) -> dict[str, float]:
@@ -143,9 +143,10 @@ def cube_sample(rows: DataFrame, sizes: dict[str, float], counts: dict[str, int]
 def draw(prompts: DataFrame, targets: DataFrame, share: tuple[int, int] = (1, 5), seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(sample, report) of prompts for mix targets (category, target_share, min_rows).
 
-    sample: (id, category) as named in targets. report: one row per target with supply (ids that carry the category),
-    wanted (the larger of min_rows and the share of the sample, rounded up), expected (the size the draw aims at),
-    drawn, imbalance (drawn - expected), and short, true where supply is below wanted. A null share or minimum is 0.
+    sample: (id, category) as named in targets. report: one row per target with wanted (the larger of min_rows and the share
+    of the sample, rounded up), expected (the size the draw aims at), drawn, left (ids that carry the category and that the
+    finished draw hasn't taken for it), supply (drawn and left), imbalance (drawn - expected), and short: the draw has come
+    out below wanted, and what it left couldn't have made up for it. A null share or minimum is 0.
     The number of targets is a parameter of the draw and is held at the driver.
     """
     spark = prompts.sparkSession
@@ -159,14 +160,14 @@ def draw(prompts: DataFrame, targets: DataFrame, share: tuple[int, int] = (1, 5)
         if r["label"] is not None:
             counts[r["label"]] = r["count"]
     size = total * share[0] // share[1]
-    carry = {r["label"]: r["supply"] for r in supply(prompts).filter(F.col("label").isin(labels)).collect()}
     sizes = allocate([(r[1], r[2], r[3]) for r in want], counts, size)
     got = runtime.materialize(cube_sample(rows, sizes, counts, seed), "cube-sample")
-    drawn = {r["label"]: r["count"] for r in got.groupBy("label").count().collect()}
-    out = []
-    for name, label, s, m in want:
-        need = max(m, math.ceil(s * size))
-        out.append((name, float(s), int(m), carry.get(label, 0), need, sizes[label], drawn.get(label, 0), drawn.get(label, 0) - sizes[label], carry.get(label, 0) < need))
-    schema = "category STRING, target_share DOUBLE, min_rows INT, supply BIGINT, wanted BIGINT, expected DOUBLE, drawn BIGINT, imbalance DOUBLE, short BOOLEAN"
-    names = spark.createDataFrame([(r[1], r[0]) for r in want], "label STRING, category STRING")
-    return got.join(F.broadcast(names), "label").select("id", "category"), spark.createDataFrame(out, schema)
+    base = spark.createDataFrame([(n, c, float(s), int(m), max(m, math.ceil(s * size)), sizes[c]) for n, c, s, m in want], "category STRING, label STRING, target_share DOUBLE, min_rows INT, wanted BIGINT, expected DOUBLE")
+    # the draw beside all that it could have drawn from
+    outcome = carriers(prompts).filter(F.col("label").isin(labels)).join(got.withColumn("taken", F.lit(1)), ["id", "label"], "left")
+    outcome = outcome.groupBy("label").agg(F.count("taken").alias("drawn"), F.count(F.lit(1)).alias("supply"))
+    report = base.join(outcome, "label", "left").fillna(0, ["drawn", "supply"])
+    report = report.withColumns({"left": F.col("supply") - F.col("drawn"), "imbalance": F.col("drawn") - F.col("expected")})
+    report = report.withColumn("short", (F.col("drawn") < F.col("wanted")) & (F.col("left") < F.col("wanted") - F.col("drawn")))
+    sample = got.join(F.broadcast(base.select("label", "category")), "label").select("id", "category")
+    return sample, report.select("category", "target_share", "min_rows", "supply", "wanted", "expected", "drawn", "left", "imbalance", "short")

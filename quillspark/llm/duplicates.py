@@ -58,56 +58,86 @@ def records(prompts: DataFrame, lines: DataFrame) -> DataFrame:
 class DuplicateLedger:
     """Counts per canonical key over all deliveries so far: (bucket, key, n_copies, first_line, first_delivery).
 
-    The ledger is a table in buckets of the key's hash, written anew by each update into the shared folder; readers
-    of the older version are not disturbed, and a lost executor loses nothing.
+    The ledger lies below one folder in a fixed number of buckets of the key's hash. An update joins the delivery with
+    the buckets that it touches and writes these anew, as one version; its log entry says which version holds each bucket, so
+    all others stay where they are. Rows read after an update last until the second update behind it. What a failed
+    update left is written over by the next try, as without a log entry it doesn't count. A second ledger opened on the
+    folder goes on from the last entry, in whatever session.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark = spark
-        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-        self.rows: DataFrame | None = None
-        self._path: str | None = None
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
+    SCHEMA = "bucket INT, key BINARY, n_copies BIGINT, first_line BIGINT, first_delivery INT"
 
-    def update(self, batch: DataFrame, delivery: int) -> DataFrame:
-        """Adds one delivery (line_no, key). Empty deliveries leave the ledger as it is. The earliest line represents.
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark = spark
+        self.path = path or runtime.scratch(spark, "dup-ledger")
+        self.entries = runtime.log_entries(spark, f"{self.path}/log")
+        n = self.entries[-1]["buckets"] if self.entries else buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        self.store = runtime.Buckets(spark, f"{self.path}/rows", self.SCHEMA, "key", n)
+
+    @property
+    def deliveries(self) -> list[int]:
+        return [e["delivery"] for e in self.entries]
+
+    def _at(self, places: dict[str, int], buckets: Iterable[int]) -> DataFrame:
+        """The rows of some buckets, each in the version that holds it."""
+        by: dict[int, list[int]] = {}
+        for b in buckets:
+            if str(b) in places:
+                by.setdefault(places[str(b)], []).append(b)
+        if not by:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        own = F.lit(False)
+        for v, bs in by.items():
+            own = own | ((F.col("version") == v) if len(bs) == self.store.n else (F.col("version") == v) & F.col("bucket").isin(bs))
+        return self.store.read().filter(own).drop("version")
+
+    @property
+    def rows(self) -> DataFrame:
+        """All counts so far; no rows before the first update."""
+        return self._at(self.entries[-1]["places"] if self.entries else {}, range(self.store.n))
+
+    def touched(self, batch: DataFrame) -> list[int]:
+        return [r[0] for r in batch.select(self.store.bucket().alias("b")).distinct().collect()]
+
+    def update(self, batch: DataFrame, delivery: int, touched: list[int] | None = None) -> None:
+        """Adds one delivery (line_no, key); one that the ledger has is left as it is. The earliest line represents.
 
         The delivery is counted per key before it meets the ledger, so a key that fills a third of it is one row of
-        the join. Buckets the delivery doesn't touch find no partner and pass through the outer join unchanged.
+        the join. Neither side of the full outer join is exchanged but for that count.
         """
-        new = batch.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("line")).withColumn("bucket", self._bucket())
-        if self.rows is None:
-            out = new.select("bucket", "key", F.col("n").alias("n_copies"), F.col("line").alias("first_line"), F.lit(delivery).alias("first_delivery"))
-        else:
-            out = self.rows.join(new, ["bucket", "key"], "full_outer").select(
-                "bucket",
+        if delivery in self.deliveries:
+            return
+        touched = self.touched(batch) if touched is None else touched
+        version, places = len(self.entries), dict(self.entries[-1]["places"]) if self.entries else {}
+        if touched:
+            new = self.store.aligned(batch.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("line")))
+            out = self._at(places, touched).drop("bucket").join(new, "key", "full_outer").select(
+                self.store.bucket().cast("int").alias("bucket"),
                 "key",
                 (F.coalesce("n_copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_copies"),
                 F.least("first_line", "line").alias("first_line"),
                 F.coalesce("first_delivery", F.lit(delivery)).alias("first_delivery"),
             )
-        path, old = runtime.scratch(self.spark, "dup-ledger"), self._path
-        out.write.option("compression", "zstd").parquet(path)
-        self.rows = self.spark.read.schema(out.schema).parquet(path)
-        self._path = path
-        if old:
-            runtime.remove(self.spark, old)
-        return self.rows
-
-
-def build_ledger(recs: DataFrame, deliveries: Iterable[int] | None = None) -> tuple[DataFrame, DuplicateLedger]:
-    """Canonical keys written once by delivery, then every delivery added in order. Returns (keys, ledger)."""
+            self.store.write(out, version)
+            places.update((str(b), version) for b in touched)
+        entry = {"delivery": delivery, "buckets": self.store.n, "places": places}
+        runtime.commit_entry(self.spark, f"{self.path}/log", version, entry)
+        before = set(self.entries[-1]["places"].values()) if self.entries else set()
+        older = set(self.entries[-2]["places"].values()) if len(self.entries) > 1 else set()
+        self.entries.append(entry)
+        for v in older - before - set(places.values()):
+            self.store.drop(v)
+
+
+def build_ledger(recs: DataFrame, path: str | None = None) -> tuple[DataFrame, DuplicateLedger]:
+    """Canonical keys written once by delivery, then every delivery that the ledger lacks added in order. Returns (keys, ledger)."""
     spark = recs.sparkSession
     keys = runtime.materialize(recs, "dup-keys", ["delivery"])
-    ledger = DuplicateLedger(spark)
-    if deliveries is None:
-        deliveries = sorted(r[0] for r in keys.select("delivery").distinct().collect())
-    for d in deliveries:
-        ledger.update(keys.filter(F.col("delivery") == d).select("line_no", "key"), d)
-    if ledger.rows is None:
-        ledger.update(keys.select("line_no", "key"), 0)
+    ledger = DuplicateLedger(spark, path)
+    # buckets by delivery: as many numbers as the ledger has buckets for each
+    touched = {r[0]: r[1] for r in keys.groupBy("delivery").agg(F.collect_set(ledger.store.bucket()).alias("b")).collect()}
+    for d in sorted(touched):
+        ledger.update(keys.filter(F.col("delivery") == d).select("line_no", "key"), d, touched[d])
     return keys, ledger
 
 
@@ -124,8 +154,9 @@ def duplicate_pairs(prompts: DataFrame, lines: DataFrame) -> DataFrame:
     such a group; all other keys go through a shuffle join on the key.
     """
     keys, ledger = build_ledger(records(prompts, lines))
-    many = ledger.rows.filter("n_copies > 1").select("key", "n_copies", "first_line")
-    total = ledger.rows.agg(F.sum("n_copies")).first()[0] or 0
+    counts = ledger.rows
+    many = counts.filter("n_copies > 1").select("key", "n_copies", "first_line")
+    total = counts.agg(F.sum("n_copies")).first()[0] or 0
     bar = max(1, total // HOT_SHARE)
     hot = F.broadcast(many.filter(F.col("n_copies") > bar).select("key", "first_line"))
     rest = many.filter(F.col("n_copies") <= bar).select("key", "first_line")

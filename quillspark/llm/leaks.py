@@ -1,4 +1,4 @@
-"""Problem 7: passages of held-out items inside documents, by MinHash containment over size-partitioned windows."""
+"""Problem 7: passages of held-out items inside documents, by MinHash containment over windows of one size."""
 
 from __future__ import annotations
 
@@ -8,13 +8,18 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark import runtime
+from quillspark.llm import bits
+
 PASSAGE = 12  # words in a row that make a leak
 SHINGLE = 5  # words of a shingle
 SPAN = PASSAGE - SHINGLE + 1  # shingles of a passage: the size every window is cut to
-MAX_SKETCH = 2_000_000  # window minima of all items that may be broadcast (16 MB); beyond it they are joined by shuffle
+HOT_SHARE = 1000  # a passage in more than one HOT_SHARE-th of the windows that pass is hot: there are fewer than HOT_SHARE
+SALTS = 64  # parts that a hot passage is joined in
 
 _GAPS = regex.compile(r"[\s\p{P}\p{C}]+")
 _JOINED = regex.compile(r"[\p{P}\p{Cf}]+")
@@ -77,89 +82,47 @@ def sketch(all_words: list[str], owner: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, low[at]
 
 
-def item_passages(items: DataFrame) -> pd.DataFrame:
-    """All windows of the held-out items: item_id, low (window minimum), words (the window's text). Null turns: none."""
-    out = []
-    rows = items.select("item_id", F.explode("turns").alias("t")).filter("t IS NOT NULL").toLocalIterator()
-    for r in rows:
-        w = words(r["t"])
-        at, low = sketch(w, np.zeros(len(w), dtype=np.int64))
-        out += [(r["item_id"], int(m), " ".join(w[i : i + PASSAGE])) for i, m in zip(at, low)]
-    got = pd.DataFrame(out, columns=["item_id", "low", "words"]).drop_duplicates()
-    return got.astype({"item_id": "int64", "low": "uint64"})
-
+def _windows(id_col: str, sent: Broadcast | None = None):  # noqa: ANN202
+    """(id, low, words) of every distinct window of each text; with a bit map, of those whose minimum it may hold."""
 
-def _size_class(n: int) -> int:
-    return max(0, int(n).bit_length() - 4)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [words(t) for t in pdf["text"]]
+            flat = [w for t in texts for w in t]
+            owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            at, low = sketch(flat, owner)
+            if sent is not None and len(at):
+                on = bits.hits(sent.value, low)
+                at, low = at[on], low[on]
+            ids = pdf[id_col].to_numpy()
+            found = {(int(ids[owner[p]]), int(m), " ".join(flat[p : p + PASSAGE])) for p, m in zip(at, low.view(np.int64))}
+            yield pd.DataFrame(list(found), columns=[id_col, "low", "words"]).astype({id_col: "int64", "low": "int64"})
 
+    return run
 
-def _search(docs: DataFrame, passages: pd.DataFrame) -> DataFrame:
-    """(doc_id, item_id, hits, item windows): candidates by window minimum, each verified on its words."""
-    spark = docs.sparkSession
-    lows = np.unique(passages["low"].to_numpy())
-    by_words: dict[str, list[int]] = {}
-    for i, w in zip(passages["item_id"].tolist(), passages["words"].tolist()):
-        by_words.setdefault(w, []).append(i)
-    known = spark.sparkContext.broadcast((lows, by_words))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lows, by_words = known.value
-        for pdf in batches:
-            found: dict[tuple[int, int], set[str]] = {}
-            texts = [words(t) for t in pdf["text"]]
-            ids = pdf["doc_id"].to_numpy()
-            size = np.array([_size_class(len(w)) for w in texts])
-            for c in np.unique(size):  # texts of one size class are sketched together
-                rows = np.flatnonzero(size == c)
-                flat = [w for r in rows for w in texts[r]]
-                owner = np.repeat(rows, [len(texts[r]) for r in rows])
-                at, low = sketch(flat, owner)
-                if not len(at) or not len(lows):
-                    continue
-                j = np.minimum(np.searchsorted(lows, low), len(lows) - 1)
-                for p in at[lows[j] == low]:
-                    w = " ".join(flat[p : p + PASSAGE])
-                    for item in by_words.get(w, ()):
-                        found.setdefault((int(ids[owner[p]]), item), set()).add(w)
-            yield pd.DataFrame([(d, i, len(w)) for (d, i), w in found.items()], columns=["doc_id", "item_id", "n_passages"]).astype("int64")
-
-    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInPandas(search, "doc_id BIGINT, item_id BIGINT, n_passages BIGINT")
-
-
-def _search_shuffled(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same for item sets of any size: window minima of both sides meet in a shuffle join, then words are compared."""
-
-    def windows(id_col: str):  # noqa: ANN202
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                texts = [words(t) for t in pdf["text"]]
-                flat = [w for t in texts for w in t]
-                owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-                at, low = sketch(flat, owner)
-                ids = pdf[id_col].to_numpy()
-                yield pd.DataFrame({id_col: ids[owner[at]] if len(at) else [], "low": low.view(np.int64), "words": [" ".join(flat[p : p + PASSAGE]) for p in at]}).astype({id_col: "int64"})
-
-        return run
-
-    turns = items.select("item_id", F.explode("turns").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    a = turns.mapInPandas(windows("item_id"), "item_id BIGINT, low BIGINT, words STRING").distinct()
-    b = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInPandas(windows("doc_id"), "doc_id BIGINT, low BIGINT, words STRING").distinct()
-    return b.join(a, ["low", "words"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_passages"))
-
-
-def search(docs: DataFrame, items: DataFrame, max_sketch: int = MAX_SKETCH) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_passages): documents that hold passages of an item, with the number of distinct passages.
 
     A MinHash of a whole document can't find twelve words among hundreds: it would need more hash functions than the
-    document has shingles. So documents are partitioned by size into classes, sketched class by class, and cut into
-    windows of the one size of a short passage; a window and a passage of that size have containment 1 or are no
-    case, and the minimum over equal shingle sets is equal, so no passage is missed. Candidates are verified on their
-    words. Null and short texts hold nothing; copies and rows with a repeated doc_id count as what they are.
+    document has shingles. So documents are cut into windows of the one size of a passage; a window and a passage of that size
+    have containment 1 or are no case, and the minimum over equal shingle sets is equal, so no passage is missed.
+
+    The items' minima go to the executors as a bit map of bounded size (bits.MOST), whatever their number; it only prunes.
+    Windows that pass are verified on their words by a join with the items' passages. A passage that more than a
+    HOT_SHARE-th of these windows hold is joined in SALTS parts. Null and short texts hold nothing; copies count on their
+    own, and rows that share a doc_id are one document.
     """
-    bound = items.agg(F.sum(F.aggregate("turns", F.lit(0), lambda a, t: a + F.coalesce(F.length(t), F.lit(0))))).first()[0] or 0
-    if bound // 2 > max_sketch:  # a word has two characters at least, gap included, but for ideographs
-        return _search_shuffled(docs, items)
-    return _search(docs, item_passages(items)).groupBy("doc_id", "item_id").agg(F.max("n_passages").alias("n_passages"))
+    turns = items.filter("item_id IS NOT NULL").select("item_id", F.explode("turns").alias("text")).filter("text IS NOT NULL")
+    passages = runtime.materialize(turns.mapInPandas(_windows("item_id"), "item_id BIGINT, low BIGINT, words STRING").distinct(), "leak-passages")
+    sent = docs.sparkSession.sparkContext.broadcast(bits.bit_map(passages, "low"))
+    texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    near = runtime.materialize(texts.mapInPandas(_windows("doc_id", sent), "doc_id BIGINT, low BIGINT, words STRING"), "leak-windows")
+    by = near.groupBy("low", "words").agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(by.filter(F.col("n") > max(SALTS, near.count() // HOT_SHARE)).select("low", "words", F.lit(True).alias("hot")))
+    near = near.distinct().join(hot, ["low", "words"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.hash("doc_id"), F.lit(SALTS))).otherwise(0)).drop("hot")
+    own = passages.join(hot, ["low", "words"], "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    return near.join(own, ["low", "words", "salt"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_passages"))
 
 
 def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -223,6 +223,12 @@ def pack(rows: DataFrame, capacity: int, id_col: str = "resp_id") -> DataFrame:
     return ranked.select(id_col, "turn", "length", "part", "n_parts", "part_length", bin_of("part_length", "rank").alias("bin"))
 
 
+def divided(packed: DataFrame, id_col: str = "resp_id") -> DataFrame:
+    """(resp_id, turn) of the items that the finished packing has put to more than one container, once for each id and turn."""
+    bins = packed.groupBy(id_col, "turn").agg(F.min("bin").alias("first"), F.max("bin").alias("last"), F.max("n_parts").alias("n_parts"))
+    return bins.filter("n_parts > 1 AND first < last").select(id_col, "turn")
+
+
 def summary(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: n_items (parts), n_bins, least_bins (all lengths over the capacity, rounded up), fill."""
     bins = packed.groupBy("bin").agg(F.sum("part_length").alias("used"), F.count(F.lit(1)).alias("k"))

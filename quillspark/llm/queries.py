@@ -101,7 +101,7 @@ def _capacity(spark: SparkSession, sf: str) -> int:
 
 @query
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p6_packed(spark, sf).filter("n_parts > 1 AND part = 0").select("resp_id", "turn")
+    return packing.divided(p6_packed(spark, sf))
 
 
 @query

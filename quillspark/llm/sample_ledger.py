@@ -13,68 +13,79 @@ SHARE = Fraction(1, 10)
 
 
 class SelectionLedger:
-    """Persisted ledger of keys and draws below one folder.
+    """Persisted ledger of keys and draws below one folder, in rounds; a round is one update.
 
-    keys/delivery=k holds the keys first seen in delivery k with their hash priority, cuts/delivery=k one row: the
-    growth quota filled then and the priority up to which its keys are drawn. Both are append-only, so no later
-    delivery can take a key away; a second ledger opened on the same folder goes on where the first one stopped.
+    Keys first seen in a round lie in fixed hash buckets, with their hash priority and the delivery they came with. A
+    round's log entry, written last, holds the growth quota filled then and the priority up to which its keys are drawn.
+    Rounds are append-only, so nothing later can take a key away. Keys of a round without an entry, left by a failure,
+    don't count and are written over by the next try. A second ledger opened on the folder goes on where the first one stopped.
     """
 
-    KEYS = "id STRING, priority STRING, delivery INT"
-    CUTS = "delivery INT, n_new BIGINT, quota BIGINT, cutoff STRING"
+    SCHEMA = "id STRING, priority STRING, delivery INT"
 
     def __init__(self, spark: SparkSession, path: str | None = None, share: Fraction = SHARE):
         if not 0 <= share <= 1:
             raise ValueError("share must lie between 0 and 1")
         self.spark, self.share = spark, share
         self.path = path or runtime.scratch(spark, "selection-ledger")
-        self._cuts = [tuple(r) for r in self._read("cuts", self.CUTS).select("delivery", "n_new", "quota", "cutoff").collect()]
+        self.rounds = runtime.log_entries(spark, f"{self.path}/log")
+        n = self.rounds[-1]["buckets"] if self.rounds else int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        self.store = runtime.Buckets(spark, f"{self.path}/keys", self.SCHEMA, "id", n)
 
-    def _read(self, part: str, schema: str) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
-        if p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
-        return self.spark.createDataFrame([], schema)
+    @property
+    def deliveries(self) -> set[int]:
+        return {d for r in self.rounds for d in r["deliveries"]}
 
-    def update(self, ids: DataFrame, delivery: int) -> None:
-        """Adds the ids (one column id; null, blank and repeated ones don't count) of a delivery not yet in the ledger.
+    def _keys(self) -> DataFrame:
+        return self.store.read().filter(F.col("version") < len(self.rounds))
 
-        Keys already in the ledger are taken out by anti-join. The quota is what the share of all keys so far exceeds
-        the draws so far by; it goes to the new keys of lowest priority, and they suffice, as the share is at most 1.
+    def update(self, ids: DataFrame, deliveries: list[int]) -> None:
+        """One round: adds (id, delivery) rows of one or more deliveries; null, blank and repeated ids don't count.
+
+        Keys already in the ledger are taken out by anti-join, bucket by bucket. The quota is what the share of all keys so far
+        exceeds the draws so far by; it goes to the new keys of lowest priority, and they suffice, as the share is at most 1.
+        Deliveries that the ledger knows are topped up: what came late is new in this round.
         """
-        if any(c[0] == delivery for c in self._cuts):
-            raise ValueError(f"delivery {delivery} is in the ledger")
-        new = ids.select(runtime.canonical_uuid(F.col("id")).alias("id")).filter("id IS NOT NULL").distinct()
-        if self._cuts:
-            new = new.join(self._read("keys", self.KEYS).select("id"), "id", "left_anti")
-        to = f"{self.path}/keys/delivery={delivery}"
-        new.withColumn("priority", F.concat(F.md5("id"), "id")).write.parquet(to)
-        new = self.spark.read.schema("id STRING, priority STRING").parquet(to)
+        version = len(self.rounds)
+        new = ids.select(runtime.canonical_uuid(F.col("id")).alias("id"), "delivery").filter("id IS NOT NULL")
+        new = self.store.aligned(new.groupBy("id").agg(F.min("delivery").alias("delivery")))
+        if self.rounds:
+            new = new.join(self._keys().select("id"), "id", "left_anti")
+        self.store.write(new.select("id", F.concat(F.md5("id"), "id").alias("priority"), "delivery"), version)
+        new = self.store.read().filter(F.col("version") == version)
         n = new.count()
-        known, drawn = sum(c[1] for c in self._cuts) + n, sum(c[2] for c in self._cuts)
+        known, drawn = sum(r["n_new"] for r in self.rounds) + n, sum(r["quota"] for r in self.rounds)
         quota = int(self.share * known) - drawn
-        cut = (delivery, n, quota, runtime.kth_smallest(new, "priority", quota))
-        self.spark.createDataFrame([cut[1:]], "n_new BIGINT, quota BIGINT, cutoff STRING").coalesce(1).write.parquet(f"{self.path}/cuts/delivery={delivery}")
-        self._cuts.append(cut)
+        entry = {"deliveries": sorted(deliveries), "buckets": self.store.n, "n_new": n, "quota": quota, "cutoff": runtime.kth_smallest(new, "priority", quota)}
+        runtime.commit_entry(self.spark, f"{self.path}/log", version, entry)
+        self.rounds.append(entry)
 
     def selected(self) -> DataFrame:
-        """(id, delivery) of all keys drawn so far; delivery is the one the key first came with."""
-        cuts = self.spark.createDataFrame([(c[0], c[3]) for c in self._cuts if c[3] is not None], "delivery INT, cutoff STRING")
-        keys = self._read("keys", self.KEYS)
-        return keys.join(F.broadcast(cuts), "delivery").filter("priority <= cutoff").select("id", "delivery")
+        """(id, delivery) of all keys drawn so far; delivery is the one the key first came with. One cut a round is broadcast."""
+        cuts = self.spark.createDataFrame([(k, r["cutoff"]) for k, r in enumerate(self.rounds) if r["cutoff"] is not None], "version INT, cutoff STRING")
+        return self._keys().join(F.broadcast(cuts), "version").filter("priority <= cutoff").select("id", "delivery")
 
 
 def stable_sample(rows: DataFrame, share: Fraction = SHARE, path: str | None = None) -> DataFrame:
     """(id, delivery): a share of the distinct ids of (id, batch_no) rows, delivery by delivery; null batches come first.
 
-    The number of deliveries steers a loop at the driver; no data comes there but prefix counts of one delivery.
+    The rows are read once and written by delivery. With a path, the ledger there is carried on: deliveries that it
+    knows are topped up first, in one round, if they brought anything new. The number of deliveries steers a loop at the
+    driver; no data comes there but prefix counts of one round.
     """
     spark = rows.sparkSession
     ledger = SelectionLedger(spark, path, share)
-    rows = rows.select("id", F.coalesce("batch_no", F.lit(-1)).cast("int").alias("delivery"))
-    for d in sorted(r[0] for r in rows.select("delivery").distinct().collect()):
-        ledger.update(rows.filter(F.col("delivery") == d), d)
+    ids = rows.select(runtime.canonical_uuid(F.col("id")).alias("id"), F.coalesce("batch_no", F.lit(-1)).cast("int").alias("delivery")).filter("id IS NOT NULL")
+    ids = runtime.materialize(ids, "selection-ids", ["delivery"])
+    there = sorted(r[0] for r in ids.select("delivery").distinct().collect())
+    known = [d for d in there if d in ledger.deliveries]
+    if known:
+        late = ids.filter(F.col("delivery").isin(known))
+        if not late.join(ledger._keys().select("id"), "id", "left_anti").isEmpty():
+            ledger.update(late, known)
+    for d in there:
+        if d not in known:
+            ledger.update(ids.filter(F.col("delivery") == d), [d])
     return ledger.selected()
 
 

@@ -51,14 +51,53 @@ def test_cases(spark):
     assert duplicates.collapse(p.limit(0), x.limit(0)).count() == 0
 
 
+def counts(ledger):
+    return {(bytes(r["key"]), r["n_copies"], r["first_line"]) for r in ledger.rows.collect()}
+
+
+def recs(spark, n, first=0):
+    rows = [prompt(i, "hot" if i % 3 else f"t{i % 7}", batch=i % 4) for i in range(first, first + n)]
+    return duplicates.records(spark.createDataFrame(rows, PROMPT), spark.createDataFrame([], LINE))
+
+
 def test_ledger_by_deliveries(spark):
     """Deliveries added one by one give the counts of one; a key with most of the rows is one row of each join."""
-    rows = [prompt(i, "hot" if i % 3 else f"t{i % 7}", batch=i % 4) for i in range(200)]
-    recs = duplicates.records(spark.createDataFrame(rows, PROMPT), spark.createDataFrame([], LINE))
-    _, one = duplicates.build_ledger(recs.withColumn("delivery", F.lit(0)))
-    _, many = duplicates.build_ledger(recs)
-    pick = lambda x: {(r["key"], r["n_copies"], r["first_line"]) for r in x.rows.collect()}
-    assert pick(one) == pick(many) and sum(n for _, n, _ in pick(one)) == 200
+    r = recs(spark, 200)
+    _, one = duplicates.build_ledger(r.withColumn("delivery", F.lit(0)))
+    _, many = duplicates.build_ledger(r)
+    assert counts(one) == counts(many) and sum(n for _, n, _ in counts(one)) == 200
+
+
+def test_ledger_goes_on_in_a_new_session(spark, tmp_path):
+    """Opened again with grown data: known deliveries are left alone, only touched buckets are written, older rows stay readable."""
+    r, path = recs(spark, 200), str(tmp_path)
+    duplicates.build_ledger(r.filter("delivery < 3"), path)
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", "5")
+    _, ledger = duplicates.build_ledger(recs(other, 200), path)
+    assert ledger.deliveries == [0, 1, 2, 3] and counts(ledger) == counts(duplicates.build_ledger(r)[1])
+    held, want = ledger.rows, counts(ledger)
+    one = r.filter("line_no = 0").select("line_no", "key")
+    ledger.update(one, 9)
+    assert len(set(ledger.entries[-1]["places"].values())) == 2  # one bucket moved
+    assert {(bytes(x["key"]), x["n_copies"], x["first_line"]) for x in held.collect()} == want
+    ledger.update(one.limit(0), 10)
+    assert sum(n for _, n, _ in counts(duplicates.DuplicateLedger(spark, path))) == 201
+
+
+def test_failed_update_is_written_over(spark, tmp_path):
+    path = str(tmp_path)
+    duplicates.build_ledger(recs(spark, 60).filter("delivery = 0"), path)
+    a = duplicates.DuplicateLedger(spark, path)
+    a.store.write(a.rows.withColumn("n_copies", F.lit(99).cast("long")), len(a.entries))  # rows, but no log entry
+    assert counts(duplicates.build_ledger(recs(spark, 60), path)[1]) == counts(duplicates.build_ledger(recs(spark, 60))[1])
+
+
+def test_ledger_side_is_not_exchanged(spark, tmp_path):
+    _, a = duplicates.build_ledger(recs(spark, 60), str(tmp_path))
+    new = a.store.aligned(recs(spark, 60).groupBy("key").count())
+    plan = a.rows.join(new, "key", "full_outer")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1
 
 
 def test_messages_null(spark):

@@ -24,15 +24,39 @@ def test_same_in_every_layout_and_growing(spark):
     assert upto[0] < upto[1] < upto[2] < upto[3] == all_
 
 
-def test_ledger_goes_on_from_its_folder(spark, tmp_path):
+def test_goes_on_in_a_new_session(spark, tmp_path):
+    """The same folder with grown data, late rows of a known delivery among them, and in another session."""
     df = ids(spark, 900, 3)
-    a = SelectionLedger(spark, str(tmp_path), Fraction(1, 3))
-    a.update(df.filter("batch_no = 0"), 0)
-    first = keys(a.selected())
-    b = SelectionLedger(spark, str(tmp_path), Fraction(1, 3))
-    b.update(df.filter("batch_no = 1").unionByName(df.filter("batch_no = 0")), 1)
-    b.update(df.limit(0), 2)
-    assert first < keys(b.selected()) and len(keys(b.selected())) == 200
+    third, path = Fraction(1, 3), str(tmp_path)
+    first = keys(stable_sample(df.filter("batch_no = 0 AND id < 'c'"), third, path))
+    n = df.filter("batch_no = 0 AND id < 'c'").count()
+    assert len(first) == n // 3 and keys(stable_sample(df.filter("batch_no = 0 AND id < 'c'"), third, path)) == first
+    late = keys(stable_sample(df.filter("batch_no = 0"), third, path))
+    assert first < late and len(late) == 100
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", "7")
+    grown = stable_sample(ids(other, 900, 3), third, path)
+    assert late < keys(grown) and len(keys(grown)) == 300
+    SelectionLedger(other, path, third).update(ids(other, 900, 3).withColumnRenamed("batch_no", "delivery").limit(0), [7])
+    assert keys(SelectionLedger(spark, path, third).selected()) == keys(grown)
+
+
+def test_failed_round_is_written_over(spark, tmp_path):
+    df, path = ids(spark, 600, 2), str(tmp_path)
+    stable_sample(df.filter("batch_no = 0"), path=path)
+    a = SelectionLedger(spark, path)
+    a.store.write(df.selectExpr("concat(id, 'x') AS id", "id AS priority", "batch_no AS delivery"), len(a.rounds))  # keys, but no entry
+    assert keys(stable_sample(df, path=path)) == keys(stable_sample(df)) and len(keys(SelectionLedger(spark, path).selected())) == 60
+
+
+def test_keys_of_earlier_rounds_stay_in_their_buckets(spark, tmp_path):
+    df = ids(spark, 300, 2)
+    stable_sample(df, path=str(tmp_path))
+    a = SelectionLedger(spark, str(tmp_path))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = a.store.aligned(df.groupBy("id").count()).join(a._keys().select("id"), "id", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1
 
 
 def test_cases(spark):
