@@ -91,6 +91,27 @@ def commit_entry(spark: SparkSession, log: str, number: int, entry: dict[str, An
         raise RuntimeError(f"entry {number} of {log} is taken: another writer was faster")
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, whole or not at all; one that is there stays."""
+    fs, tmp = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(tmp, True)
+    out.write(bytearray(data))
+    out.close()
+    if not rename(spark, tmp.toString(), path):
+        fs.delete(tmp, True)
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """The bytes of a small file; None where there is none."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    out = bytes(stream.readAllBytes())
+    stream.close()
+    return out
+
+
 def log_entries(spark: SparkSession, log: str) -> list[dict[str, Any]]:
     """The entries of a log folder in order of their numbers; none where there is no folder."""
     fs, p = _fs(spark, log)
