@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import random
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Callable, Container, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Container, Iterator, Sequence
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -15,33 +20,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import runtime
+from quillspark.llm import bits
 
 LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 SAMPLE = 4000  # rows the field is fitted on: those of lowest hash of resp_id; a bound of the fit, not of what is tagged
 SAMPLE_CHARS = 8000  # characters of a message that the fit looks at
 BUCKETS = 1 << 16
-SHORT = 600  # characters of an answer up to which its clauses are held against the fixed wording of refusals
-INTRO = 30  # letters and digits that a copy may be introduced by
-MISSING_WORDS = 8  # last words that a copy may lack
+REPEATED = 3  # different questions that share an answer's clause, from which it counts as repeated
+INTRO, INTRO_SHARE = 30, 1.0  # letters and digits that a copy may be introduced by: so many, or this share of the question's
+MISSING_WORDS, MISSING_SHARE = 8, 0.25  # last words that a copy may lack: so many, or this share of the question's
 
 #: Names of roles.
 USER, ASSISTANT = frozenset(["user", "human"]), frozenset(["assistant", "gpt", "model", "bot"])
-#: Wording that declines; it labels examples for the fit.
-DECLINES = re.compile(
-    r"\b(?:i|we) (?:can(?:'|no)?t|cannot|am (?:not able|unable)|must decline|won't|will not|would rather not|'d rather not) ?(?:be )?(?:help|assist|answer|go|to|writ|do|provide|discuss|with|\W)"
-    r"|\bi'd rather not\b|\bmust decline\b|\bagainst my guidelines\b|\boutside what i am allowed\b|\bno answer can be\b|\bnot a request i can\b|\bno reply to this\b|\bfor a professional, not\b"
-    r"|\bnot be right for me\b|\bno comment on this\b|\bsomething else instead\b|\bconversation should end\b|\bnot going there\b|\basked not to discuss\b|\bmy instructions do not cover\b"
-    r"|\bmy rules stand\b|\bare turned down\b|\bpick another subject\b|\bnicht helfen\b|\bübernehme ich nicht\b|\bmuss (?:ich )?ablehnen\b|\bnicht beantworten\b"
-    r"|\bdois refuser\b|\bimpossible de vous aider\b|\bpeux pas (?:répondre|vous aider)\b|\bno puedo ayudar\b|\bdebo rechazar\b|\bno me está permitido\b|\bne peux pas\b"
-    r"|не могу помочь|отказаться отвечать|не могу ответить|无法回答|不能协助|无法提供|不能回答",
+#: Common wording that declines. It only starts the labels of the fit; no answer is held against it.
+SEEDS = re.compile(
+    r"\b(?:i|we) (?:can(?:'|no)?t|cannot|am (?:not able|unable)|must decline|won't|will not) ?(?:be )?(?:to )?(?:help|assist|answer|go|writ|do|provide|discuss)"
+    r"|\b(?:i|we) must decline\b|\bagainst my guidelines\b|\bnicht helfen\b|\bmuss (?:ich )?ablehnen\b|\bnicht beantworten\b|\bdois refuser\b|\bpeux pas (?:répondre|vous aider)\b|\bno puedo (?:ayudar|responder)\b|\bdebo rechazar\b"
+    r"|не могу (?:помочь|ответить)|无法(?:回答|提供)|不能(?:回答|协助)",
     re.IGNORECASE,
 )
-#: Stems of which every wording above holds one.
-_DECLINE_STEMS = tuple(
-    """can't|cant|cannot|not able|unable|declin|won't|will not|rather not|guidelines|allowed to|no answer|request i can|no reply|professional|right for me|no comment|something else
-    |should end|not going|to discuss|instructions|my rules|turned down|another subject|nicht|ablehnen|refuser|impossible|peux pas|no puedo|rechazar|permitido|не могу|отказ|无法|不能""".replace("\n    ", "").split("|")
-)
 #: Small words that one language has alone among those told apart.
 WORDS = {
     "en": "the of and to is that it for with are be this by was not an from we which what how when has have before but only after does you your i my at on",
@@ -58,9 +56,19 @@ ASKED = {
     "es": r"spanish|spanisch\w*|espagnol|español|castellano|испанск\w*|по-испански|西班牙[文语]",
     "ru": r"russian|russisch\w*|russe|ruso|русск\w*|по-русски|俄[文语]",
     "zh": r"chinese|chinesisch\w*|chinois|chino|китайск\w*|по-китайски|中文|汉语",
+    "ja": r"japanese|japanisch\w*|japonais|japonés|японск\w*|по-японски|日[文语]|日本語",
+    "ko": r"korean|koreanisch\w*|coréen|coreano|корейск\w*|по-корейски|韩[文语]",
+    "ar": r"arabic|arabisch\w*|arabe|árabe|арабск\w*|по-арабски|阿拉伯[文语]",
 }
-_ASKED_STEMS = tuple("engl|angl|inglés|англи|英|germ|deutsch|allem|alem|немец|德|fren|franz|fran|французск|法|spani|espa|castell|испан|西班|russ|ruso|русск|俄|chin|китай|中文|汉语".split("|"))
-_ASKED = {k: re.compile(rf"\b(?:{v})" if k != "zh" else v, re.IGNORECASE) for k, v in ASKED.items()}
+#: Scripts that stand for a language, as ranges of code points. Ideographs beside kana are Japanese.
+SCRIPTS = (
+    (0x0370, 0x03FF, "el"), (0x0400, 0x04FF, "ru"), (0x0530, 0x058F, "hy"), (0x0590, 0x05FF, "he"), (0x0600, 0x06FF, "ar"), (0x0900, 0x097F, "hi"), (0x0980, 0x09FF, "bn"), (0x0B80, 0x0BFF, "ta"), (0x0E00, 0x0E7F, "th"),
+    (0x10A0, 0x10FF, "ka"), (0x1100, 0x11FF, "ko"), (0x3040, 0x30FF, "ja"), (0x3400, 0x9FFF, "zh"), (0xAC00, 0xD7AF, "ko"),
+)
+_SCRIPT_FROM = [a for a, _, _ in SCRIPTS]
+_ASKED_STEMS = tuple("japan|japon|япон|日|korea|corea|coré|корей|韩|arab|árab|араб|阿拉|engl|angl|inglés|англи|英|germ|deutsch|allem|alem|немец|德|fren|franz|fran|французск|法|spani|espa|castell|испан|西班|russ|ruso|русск|俄|chin|китай|中文|汉语".split("|"))
+_ASKED = {k: re.compile(rf"(?<![a-zа-я])(?:{v})", re.IGNORECASE) for k, v in ASKED.items()}
+UNSPACED = frozenset(["zh", "ja", "th"])
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _WORD = re.compile(r"[^\W\d_]+")
 _UNIT = re.compile(r"[\u3400-\u9fff]|[^\W\d_\u3400-\u9fff]+")  # words, and each ideograph on its own
@@ -70,6 +78,7 @@ _MARK = re.compile(r"\s*(?:\d{1,2}[.)]|[-*•])\s*$")
 _LISTED = re.compile(r"(?:\d{1,2}[.)]|[-*•])\s")
 _FENCE = re.compile(r"(```.*?```|```.*\Z)", re.DOTALL)
 _DROP = re.compile(r"[\W_]+")
+_DIGITS = re.compile(r"\d+")
 _END = re.compile(r"[.!?。？！…][\"'”»)\]*]*$|```$")
 
 
@@ -78,18 +87,29 @@ def canon(text: str) -> str:
     return _DROP.sub("", text.casefold())
 
 
+@lru_cache(maxsize=65_536)
+def script_language(w: str) -> str | None:
+    """The language that a word's script stands for, by its first letter; a word with kana is Japanese. None for Latin and for
+    scripts of many languages."""
+    n = ord(w[0])
+    if n < 0x0370:
+        return None
+    i = bisect_right(_SCRIPT_FROM, n) - 1
+    k = SCRIPTS[i][2] if i >= 0 and n <= SCRIPTS[i][1] else None
+    return "ja" if k == "zh" and any("\u3040" <= c <= "\u30ff" for c in w) else k
+
+
 def language_hits(text: str) -> Counter[str]:
-    """Evidence of each language in a text: small words for Latin script, letters for the others."""
+    """Evidence of each language in a text: small words for Latin script, words or signs for the others."""
     hits: Counter[str] = Counter()
     get = _WORD_LANG.get
     for w in _WORD.findall(text.lower()):
         if k := get(w):
             hits[k] += 1
-        elif w[0] >= "\u0400":
-            if w[0] <= "\u04ff":
-                hits["ru"] += 1
-            elif "\u3400" <= w[0] <= "\u9fff":
-                hits["zh"] += len(w)
+        elif k := script_language(w):
+            hits[k] += len(w) if k in UNSPACED else 1
+    if "ja" in hits and "zh" in hits:
+        hits["ja"] += hits.pop("zh")
     return hits
 
 
@@ -164,7 +184,7 @@ def _word(t: str) -> tuple[int, str | None]:
     if len(_words) > 500_000:
         _words.clear()
     c = t[0]
-    lang = _WORD_LANG.get(t) or ("ru" if "\u0400" <= c <= "\u04ff" else "zh" if "\u3400" <= c <= "\u9fff" else None)
+    lang = _WORD_LANG.get(t) or script_language(t)
     got = (_bucket("w0"), None) if c.isdigit() else (_bucket("w" + t), lang)
     if not c.isdigit() or len(t) < 5:
         _words[t] = got
@@ -212,44 +232,75 @@ def _ending(s: str, toks: list[str], alone: bool, known: Container[str]) -> list
     return f
 
 
-def features(parts: list[str], question: str, allowed: set[str], known: Container[str]) -> tuple[list[list[int]], list[int], list[bool]]:
+def clause_key(s: str) -> str:
+    """A clause with numbers as one and without signs, as it is counted over all answers."""
+    return _DROP.sub(" ", _DIGITS.sub("0", s.casefold())).strip()
+
+
+@lru_cache(maxsize=4096)
+def _content(question: str) -> frozenset[str]:
+    """The question's words that say what it is about: four letters or more, or ideographs."""
+    return frozenset(w for w in _UNIT.findall(question.casefold()) if (len(w) > 3 or script_language(w[0]) in UNSPACED) and w not in _WORD_LANG)
+
+
+def _clause_languages(parts: list[str]) -> list[str | None]:
+    """The language of each clause: its own where the evidence is clear, else that of the whole answer; None without any."""
+    each = [Counter() if s.startswith("```") else language_hits(s) for s in parts]
+    total = sum(each, Counter())
+    main = max(total, key=total.__getitem__) if total else None
+    out: list[str | None] = []
+    for h in each:
+        best = max(h, key=h.__getitem__) if h else None
+        out.append(best if best is None or best == main or h[best] >= max(3, 2 * h[main]) else main)
+    return out
+
+
+def features(
+    parts: list[str], question: str, allowed: set[str], known: Container[str], repeated: Sequence[bool], size_of: tuple[int, int] | None = None
+) -> tuple[list[list[int]], list[int], list[bool]]:
     """Features of each clause (bucket numbers), its weight in letters and digits (an ideograph has the weight of
-    three), and whether it is prose of a known language."""
-    cq = canon(question)
+    three), and whether it is prose of a known language. repeated tells which clauses answers to many questions share;
+    size_of gives the answer's characters and clauses where parts are its last ones only.
+
+    Beside words: how the clause ends, whether it echoes the question, its language, and what sets answers apart that say nothing about
+    the question: the words it shares with it, whether it is repeated, and the answer's length against the question's.
+    """
+    cq, about = canon(question), _content(question)
     out, sizes, told = [], [], []
     n = len(parts)
     get, bucket = _words.get, _bucket
-    short = sum(map(len, parts)) < SHORT
-    low = " ".join(parts).lower() if short else ""
+    long, count = size_of or (sum(map(len, parts)), n)
+    langs = _clause_languages(parts)
+    scale = f"L{min(12, long.bit_length())}", f"R{min(3, max(-3, long.bit_length() - len(question).bit_length()))}", f"N{min(count, 5)}"
+    whole = [bucket(x) for x in scale]
     for i, s in enumerate(parts):
         toks = _WORD_OR_NUMBER.findall(s.casefold())
         c = "".join(toks)  # canon(s)
         size, lang = len(c), False
-        f = [bucket("b"), bucket("first")] if i == 0 else [bucket("b")]
-        echo = size >= 6 and bool(cq) and (c in cq or size > 12 and c[-max(12, size - INTRO) :] in cq or cq in c and size <= len(cq) + INTRO)
+        f = [bucket("b"), bucket("first"), *whole] if i == 0 else [bucket("b"), *whole]
+        echo = size >= 6 and bool(cq) and (c in cq or size > 12 and c[-max(12, size - INTRO) :] in cq or cq in c and size <= len(cq) + intro(cq))
         if s.startswith("```"):
             f.append(bucket("code" if len(s) > 5 and s.endswith("```") else "open"))
             if i == n - 1:
                 f += [bucket(x) for x in (("last", "stop") if len(s) > 5 and s.endswith("```") else ("last", "nostop", "e_open"))]
         else:
-            hits: dict[str, int] = {}
             for t in toks:
                 b, k = get(t) or _word(t)
                 f.append(b)
-                if k is not None:
-                    if k == "zh":
-                        hits[k] = hits.get(k, 0) + len(t)
-                        size += 2 * len(t)
-                    else:
-                        hits[k] = hits.get(k, 0) + 1
-            if hits and not echo:
-                best = max(hits, key=hits.__getitem__)
+                if k in UNSPACED:
+                    size += 2 * len(t)
+                    f += [bucket("w" + t[x : x + 2]) for x in range(len(t) - 1)]
+            if langs[i] is not None and not echo:
                 lang = True
-                f.append(bucket("far" if allowed and best not in allowed and 2 * sum(hits.get(k, 0) for k in allowed) < hits[best] else "near"))
+                f.append(bucket("far" if allowed and langs[i] not in allowed else "near"))
             if i == n - 1:
                 f += [bucket(x) for x in _ending(s, _TOKENS.findall(s.lower()), n == 1, known)]
-        if short and any(x in low for x in _DECLINE_STEMS) and DECLINES.search(s):
-            f.append(bucket("declines"))
+            mine = [w for w in _UNIT.findall(s.casefold()) if len(w) > 3 and w not in _WORD_LANG]
+            shared = "s-" if not mine else f"s{min(2, sum(w in about for w in mine))}"
+            again = "again" if repeated[i] else "once"
+            prose = "p" if any(x.isalpha() and len(x) > 1 for x in toks) else "n"
+            quote = "q" if '"' in s else ""
+            f += [bucket(x) for x in (shared, again, again + shared + prose + quote, again + shared + prose + scale[1], shared + prose + scale[0], again + prose + scale[2])]
         f.append(bucket("echo" if echo else "new"))
         out.append(f)
         sizes.append(size)
@@ -264,6 +315,7 @@ class Field:
     emit: np.ndarray
     move: np.ndarray
     known: frozenset[str]
+    repeated: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.uint64))  # bit map of repeated clauses of the rows it was fitted on
 
     def scores(self, feats: list[list[int]]) -> np.ndarray:
         flat = np.fromiter((b for f in feats for b in f), dtype=np.int64)
@@ -310,14 +362,14 @@ def fit_field(rows: list[tuple[list[list[int]], list[int]]], known: frozenset[st
     ge, gm = np.full((BUCKETS, k), 1e-2), np.full((k, k), 1e-2)
     rng = random.Random(seed)
     rows = [r for r in rows if r[0]]
-    field = Field(emit, move, known)
+    model = Field(emit, move, known)
     for _ in range(epochs):
         order = sorted(range(len(rows)), key=lambda i: (min(len(rows[i][0]) // 4, 12), rng.random()))
         batches = [order[i : i + 64] for i in range(0, len(order), 64)]
         rng.shuffle(batches)
         for part in batches:
             feats = [f for i in part for f in rows[i][0]]
-            e = field.scores(feats)
+            e = model.scores(feats)
             n = np.array([len(rows[i][0]) for i in part])
             b, t = len(part), int(n.max())
             on = np.arange(t)[None, :] < n[:, None]
@@ -354,7 +406,7 @@ def fit_field(rows: list[tuple[list[list[int]], list[int]]], known: frozenset[st
             gt /= b
             gm += gt * gt
             move -= rate * gt / np.sqrt(gm)
-    return field
+    return model
 
 
 def _masked(s: str) -> str:
@@ -373,13 +425,20 @@ def _hashes(keys: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(keys, dtype=object), categorize=False).view(np.int64)
 
 
+def _clause_hashes(parts: list[str]) -> np.ndarray:
+    return _hashes(["c" + clause_key(p) for p in parts]) if parts else np.empty(0, dtype=np.int64)
+
+
 def vocabulary(rows: DataFrame) -> DataFrame:
-    """(key, n): hashes of all answers' words (counted) and of their endings without a full stop, and the numbers of answers with them."""
+    """(key, n, asked): hashes of all answers' words (counted), of their endings without a full stop, and of their clauses, with the numbers
+    of answers that have them. asked has one of 64 bits for each question that a clause answers, 0 for words and endings."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[str] = Counter()
         for pdf in batches:
-            for conv in pdf["c"]:
+            said: list[str] = []
+            bit: list[int] = []
+            for conv, q in zip(pdf["c"], pdf["q"]):
                 a = question_and_answer(conv)[1]
                 body, open_trace = split_trace(a) if a is not None else ("", True)
                 parts = [] if open_trace else clauses(body)
@@ -387,29 +446,93 @@ def vocabulary(rows: DataFrame) -> DataFrame:
                     n.update([_word_key(w) for w in counted(body, parts)])
                     if not _stopped(parts[-1], False):
                         n[_end_key(parts[-1])] += 1
+                    said += parts
+                    bit += [1 << (int(q) & 63)] * len(parts)
+            h = _clause_hashes(said)
+            order = np.argsort(h, kind="stable")
+            h, b = h[order], np.array(bit, dtype=np.uint64)[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
+            if len(first):
+                yield pd.DataFrame({"key": h[first], "n": np.diff(np.append(first, len(h))), "asked": np.bitwise_or.reduceat(b, first).view(np.int64)})
             if len(n) > 1_000_000:
-                yield pd.DataFrame({"key": _hashes(list(n)), "n": list(n.values())})
+                yield pd.DataFrame({"key": _hashes(list(n)), "n": list(n.values()), "asked": 0})
                 n.clear()
         if n:
-            yield pd.DataFrame({"key": _hashes(list(n)), "n": list(n.values())})
+            yield pd.DataFrame({"key": _hashes(list(n)), "n": list(n.values()), "asked": 0})
 
-    # texts of users aren't looked at
-    cut = F.transform("conversations", lambda m: F.when(m.isNotNull(), F.struct(m["role"].alias("role"), F.when(F.lower(F.trim(m["role"])).isin(*USER), "").otherwise(m["content"]).alias("content"))))
-    got = rows.filter("resp_id IS NOT NULL AND conversations IS NOT NULL").select(cut.alias("c")).mapInPandas(run, "key BIGINT, n BIGINT")
-    return runtime.materialize(got.groupBy("key").agg(F.sum("n").alias("n")), "pairs-vocabulary")
+    # of users only a hash of their last text is looked at
+    is_user = lambda m: F.coalesce(F.lower(F.trim(m["role"])).isin(*USER), F.lit(False))
+    cut = F.transform("conversations", lambda m: F.when(m.isNotNull(), F.struct(m["role"].alias("role"), F.when(is_user(m), "").otherwise(m["content"]).alias("content"))))
+    asked_ = F.filter("conversations", is_user)
+    q = F.xxhash64(F.lower(F.get(asked_, F.size(asked_) - 1)["content"]))
+    got = rows.filter("resp_id IS NOT NULL AND conversations IS NOT NULL").select(cut.alias("c"), q.alias("q")).mapInPandas(run, "key BIGINT, n BIGINT, asked BIGINT")
+    return runtime.materialize(got.groupBy("key").agg(F.sum("n").alias("n"), F.bit_or("asked").alias("asked")), "pairs-vocabulary")
 
 
-def examples(
-    sample: list[tuple[str, str | None, str | None]], look: Callable[[list[str]], dict[str, int]], usual: float = 3, seed: int = 3
-) -> tuple[list[tuple[list[list[int]], list[int]]], frozenset[str]]:
-    """Labelled rows from a sample of (question, answer, finish_reason), and the words at their ends that are known.
+def repeated_clauses(words: DataFrame) -> np.ndarray:
+    """Bit map, of bounded size, of the clauses that answers to REPEATED different questions or more share."""
+    return bits.bit_map(words.filter(F.bit_count("asked") >= REPEATED), "key")
+
+
+@dataclass
+class Example:
+    """Last clauses of an answer with labels; last is the word that they end with, mine whether their own answer gives it to the
+    vocabulary, size the characters and clauses of the whole."""
+
+    parts: list[str]
+    question: str
+    labels: list[int]
+    last: str | None
+    mine: bool
+    size: tuple[int, int]
+    again: list[bool] | None = None  # which clauses count as repeated, where not looked up
+
+
+def _example(parts: list[str], q: str, label: int, body: str | None = None) -> Example:
+    w = asked(parts)
+    return Example(parts, q, [label] * len(parts), w, w is not None and body is not None and w in counted(body, parts), (sum(map(len, parts)), len(parts)))
+
+
+Look = Callable[[list[str]], dict[str, int]]
+
+
+def _featured(made: list[Example], look: Look, told: Callable[[list[str]], np.ndarray]) -> tuple[list[tuple[list[list[int]], list[int]]], frozenset[str]]:
+    """Features and labels of examples, and the words at their ends that are known: a word is known to an example where an
+    answer other than its own has it, as for the rows tagged later."""
+    n = look([_word_key(x.last) for x in made if x.last is not None])
+    again = told([p for x in made if x.again is None for p in x.parts])
+    known: set[str] = set()
+    out, at = [], 0
+    for x in made:
+        if here := x.last is not None and n.get(_word_key(x.last), 0) - x.mine >= 1:
+            known.add(x.last)
+        if x.again is None:
+            flags = again[at : at + len(x.parts)].tolist()
+            at += len(x.parts)
+        else:
+            flags = x.again
+        out.append((features(x.parts, x.question, allowed_languages(x.question), {x.last} if here else (), flags, x.size)[0], x.labels))
+    return out, frozenset(known)
+
 
-    look gives the numbers of answers with a key (_word_key, _end_key), of all answers. An ending of usual answers or more is sound. A word is known
-    to an example where an answer other than its own has it, as for the rows tagged later.
+def aside(q: str, parts: list[str]) -> bool:
+    """Whether an answer of prose says nothing with a word of its question: it may decline, or be plain."""
+    about = _content(q)
+    letters = sum(len(w) for p in parts for w in _WORD.findall(p) if len(w) > 1)
+    return len(parts) <= 6 and letters >= 12 and '"' not in "".join(parts) and not any(w in about for p in parts for w in _UNIT.findall(p.casefold()) if len(w) > 3)
 
-    Sound answers are such as end like one and hold no sign of a defect; defects are made from them: cut at a random
-    place, replaced by their question in another shape, or by an answer to a question in another language. Answers
-    that are short and decline by the fixed wording are refusals.
+
+def fit(sample: list[tuple[str, str | None, str | None]], look: Look, told: Callable[[list[str]], np.ndarray], usual: float = 3, seed: int = 3, seeds: re.Pattern[str] = SEEDS) -> Field:
+    """A field fitted to a sample of (question, answer, finish_reason).
+
+    look gives the numbers of answers with a key (_word_key, _end_key), told which clauses are repeated, of all answers.
+    Sound answers are such as end like one and hold no sign of a defect; an ending of usual answers or more is sound. Defects are made
+    from them: cut at a random place, replaced by their question in another shape, or by an answer to a question in another language.
+
+    Refusals are learned in two steps. Answers that begin with the wording of seeds start the label. Answers that share no
+    word with their question may be refusals in other words and are no examples at first. A first field, which knows a refusal by its
+    closing clauses and by its shape as well, labels these; a clause that refusals have and sound answers hardly ever carries the label
+    to all open answers that hold it, until nothing changes. The second field is fitted to all.
     """
     rng = random.Random(seed)
     rows = []
@@ -420,32 +543,25 @@ def examples(
         if canon(body) and not open_trace and (fr or "").strip().lower() != "length":
             rows.append((q, body, clauses(body)))
     ends = look([_end_key(p[-1]) for _, _, p in rows if not _stopped(p[-1], False)])
-    made: list[tuple[list[str], str, list[int], str | None, bool]] = []
+    made: list[Example] = []
 
     def add(parts: list[str], q: str, labels: list[int], window: int = 64, own: Container[str] = _All()) -> None:
         w = asked(parts)
-        made.append((parts[-window:], q, labels[-window:], w, w is not None and w in own))
+        made.append(Example(parts[-window:], q, labels[-window:], w, w is not None and w in own, (sum(map(len, parts)), len(parts))))
 
     sound: list[tuple[str, str, list[str], str]] = []
-    opened: list[str] = []
-    closed: list[str] = []
-    for q, b, parts in rows:
-        cq, ca = canon(q), canon(b)
-        if is_copy(q, b):
-            add(parts, q, [ECHO] * len(parts), own=counted(b, parts))
-            continue
-        if len(ca) < 400 and DECLINES.search(parts[0]) and '"' not in b and not any(language_hits(p) and not DECLINES.search(p) and len(p) > 90 for p in parts[1:]):
-            add(parts, q, [REFUSAL] * len(parts), own=counted(b, parts))
-            opened.append(parts[0])
-            closed.extend(parts[1:])
-            continue
+    declined: list[tuple[str, str, list[str]]] = []
+    open_: list[tuple[str, str, list[str]]] = []
+
+    def add_sound(q: str, b: str, parts: list[str]) -> None:
+        cq = canon(q)
         if not (_stopped(parts[-1], False) or ends.get(_end_key(parts[-1]), 0) >= usual):
-            continue
+            return
         ok = allowed_languages(q)
         hits = language_hits(_FENCE.sub(" ", b))
         main = max(hits, key=hits.__getitem__) if hits else ""
         if main and ok and main not in ok:
-            continue
+            return
         labels = []
         for p in parts:
             c = canon(p)
@@ -476,10 +592,65 @@ def examples(
         if marks:  # cut behind a list mark
             k = rng.choice(marks)
             add([*parts[:k], _LISTED.match(parts[k]).group(0).strip()], q, [*labels[:k], UNFINISHED], 3, own)
-    for k in range(3 * len(opened)):  # refusals put together anew
-        q = sound[rng.randrange(len(sound))][0] if sound else ""
-        got = [rng.choice(opened), *(rng.choice(closed) for _ in range(rng.randrange(3)) if closed)]
-        add(got, q, [REFUSAL] * len(got))
+
+    for q, b, parts in rows:
+        if is_copy(q, b):
+            add(parts, q, [ECHO] * len(parts), own=counted(b, parts))
+        elif aside(q, parts):
+            (declined if seeds.search(parts[0]) else open_).append((q, b, parts))
+        elif not seeds.search(parts[0]):
+            add_sound(q, b, parts)
+
+    def mixed(n: int) -> list[Example]:
+        """Refusals put together anew from their first and later clauses, for questions of sound answers."""
+        first, later = [p[0] for _, _, p in declined], [x for _, _, p in declined for x in p[1:]]
+        out = []
+        for _ in range(n if first and sound else 0):
+            got = [rng.choice(first), *(rng.choice(later) for _ in range(rng.randrange(3)) if later)]
+            out.append(_example(got, rng.choice(sound)[0], REFUSAL))
+        return out
+
+    def in_other_words(p: list[str], q: str, label: int, again: list[bool]) -> Example:
+        """An answer of the same shape in words that nobody else has, small words aside, so that not the words are learned."""
+        p = [_WORD.sub(lambda m: m[0] if m[0].lower() in _WORD_LANG else "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in m[0]), x) if rng.random() < 0.7 else x for x in p]
+        return replace(_example(p, q, label), again=again)
+
+    def shapes() -> list[Example]:
+        """Without known words, short answers that many questions share have the shape of refusals, and all others that of answers."""
+        out = [in_other_words(p, q, ANSWER, told(p).tolist()) for q, _, p, _ in sound if len(p) <= 3 and rng.random() < 0.5]
+        out += [in_other_words(p[: rng.randint(1, 2)], q, ANSWER, [False] * 2) for q, _, p, _ in sound if rng.random() < 0.1]
+        for q, _, p in declined:
+            mine = told(p).tolist()
+            if 2 * sum(mine) >= len(p):
+                out += [in_other_words(p, q, REFUSAL, mine) for _ in range(3)]
+        return out
+
+    def refusals() -> list[Example]:
+        return [_example(p, q, REFUSAL, b) for q, b, p in declined] + mixed(3 * len(declined))
+
+    if declined and open_:
+        ex, known = _featured([*made, *refusals(), *shapes()], look, told)
+        early = fit_field(ex, known, epochs=2)
+        ex, _ = _featured([_example(p, q, REFUSAL, b) for q, b, p in open_], look, told)
+        votes = [(y == REFUSAL).mean() > 0.5 for y in early.decode([f for f, _ in ex])]
+        odds = [early.scores(f) for f, _ in ex]
+        unclear = [bool((e[:, REFUSAL] > e[:, ANSWER] - 3).any()) for e in odds]  # a refusal at odds of one to twenty or more
+        elsewhere = Counter(k for _, _, parts, _ in sound for k in {clause_key(p) for p in parts})
+        while True:
+            own = Counter(k for p in [*(p for _, _, p in declined), *(p for (_, _, p), v in zip(open_, votes) if v)] for k in {clause_key(x) for x in p})
+            again = [v or any(own[k] > 5 * elsewhere[k] for k in map(clause_key, p)) for (_, _, p), v in zip(open_, votes)]
+            if again == votes:
+                break
+            votes = again
+        declined += [x for x, v in zip(open_, votes) if v]
+        open_ = [x for x, v, u in zip(open_, votes, unclear) if not v and not u]
+    # of the rest, what many questions are answered by may still decline, so it is no example of either kind, nor is what the first field isn't sure of
+    vague = told([p for _, _, parts in open_ for p in parts]).tolist()
+    for q, b, parts in open_:
+        mine, vague = vague[: len(parts)], vague[len(parts) :]
+        if not any(mine):
+            add_sound(q, b, parts)
+    made += refusals() + shapes()
     by = Counter(m for *_, m in sound if m)
     for q, b, parts, main in sound:
         if rng.random() < 0.2 and len(by) > 1 and main:
@@ -491,31 +662,29 @@ def examples(
             else:
                 continue
             add(other[2], q, [ANSWER if p.startswith("```") or not language_hits(p) else FOREIGN for p in other[2]], own=counted(other[1], other[2]))
-    n = look([_word_key(w) for *_, w, _ in made if w is not None])
-    known: set[str] = set()
-    out = []
-    for parts, q, labels, w, mine in made:
-        told = w is not None and n.get(_word_key(w), 0) - mine >= 1
-        if told:
-            known.add(w)
-        out.append((features(parts, q, allowed_languages(q), {w} if told else ())[0], labels))
-    return out, frozenset(known)
+    ex, known = _featured(made, look, told)
+    return fit_field(ex, known)
+
+
+def intro(q: str) -> int:
+    """Letters and digits that a copy of a question may be introduced by."""
+    return max(INTRO, int(len(q) * INTRO_SHARE))
 
 
 def is_copy(question: str, answer: str) -> bool:
-    """The exact check of a copy: the question's letters and digits, perhaps after INTRO others, repeated, or short of
-    MISSING_WORDS last words, and nothing else."""
+    """The exact check of a copy: the question's letters and digits, perhaps introduced, repeated, or short of its last
+    words, and nothing else. The limits grow with the question."""
     q, a = canon(question), canon(answer)
     if not q or not a:
         return False
     at = a.find(q)
-    if 0 <= at <= INTRO:
+    if 0 <= at <= intro(q):
         rest = a[at:].replace(q, "\x00").strip("\x00").replace("\x00", "")
         return rest == "" or q.startswith(rest)
     words = question.split()
-    tail = len(canon(" ".join(words[-MISSING_WORDS:])))
+    tail = len(canon(" ".join(words[-max(MISSING_WORDS, int(len(words) * MISSING_SHARE)) :])))
     least = max(len(q) - tail, len(q) // 2, 6)
-    for at in range(min(INTRO, len(a)) + 1):
+    for at in range(min(intro(q), len(a)) + 1):
         n = len(a) - at
         if least <= n < len(q) and q.startswith(a[at:]):
             return True
@@ -533,15 +702,17 @@ def judge(question: str, answer: str, labels: np.ndarray, sizes: list[int], told
         return "refusal"
     known = n[np.array(told, dtype=bool)].sum()
     if known and n[labels == FOREIGN].sum() > 0.5 * known:
-        return "other_language"
+        hits, ok = language_hits(_FENCE.sub(" ", answer)), allowed_languages(question)
+        if hits and ok and max(hits, key=hits.__getitem__) not in ok:
+            return "other_language"
     if len(labels) and labels[-1] == UNFINISHED:
         return "truncated"
     return None
 
 
-def train(rows: DataFrame, sample: int = SAMPLE, words: DataFrame | None = None) -> Field:
+def train(rows: DataFrame, sample: int = SAMPLE, words: DataFrame | None = None, seeds: re.Pattern[str] = SEEDS) -> Field:
     """Fits the field on sample rows of (resp_id, conversations, finish_reason), those of lowest hash; words is the vocabulary of all
-    rows, counted here unless given. The driver looks up only what the examples end with."""
+    rows, counted here unless given. The driver looks up only what the examples end with, and holds the bit map of repeated clauses."""
     words = vocabulary(rows) if words is None else words
     cut = F.transform("conversations", lambda m: F.struct(m["role"].alias("role"), F.substring(m["content"], 1, SAMPLE_CHARS).alias("content")))
     place = F.pmod(F.xxhash64("resp_id"), F.lit(2**40))
@@ -554,6 +725,7 @@ def train(rows: DataFrame, sample: int = SAMPLE, words: DataFrame | None = None)
     for r in got:
         q, a = question_and_answer([m.asDict() if m is not None else None for m in r["c"]])
         made.append((q, a, r["finish_reason"]))
+    shared = repeated_clauses(words)
 
     def look(keys: list[str]) -> dict[str, int]:
         keys = sorted(set(keys))
@@ -564,8 +736,42 @@ def train(rows: DataFrame, sample: int = SAMPLE, words: DataFrame | None = None)
         n = {r["key"]: r["n"] for r in words.join(F.broadcast(few), "key").collect()}
         return {k: n.get(x, 0) for k, x in zip(keys, h)}
 
-    ex, ends_known = examples(made, look, max(3, 3 * n_rows / sample))
-    return fit_field(ex, ends_known)
+    model = fit(made, look, lambda parts: bits.hits(shared, _clause_hashes(parts)), max(3, 3 * n_rows / sample), seeds=seeds)
+    return replace(model, repeated=shared)
+
+
+def _input_name(rows: DataFrame, sample: int) -> str | None:
+    """A name for the files that rows are read from, by path, size and time, for the plan on them and for this module; None if
+    they have none."""
+    spark = rows.sparkSession
+    files = sorted(rows.inputFiles())
+    if not files:
+        return None
+    state = [f"{sample}", hashlib.md5(Path(__file__).read_bytes()).hexdigest(), rows._jdf.queryExecution().analyzed().canonicalized().toString()]
+    for x in files:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
+        st = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+        state.append(f"{x} {st.getLen()} {st.getModificationTime()}")
+    return hashlib.md5("\n".join(state).encode()).hexdigest()
+
+
+def trained(rows: DataFrame, sample: int = SAMPLE, words: DataFrame | None = None) -> Field:
+    """The field of these rows: fitted once and kept in the shared folder under the name of their files."""
+    name = _input_name(rows, sample)
+    spark = rows.sparkSession
+    path = f"{runtime.shared_dir(spark)}/pairs-field-{name}"
+    if name and (got := runtime.read_bytes(spark, path)) is not None:
+        with np.load(io.BytesIO(got), allow_pickle=False) as z:
+            emit = np.zeros((BUCKETS, len(LABELS)))
+            emit[z["used"]] = z["emit"]
+            return Field(emit, z["move"], frozenset(z["known"].tolist()), z["repeated"])
+    model = train(rows, sample, words)
+    if name:
+        used = np.flatnonzero(np.abs(model.emit).max(1) > 0)
+        out = io.BytesIO()
+        np.savez_compressed(out, used=used, emit=model.emit[used], move=model.move, known=np.array(sorted(model.known), dtype=str), repeated=model.repeated)
+        runtime.write_bytes(spark, path, out.getvalue())
+    return model
 
 
 def defects(rows: DataFrame, field: Field | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -578,20 +784,23 @@ def defects(rows: DataFrame, field: Field | None = None, sample: int = SAMPLE) -
     """
     words = vocabulary(rows)
     trusted: frozenset[str] = field.known if field is not None else frozenset()
+    maps = [repeated_clauses(words)]
     if field is None:
-        field = train(rows, sample, words)
+        field = trained(rows, sample, words)
+    else:
+        maps.append(field.repeated)
     used = np.flatnonzero(np.abs(field.emit).max(1) > 0)
-    sent = rows.sparkSession.sparkContext.broadcast((used, field.emit[used].astype(np.float32), field.move, trusted))
+    sent = rows.sparkSession.sparkContext.broadcast((used, field.emit[used].astype(np.float32), field.move, trusted, maps))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used, w, move, trusted = sent.value
+        used, w, move, trusted, maps = sent.value
         emit = np.zeros((BUCKETS, len(LABELS)), dtype=np.float32)
         emit[used] = w
         model = Field(emit, move, trusted)
         unknown = [_bucket("e_unknown")]
         for pdf in batches:
             out: list[tuple[int, str | None, str | None, str | None, int]] = []  # id, defect, defect if the last word is unknown, that word, is it elsewhere in the row
-            todo: list[tuple[int, str, str, list[list[int]], list[int], list[bool], str | None, int]] = []
+            split: list[tuple[int, str, str, list[str]]] = []
             for i, conv, fr in zip(pdf["resp_id"], pdf["conversations"], pdf["finish_reason"]):
                 q, a = question_and_answer(conv)
                 body, open_trace = split_trace(a) if a is not None else ("", False)
@@ -600,11 +809,20 @@ def defects(rows: DataFrame, field: Field | None = None, sample: int = SAMPLE) -
                 elif not canon(body):
                     out.append((i, "empty", None, None, 0))
                 else:
-                    parts = clauses(body)
-                    last = asked(parts)
-                    if last in trusted:
-                        last = None
-                    todo.append((i, q, body, *features(parts, q, allowed_languages(q), _All()), last, int(last is not None and last in counted(body, parts))))
+                    split.append((i, q, body, clauses(body)))
+            h = _clause_hashes([p for *_, parts in split for p in parts])
+            flags = np.zeros(len(h), dtype=bool)
+            for m in maps:
+                flags |= bits.hits(m, h)
+            todo: list[tuple[int, str, str, list[list[int]], list[int], list[bool], str | None, int]] = []
+            at = 0
+            for i, q, body, parts in split:
+                last = asked(parts)
+                if last in trusted:
+                    last = None
+                got = features(parts, q, allowed_languages(q), _All(), flags[at : at + len(parts)].tolist())
+                at += len(parts)
+                todo.append((i, q, body, *got, last, int(last is not None and last in counted(body, parts))))
             both = [t for t in todo if t[6] is not None]
             other = {id(t): judge(t[1], t[2], y, t[4], t[5]) for t, y in zip(both, model.decode([[*t[3][:-1], t[3][-1] + unknown] for t in both]))}
             for t, y in zip(todo, model.decode([t[3] for t in todo])):
@@ -619,7 +837,7 @@ def defects(rows: DataFrame, field: Field | None = None, sample: int = SAMPLE) -
             yield pd.DataFrame({**cols, "key": key, "own": pd.Series([r[4] for r in out], dtype="int32"), "sure": pd.Series(sure, dtype="bool")})
 
     tags = rows.filter("resp_id IS NOT NULL").select("resp_id", "conversations", "finish_reason")
-    tags = tags.mapInPandas(run, "resp_id BIGINT, defect STRING, other STRING, key BIGINT, own INT, sure BOOLEAN").join(words, "key", "left")
+    tags = tags.mapInPandas(run, "resp_id BIGINT, defect STRING, other STRING, key BIGINT, own INT, sure BOOLEAN").join(words.select("key", "n"), "key", "left")
     known = F.col("sure") | (F.coalesce("n", F.lit(0)) - F.col("own") >= 1)
     return tags.select("resp_id", F.when(known, F.col("defect")).otherwise(F.col("other")).alias("defect")).filter("defect IS NOT NULL")
 

@@ -19,7 +19,7 @@ def field(spark, sf):
     "answer, want",
     [
         (Q, True), (Q.upper(), True), ("> " + Q, True), (Q + "\n\n" + Q, True), ("Question: " + Q, True), ("How would you explain the first snow to the night team", True),
-        ("You wrote: " + Q + "\n\n2026", False), (Q + " It is cold.", False), ("", False), ("How would you", False), ("How", False),
+        ("This was the question that I got from you a while ago: " + Q, True), ("You wrote: " + Q + "\n\n2026", False), (Q + " It is cold.", False), ("", False), ("How would you", False), ("How", False),
     ],
 )
 def test_copy_check(answer, want):
@@ -35,12 +35,14 @@ def test_cases(spark, field):
         12: (msgs(("user", Q), ("assistant", "I am sorry, but I can't help with that.")), "stop"),
         13: (msgs(("user", Q), ("assistant", "Der erste Schnee fällt, wenn die Luft kalt ist. Das Team soll wissen, dass die Straße nass ist und die Lampen nicht aus sind.")), "stop"),
         14: (msgs(("user", Q + " Reply in German."), ("assistant", "Der erste Schnee fällt, wenn die Luft kalt ist. Das Team soll wissen, dass die Straße nass ist.")), "stop"),
+        17: (msgs(("user", Q), ("assistant", "最初の雪は空気が冷たいときに降ります。道が濡れていることを知っておいてください。")), "stop"),
+        18: (msgs(("user", Q + " Reply in Japanese."), ("assistant", "最初の雪は空気が冷たいときに降ります。道が濡れていることを知っておいてください。")), "stop"),
         15: (msgs(("user", Q), ("assistant", good * 3000)), "stop"), 16: (msgs(("user", Q), ("assistant", "7")), "stop"),
     }
     df = spark.createDataFrame([(k, *v) for k, v in conv.items()] + [(5, *conv[5])], REGEN).withColumn("defect", F.lit("clash"))
     got = sorted((r["resp_id"], r["defect"]) for r in pairs.defects(df, field).collect())
     e, t = "empty", "truncated"
-    assert got == [(1, e), (2, e), (3, e), (4, e), (5, t), (5, t), (6, t), (7, "copied"), (10, e), (11, e), (12, "refusal"), (13, "other_language")]
+    assert got == [(1, e), (2, e), (3, e), (4, e), (5, t), (5, t), (6, t), (7, "copied"), (10, e), (11, e), (12, "refusal"), (13, "other_language"), (17, "other_language")]
     assert pairs.defects(df.limit(0), field).count() == 0
     assert pairs.summary(pairs.defects(df, field), df).count() == 5
 
@@ -57,7 +59,8 @@ def test_held_out_cuts(spark, sf, field):
         q, a = pairs.question_and_answer([m.asDict() for m in r["conversations"]])
         body, open_trace = pairs.split_trace(a or "")
         if body and not open_trace:
-            todo.append(pairs.features(pairs.clauses(body), q, pairs.allowed_languages(q), field.known)[0])
+            parts = pairs.clauses(body)
+            todo.append(pairs.features(parts, q, pairs.allowed_languages(q), field.known, pairs.bits.hits(field.repeated, pairs._clause_hashes(parts)).tolist())[0])
     hit = sum(y[-1] == pairs.UNFINISHED for y in field.decode(todo))
     assert len(todo) > 20 and hit >= 0.9 * len(todo)
 
@@ -83,3 +86,31 @@ def test_last_word_known_outside_of_the_sample(spark):
     a = ["They met at the harbour", "The harbour is wet.", "They met at the harb", "They met at the lighthouse"]
     df = spark.createDataFrame([(i, msgs(("user", Q), ("assistant", x)), "stop") for i, x in enumerate(a)], REGEN)
     assert sorted(map(tuple, pairs.defects(df, field).collect())) == [(2, "truncated"), (3, "truncated")]
+
+
+def test_refusals_in_words_that_no_seed_has(spark, sf):
+    """Refusals that no seed matches are found by their shape and company, and sound answers are not taken for them."""
+    rows = table(spark, sf.replace("sf0.001", "sf0.1"), "regen")
+    other = "outside what i am allowed|my rules stand|turned down|pick another subject|not going there|conversation should end|asked not to discuss|no comment|no reply to this|instructions do not cover|rather not go|not be right for me|request i can take"
+    other = pairs.re.compile(other, pairs.re.IGNORECASE)
+    assert not any(pairs.SEEDS.search(x) for x in other.pattern.split("|"))
+    found = {r["resp_id"]: r["defect"] for r in pairs.defects(rows).collect()}
+    held = hit = sound = wrong = 0
+    for r in rows.filter("conversations IS NOT NULL").collect():
+        q, a = pairs.question_and_answer([m.asDict() if m is not None else None for m in r["conversations"]])
+        body, open_trace = pairs.split_trace(a or "")
+        if open_trace or r["finish_reason"] == "length" or '"' in body:
+            continue
+        if len(body) < 150 and other.search(body) and not pairs.SEEDS.search(body):
+            held, hit = held + 1, hit + (found.get(r["resp_id"]) == "refusal")
+        elif len(body) > 400:
+            sound, wrong = sound + 1, wrong + (found.get(r["resp_id"]) == "refusal")
+    assert held > 100 and hit >= 0.9 * held and wrong <= 0.001 * sound
+
+
+def test_field_is_kept_for_the_same_files(spark, sf, monkeypatch):
+    rows = table(spark, sf, "regen")
+    a = pairs.trained(rows, 200)
+    monkeypatch.setattr(pairs, "train", None)
+    b = pairs.trained(rows.select("*"), 200)
+    assert (a.emit == b.emit).all() and a.known == b.known and (a.repeated == b.repeated).all()
