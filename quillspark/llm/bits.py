@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST, MOST = 20, 27  # the map has 2**LEAST to 2**MOST bits (128 kB to 16 MB), whatever the number of hashes
+LEAST, MOST = 23, 27  # the map has 2**LEAST to 2**MOST bits (1 to 16 MB), whatever the number of hashes
 
 
 def bit_map(hashes: DataFrame, col: str) -> np.ndarray:

@@ -12,6 +12,7 @@ from collections import Counter
 from collections.abc import Callable, Container, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -72,19 +73,23 @@ UNSPACED = frozenset(["zh", "ja", "th"])
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _WORD = re.compile(r"[^\W\d_]+")
 _UNIT = re.compile(r"[\u3400-\u9fff]|[^\W\d_\u3400-\u9fff]+")  # words, and each ideograph on its own
+_PLAIN_WORD, _PLAIN_WORD_OR_NUMBER = re.compile(r"[a-z]+"), re.compile(r"[a-z]+|[0-9]+")  # the same for ASCII, faster
 _WORD_OR_NUMBER = re.compile(r"[^\W\d_]+|\d+")
 _CUT = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[。？！])")
 _MARK = re.compile(r"\s*(?:\d{1,2}[.)]|[-*•])\s*$")
 _LISTED = re.compile(r"(?:\d{1,2}[.)]|[-*•])\s")
 _FENCE = re.compile(r"(```.*?```|```.*\Z)", re.DOTALL)
-_DROP = re.compile(r"[\W_]+")
+_DROP, _PLAIN_RUN = re.compile(r"[\W_]+"), re.compile(r"[a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
+_SAYS = re.compile(r"[^\W_]")
 _END = re.compile(r"[.!?。？！…][\"'”»)\]*]*$|```$")
 
 
+@lru_cache(maxsize=1024)
 def canon(text: str) -> str:
     """Letters and digits of a text, without case."""
-    return _DROP.sub("", text.casefold())
+    t = text.casefold()
+    return "".join(_PLAIN_RUN.findall(t)) if t.isascii() else _DROP.sub("", t)
 
 
 @lru_cache(maxsize=65_536)
@@ -113,6 +118,7 @@ def language_hits(text: str) -> Counter[str]:
     return hits
 
 
+@lru_cache(maxsize=1024)
 def allowed_languages(question: str) -> set[str]:
     """Languages of the question (all with a third of the strongest evidence) and those it asks for; empty: any."""
     prose = _FENCE.sub(" ", question) if "```" in question else question
@@ -176,19 +182,20 @@ def _bucket(name: str) -> int:
     return b
 
 
-_words: dict[str, tuple[int, str | None]] = {}
+class _WordBuckets(dict[str, int]):
+    """Bucket of each word seen, all numbers sharing one."""
 
+    def __missing__(self, t: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        digit = t[0].isdigit()
+        got = _bucket("w0") if digit else _bucket("w" + t)
+        if not digit or len(t) < 5:
+            self[t] = got
+        return got
 
-def _word(t: str) -> tuple[int, str | None]:
-    """Bucket of a word, all numbers sharing one, and the language that it is evidence of."""
-    if len(_words) > 500_000:
-        _words.clear()
-    c = t[0]
-    lang = _WORD_LANG.get(t) or script_language(t)
-    got = (_bucket("w0"), None) if c.isdigit() else (_bucket("w" + t), lang)
-    if not c.isdigit() or len(t) < 5:
-        _words[t] = got
-    return got
+
+_word_buckets = _WordBuckets()
 
 
 class _All:
@@ -208,7 +215,7 @@ def asked(parts: list[str]) -> str | None:
 
 def counted(body: str, parts: list[str]) -> set[str]:
     """Words that an answer gives to the vocabulary: all but a last one without a full stop, which may be cut."""
-    words = _UNIT.findall(body.lower())
+    words = (_PLAIN_WORD if body.isascii() else _UNIT).findall(body.lower())
     return set(words[:-1] if asked(parts) is not None else words)
 
 
@@ -232,79 +239,103 @@ def _ending(s: str, toks: list[str], alone: bool, known: Container[str]) -> list
     return f
 
 
+def clause_words(s: str) -> list[str]:
+    return (_PLAIN_WORD_OR_NUMBER if s.isascii() else _WORD_OR_NUMBER).findall(s.casefold())
+
+
 def clause_key(s: str) -> str:
     """A clause with numbers as one and without signs, as it is counted over all answers."""
-    return _DROP.sub(" ", _DIGITS.sub("0", s.casefold())).strip()
+    return _key_of(clause_words(s))
+
+
+def _key_of(words: list[str]) -> str:
+    return _DIGITS.sub("0", " ".join(words))
 
 
 @lru_cache(maxsize=4096)
-def _content(question: str) -> frozenset[str]:
-    """The question's words that say what it is about: four letters or more, or ideographs."""
-    return frozenset(w for w in _UNIT.findall(question.casefold()) if (len(w) > 3 or script_language(w[0]) in UNSPACED) and w not in _WORD_LANG)
+def _about(question: str) -> frozenset[str]:
+    """The question's words that say what it is about: four letters or more, small words aside."""
+    return frozenset(w for w in clause_words(question) if len(w) > 3 and w not in _WORD_LANG)
 
 
-def _clause_languages(parts: list[str]) -> list[str | None]:
-    """The language of each clause: its own where the evidence is clear, else that of the whole answer; None without any."""
-    each = [Counter() if s.startswith("```") else language_hits(s) for s in parts]
-    total = sum(each, Counter())
-    main = max(total, key=total.__getitem__) if total else None
-    out: list[str | None] = []
-    for h in each:
-        best = max(h, key=h.__getitem__) if h else None
-        out.append(best if best is None or best == main or h[best] >= max(3, 2 * h[main]) else main)
-    return out
+_shapes: dict[tuple[object, ...], list[int]] = {}
+
+
+def _shape(shared: str, again: str, prose: str, quote: str, long: int, ratio: int, count: int) -> list[int]:
+    """Buckets of what sets answers apart that say nothing about the question."""
+    k = (shared, again, prose, quote, long, ratio, count)
+    got = _shapes.get(k)
+    if got is None:
+        got = _shapes[k] = [_bucket(x) for x in (shared, again, again + shared + prose + quote, f"{again}{shared}{prose}R{ratio}", f"{shared}{prose}L{long}", f"{again}{prose}N{count}")]
+    return got
 
 
 def features(
-    parts: list[str], question: str, allowed: set[str], known: Container[str], repeated: Sequence[bool], size_of: tuple[int, int] | None = None
+    parts: list[str], question: str, allowed: set[str], known: Container[str], repeated: Sequence[bool], size_of: tuple[int, int] | None = None, words: list[list[str]] | None = None
 ) -> tuple[list[list[int]], list[int], list[bool]]:
     """Features of each clause (bucket numbers), its weight in letters and digits (an ideograph has the weight of
     three), and whether it is prose of a known language. repeated tells which clauses answers to many questions share;
-    size_of gives the answer's characters and clauses where parts are its last ones only.
+    size_of gives the answer's characters and clauses where parts are its last ones only; words are the clauses' words if known.
 
-    Beside words: how the clause ends, whether it echoes the question, its language, and what sets answers apart that say nothing about
-    the question: the words it shares with it, whether it is repeated, and the answer's length against the question's.
+    Beside words: how the clause ends, whether it echoes the question, its language (the answer's where its own is unclear), and what
+    sets answers apart that say nothing about the question: the words it shares with it, whether it is repeated, and the
+    answer's length against the question's.
     """
-    cq, about = canon(question), _content(question)
+    cq, about = canon(question), _about(question)
     out, sizes, told = [], [], []
     n = len(parts)
-    get, bucket = _words.get, _bucket
+    bucket, small = _bucket, _WORD_LANG
+    words = [clause_words(s) for s in parts] if words is None else words
     long, count = size_of or (sum(map(len, parts)), n)
-    langs = _clause_languages(parts)
-    scale = f"L{min(12, long.bit_length())}", f"R{min(3, max(-3, long.bit_length() - len(question).bit_length()))}", f"N{min(count, 5)}"
-    whole = [bucket(x) for x in scale]
+    scale = min(12, long.bit_length()), min(3, max(-3, long.bit_length() - len(question).bit_length())), min(count, 5)
+    base, first, near, far = bucket("b"), bucket("first"), bucket("near"), bucket("far")
+    each: list[dict[str, int]] = []
+    total: dict[str, int] = {}
     for i, s in enumerate(parts):
-        toks = _WORD_OR_NUMBER.findall(s.casefold())
+        toks = words[i]
         c = "".join(toks)  # canon(s)
-        size, lang = len(c), False
-        f = [bucket("b"), bucket("first"), *whole] if i == 0 else [bucket("b"), *whole]
+        size = len(c)
+        f = [base, first] if i == 0 else [base]
         echo = size >= 6 and bool(cq) and (c in cq or size > 12 and c[-max(12, size - INTRO) :] in cq or cq in c and size <= len(cq) + intro(cq))
+        hits: dict[str, int] = {}
         if s.startswith("```"):
             f.append(bucket("code" if len(s) > 5 and s.endswith("```") else "open"))
             if i == n - 1:
                 f += [bucket(x) for x in (("last", "stop") if len(s) > 5 and s.endswith("```") else ("last", "nostop", "e_open"))]
         else:
-            for t in toks:
-                b, k = get(t) or _word(t)
-                f.append(b)
-                if k in UNSPACED:
-                    size += 2 * len(t)
-                    f += [bucket("w" + t[x : x + 2]) for x in range(len(t) - 1)]
-            if langs[i] is not None and not echo:
-                lang = True
-                f.append(bucket("far" if allowed and langs[i] not in allowed else "near"))
+            f += [_word_buckets[t] for t in toks]
+            for k in [small[t] for t in toks if t in small]:
+                hits[k] = hits.get(k, 0) + 1
+            if not s.isascii():
+                for t in toks:
+                    k = script_language(t) if t not in small else None
+                    if k in UNSPACED:
+                        hits[k] = hits.get(k, 0) + len(t)
+                        size += 2 * len(t)
+                        f += [bucket("w" + t[x : x + 2]) for x in range(len(t) - 1)]
+                    elif k is not None:
+                        hits[k] = hits.get(k, 0) + 1
+            content = any(len(t) > 3 and t not in small and not t[0].isdigit() for t in toks)
+            shared = len(about.intersection(toks)) if content else 0
+            prose = "p" if hits or content else "n"
+            if "ja" in hits and "zh" in hits:
+                hits["ja"] += hits.pop("zh")
+            for k, m in hits.items():
+                total[k] = total.get(k, 0) + m
             if i == n - 1:
                 f += [bucket(x) for x in _ending(s, _TOKENS.findall(s.lower()), n == 1, known)]
-            mine = [w for w in _UNIT.findall(s.casefold()) if len(w) > 3 and w not in _WORD_LANG]
-            shared = "s-" if not mine else f"s{min(2, sum(w in about for w in mine))}"
-            again = "again" if repeated[i] else "once"
-            prose = "p" if any(x.isalpha() and len(x) > 1 for x in toks) else "n"
-            quote = "q" if '"' in s else ""
-            f += [bucket(x) for x in (shared, again, again + shared + prose + quote, again + shared + prose + scale[1], shared + prose + scale[0], again + prose + scale[2])]
+            f += _shape("s-" if not content else f"s{min(2, shared)}", "again" if repeated[i] else "once", prose, "q" if '"' in s else "", *scale)
         f.append(bucket("echo" if echo else "new"))
         out.append(f)
         sizes.append(size)
-        told.append(lang)
+        each.append({} if echo else hits)
+    main = max(total, key=total.__getitem__) if total else None
+    for f, hits in zip(out, each):
+        told.append(bool(hits))
+        if hits:
+            best = max(hits, key=hits.__getitem__)
+            lang = best if best == main or hits[best] >= max(3, 2 * hits.get(main, 0)) else main
+            f.append(far if allowed and lang not in allowed else near)
     return out, sizes, told
 
 
@@ -318,8 +349,9 @@ class Field:
     repeated: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.uint64))  # bit map of repeated clauses of the rows it was fitted on
 
     def scores(self, feats: list[list[int]]) -> np.ndarray:
-        flat = np.fromiter((b for f in feats for b in f), dtype=np.int64)
-        start = np.concatenate([[0], np.cumsum([len(f) for f in feats])[:-1]]).astype(np.int64)
+        size = np.fromiter(map(len, feats), dtype=np.int64, count=len(feats))
+        flat = np.fromiter(chain.from_iterable(feats), dtype=np.int64, count=int(size.sum()))
+        start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
         return np.add.reduceat(self.emit[flat], start, axis=0) if len(flat) else np.zeros((0, len(LABELS)))
 
     def decode(self, rows: list[list[list[int]]]) -> list[np.ndarray]:
@@ -425,8 +457,8 @@ def _hashes(keys: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(keys, dtype=object), categorize=False).view(np.int64)
 
 
-def _clause_hashes(parts: list[str]) -> np.ndarray:
-    return _hashes(["c" + clause_key(p) for p in parts]) if parts else np.empty(0, dtype=np.int64)
+def _clause_hashes(keys: list[str]) -> np.ndarray:
+    return _hashes(["c" + k for k in keys]) if keys else np.empty(0, dtype=np.int64)
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:
@@ -435,6 +467,14 @@ def vocabulary(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[str] = Counter()
+        ends: Counter[str] = Counter()
+
+        def counts() -> pd.DataFrame:
+            got = pd.DataFrame({"key": _hashes([*map(_word_key, n), *ends]), "n": [*n.values(), *ends.values()], "asked": 0})
+            n.clear()
+            ends.clear()
+            return got
+
         for pdf in batches:
             said: list[str] = []
             bit: list[int] = []
@@ -443,10 +483,10 @@ def vocabulary(rows: DataFrame) -> DataFrame:
                 body, open_trace = split_trace(a) if a is not None else ("", True)
                 parts = [] if open_trace else clauses(body)
                 if parts:
-                    n.update([_word_key(w) for w in counted(body, parts)])
+                    n.update(counted(body, parts))
                     if not _stopped(parts[-1], False):
-                        n[_end_key(parts[-1])] += 1
-                    said += parts
+                        ends[_end_key(parts[-1])] += 1
+                    said += [_key_of(clause_words(p)) for p in parts]
                     bit += [1 << (int(q) & 63)] * len(parts)
             h = _clause_hashes(said)
             order = np.argsort(h, kind="stable")
@@ -454,11 +494,10 @@ def vocabulary(rows: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
             if len(first):
                 yield pd.DataFrame({"key": h[first], "n": np.diff(np.append(first, len(h))), "asked": np.bitwise_or.reduceat(b, first).view(np.int64)})
-            if len(n) > 1_000_000:
-                yield pd.DataFrame({"key": _hashes(list(n)), "n": list(n.values()), "asked": 0})
-                n.clear()
-        if n:
-            yield pd.DataFrame({"key": _hashes(list(n)), "n": list(n.values()), "asked": 0})
+            if len(n) + len(ends) > 1_000_000:
+                yield counts()
+        if n or ends:
+            yield counts()
 
     # of users only a hash of their last text is looked at
     is_user = lambda m: F.coalesce(F.lower(F.trim(m["role"])).isin(*USER), F.lit(False))
@@ -517,9 +556,9 @@ def _featured(made: list[Example], look: Look, told: Callable[[list[str]], np.nd
 
 def aside(q: str, parts: list[str]) -> bool:
     """Whether an answer of prose says nothing with a word of its question: it may decline, or be plain."""
-    about = _content(q)
+    about = _about(q)
     letters = sum(len(w) for p in parts for w in _WORD.findall(p) if len(w) > 1)
-    return len(parts) <= 6 and letters >= 12 and '"' not in "".join(parts) and not any(w in about for p in parts for w in _UNIT.findall(p.casefold()) if len(w) > 3)
+    return len(parts) <= 6 and letters >= 12 and '"' not in "".join(parts) and not any(w in about for p in parts for w in clause_words(p))
 
 
 def fit(sample: list[tuple[str, str | None, str | None]], look: Look, told: Callable[[list[str]], np.ndarray], usual: float = 3, seed: int = 3, seeds: re.Pattern[str] = SEEDS) -> Field:
@@ -736,7 +775,7 @@ def train(rows: DataFrame, sample: int = SAMPLE, words: DataFrame | None = None,
         n = {r["key"]: r["n"] for r in words.join(F.broadcast(few), "key").collect()}
         return {k: n.get(x, 0) for k, x in zip(keys, h)}
 
-    model = fit(made, look, lambda parts: bits.hits(shared, _clause_hashes(parts)), max(3, 3 * n_rows / sample), seeds=seeds)
+    model = fit(made, look, lambda parts: bits.hits(shared, _clause_hashes([clause_key(p) for p in parts])), max(3, 3 * n_rows / sample), seeds=seeds)
     return replace(model, repeated=shared)
 
 
@@ -806,30 +845,31 @@ def defects(rows: DataFrame, field: Field | None = None, sample: int = SAMPLE) -
                 body, open_trace = split_trace(a) if a is not None else ("", False)
                 if open_trace or fr is not None and str(fr).strip().lower() == "length":
                     out.append((i, "truncated", None, None, 0))
-                elif not canon(body):
+                elif not _SAYS.search(body):
                     out.append((i, "empty", None, None, 0))
                 else:
                     split.append((i, q, body, clauses(body)))
-            h = _clause_hashes([p for *_, parts in split for p in parts])
+            words = [[clause_words(p) for p in parts] for *_, parts in split]
+            h = _clause_hashes([_key_of(w) for ws in words for w in ws])
             flags = np.zeros(len(h), dtype=bool)
             for m in maps:
                 flags |= bits.hits(m, h)
-            todo: list[tuple[int, str, str, list[list[int]], list[int], list[bool], str | None, int]] = []
+            todo: list[tuple[int, str, str, list[list[int]], list[int], list[bool], str | None, list[str]]] = []
             at = 0
-            for i, q, body, parts in split:
+            for (i, q, body, parts), ws in zip(split, words):
                 last = asked(parts)
                 if last in trusted:
                     last = None
-                got = features(parts, q, allowed_languages(q), _All(), flags[at : at + len(parts)].tolist())
+                got = features(parts, q, allowed_languages(q), _All(), flags[at : at + len(parts)].tolist(), None, ws)
                 at += len(parts)
-                todo.append((i, q, body, *got, last, int(last is not None and last in counted(body, parts))))
+                todo.append((i, q, body, *got, last, parts))
             both = [t for t in todo if t[6] is not None]
             other = {id(t): judge(t[1], t[2], y, t[4], t[5]) for t, y in zip(both, model.decode([[*t[3][:-1], t[3][-1] + unknown] for t in both]))}
             for t, y in zip(todo, model.decode([t[3] for t in todo])):
                 d = judge(t[1], t[2], y, t[4], t[5])
                 e = other.get(id(t), d)
                 if d or e:
-                    out.append((t[0], d, e, t[6] if d != e else None, t[7]))
+                    out.append((t[0], d, e, t[6] if d != e else None, int(d != e and t[6] in counted(t[2], t[7]))))
             sure = [r[3] is None for r in out]
             # keys of sure rows only spread them
             key = _hashes([str(r[0]) if r[3] is None else _word_key(r[3]) for r in out]) if out else np.empty(0, dtype=np.int64)

@@ -60,7 +60,7 @@ def test_held_out_cuts(spark, sf, field):
         body, open_trace = pairs.split_trace(a or "")
         if body and not open_trace:
             parts = pairs.clauses(body)
-            todo.append(pairs.features(parts, q, pairs.allowed_languages(q), field.known, pairs.bits.hits(field.repeated, pairs._clause_hashes(parts)).tolist())[0])
+            todo.append(pairs.features(parts, q, pairs.allowed_languages(q), field.known, pairs.bits.hits(field.repeated, pairs._clause_hashes([pairs.clause_key(p) for p in parts])).tolist())[0])
     hit = sum(y[-1] == pairs.UNFINISHED for y in field.decode(todo))
     assert len(todo) > 20 and hit >= 0.9 * len(todo)
 
