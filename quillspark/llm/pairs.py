@@ -170,6 +170,17 @@ def question_and_answer(conversation: object) -> tuple[str, str | None]:
     return ((conversation[last] or {}).get("content") or "") if last >= 0 else "", "\n".join(texts) if texts else None
 
 
+def turns(rows: DataFrame) -> DataFrame:
+    """(resp_id, q, a, finish_reason): question_and_answer of each row, taken in the JVM so that only two texts go to Python."""
+    names = F.transform("conversations", lambda m: F.lower(F.regexp_replace(F.coalesce(m["role"], F.lit("")), r"(?U)^\s+|\s+$", "")))
+    got = rows.select("resp_id", "conversations", "finish_reason", names.alias("_r"))
+    got = got.withColumn("_l", F.array_max(F.transform("_r", lambda r, i: F.when(r.isin(*USER), i).otherwise(-1))))
+    said = F.transform("conversations", lambda m, i: F.when((i > F.col("_l")) & F.get("_r", i).isin(*ASSISTANT), F.coalesce(m["content"], F.lit(""))))
+    said = F.filter(said, lambda x: x.isNotNull())
+    q = F.when(F.col("_l") >= 0, F.coalesce(F.get("conversations", F.col("_l"))["content"], F.lit(""))).otherwise("")
+    return got.select("resp_id", q.alias("q"), F.when(F.size(said) > 0, F.array_join(said, "\n")).alias("a"), "finish_reason")
+
+
 _buckets: dict[str, int] = {}
 
 
@@ -478,8 +489,7 @@ def vocabulary(rows: DataFrame) -> DataFrame:
         for pdf in batches:
             said: list[str] = []
             bit: list[int] = []
-            for conv, q in zip(pdf["c"], pdf["q"]):
-                a = question_and_answer(conv)[1]
+            for a, q in zip(pdf["a"], pdf["q"]):
                 body, open_trace = split_trace(a) if a is not None else ("", True)
                 parts = [] if open_trace else clauses(body)
                 if parts:
@@ -500,11 +510,7 @@ def vocabulary(rows: DataFrame) -> DataFrame:
             yield counts()
 
     # of users only a hash of their last text is looked at
-    is_user = lambda m: F.coalesce(F.lower(F.trim(m["role"])).isin(*USER), F.lit(False))
-    cut = F.transform("conversations", lambda m: F.when(m.isNotNull(), F.struct(m["role"].alias("role"), F.when(is_user(m), "").otherwise(m["content"]).alias("content"))))
-    asked_ = F.filter("conversations", is_user)
-    q = F.xxhash64(F.lower(F.get(asked_, F.size(asked_) - 1)["content"]))
-    got = rows.filter("resp_id IS NOT NULL AND conversations IS NOT NULL").select(cut.alias("c"), q.alias("q")).mapInPandas(run, "key BIGINT, n BIGINT, asked BIGINT")
+    got = turns(rows.filter("resp_id IS NOT NULL AND conversations IS NOT NULL")).select("a", F.xxhash64(F.lower("q")).alias("q")).mapInPandas(run, "key BIGINT, n BIGINT, asked BIGINT")
     return runtime.materialize(got.groupBy("key").agg(F.sum("n").alias("n"), F.bit_or("asked").alias("asked")), "pairs-vocabulary")
 
 
@@ -840,8 +846,7 @@ def defects(rows: DataFrame, field: Field | None = None, sample: int = SAMPLE) -
         for pdf in batches:
             out: list[tuple[int, str | None, str | None, str | None, int]] = []  # id, defect, defect if the last word is unknown, that word, is it elsewhere in the row
             split: list[tuple[int, str, str, list[str]]] = []
-            for i, conv, fr in zip(pdf["resp_id"], pdf["conversations"], pdf["finish_reason"]):
-                q, a = question_and_answer(conv)
+            for i, q, a, fr in zip(pdf["resp_id"], pdf["q"], pdf["a"], pdf["finish_reason"]):
                 body, open_trace = split_trace(a) if a is not None else ("", False)
                 if open_trace or fr is not None and str(fr).strip().lower() == "length":
                     out.append((i, "truncated", None, None, 0))
@@ -876,8 +881,7 @@ def defects(rows: DataFrame, field: Field | None = None, sample: int = SAMPLE) -
             cols = {"resp_id": pd.Series([r[0] for r in out], dtype="int64"), "defect": pd.Series([r[1] for r in out], dtype="object"), "other": pd.Series([r[2] for r in out], dtype="object")}
             yield pd.DataFrame({**cols, "key": key, "own": pd.Series([r[4] for r in out], dtype="int32"), "sure": pd.Series(sure, dtype="bool")})
 
-    tags = rows.filter("resp_id IS NOT NULL").select("resp_id", "conversations", "finish_reason")
-    tags = tags.mapInPandas(run, "resp_id BIGINT, defect STRING, other STRING, key BIGINT, own INT, sure BOOLEAN").join(words.select("key", "n"), "key", "left")
+    tags = turns(rows.filter("resp_id IS NOT NULL")).mapInPandas(run, "resp_id BIGINT, defect STRING, other STRING, key BIGINT, own INT, sure BOOLEAN").join(words.select("key", "n"), "key", "left")
     known = F.col("sure") | (F.coalesce("n", F.lit(0)) - F.col("own") >= 1)
     return tags.select("resp_id", F.when(known, F.col("defect")).otherwise(F.col("other")).alias("defect")).filter("defect IS NOT NULL")
 
