@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -124,9 +125,51 @@ def render_plain(c: Column, user: str, assistant: str, end: str, bos: str = "")
     return F.concat(F.lit(bos), F.array_join(F.transform(c, one), ""))
 
 
-def render_chatml(c: Column, generation_prompt: bool = False) -> Column:
+#: What the template says of tools.
+_TOOLS_HEAD = "# Tools\n\nYou have access to the following functions:\n\n<tools>"
+_TOOLS_TAIL = (
+    "\n</tools>\n\nIf you choose to call a function ONLY reply in the following format with NO suffix:\n\n<tool_call>\n<function=example_function_name>\n<parameter=example_parameter_1>\nvalue_1\n</parameter>\n"
+    "<parameter=example_parameter_2>\nThis is the value for the second parameter\nthat can span\nmultiple lines\n</parameter>\n</function>\n</tool_call>\n\n<IMPORTANT>\nReminder:\n"
+    "- Function calls MUST follow the specified format: an inner <function=...></function> block must be nested within <tool_call></tool_call> XML tags\n- Required parameters MUST be specified\n"
+    "- You may provide optional reasoning for your function call in natural language BEFORE the function call, but NOT after\n"
+    "- If there is no function call available, answer the question like normal with your current knowledge and do not tell the user about function calls\n</IMPORTANT>"
+)
+
+
+def sanitize_tool_calls(calls: Column) -> Column:
+    """Tool calls, JSON text of a list, as ARRAY<STRUCT<id, type, name, arguments MAP>>: other fields go, arguments given as text
+    are parsed and empty where they can't be; null where the list itself can't be parsed."""
+    raw = F.from_json(calls, "array<struct<id:string,type:string,function:string>>")
+
+    def one(t: Column) -> Column:
+        f = t["function"]
+        args = F.coalesce(F.from_json(F.get_json_object(f, "$.arguments"), "map<string,string>"), F.create_map().cast("map<string,string>"))
+        return F.struct(
+            F.coalesce(t["id"], F.lit("")).alias("id"), F.coalesce(t["type"], F.lit("function")).alias("type"), F.coalesce(F.get_json_object(f, "$.name"), F.lit("")).alias("name"), args.alias("arguments")
+        )
+
+    return F.transform(F.filter(raw, lambda t: t.isNotNull()), one)
+
+
+def sanitize_message(m: Column, thinking: bool = False) -> Column:
+    """A message with the standard fields only: role, content and sanitised tool_calls, for thinking models reasoning_content too."""
+    extra = [m["reasoning_content"].alias("reasoning_content")] if thinking else []
+    return F.struct(m["role"].alias("role"), m["content"].alias("content"), sanitize_tool_calls(m["tool_calls"]).alias("tool_calls"), *extra)
+
+
+def tool_calls_text(calls: Column) -> Column:
+    """Sanitised tool calls as the template writes them, one behind the other; empty for none."""
+    def one(t: Column) -> Column:
+        args = F.transform(F.map_entries(t["arguments"]), lambda e: F.concat(F.lit("<parameter="), e["key"], F.lit(">\n"), F.coalesce(e["value"], F.lit("None")), F.lit("\n</parameter>\n")))
+        return F.concat(F.lit("<tool_call>\n<function="), t["name"], F.lit(">\n"), F.array_join(args, ""), F.lit("</function>\n</tool_call>"))
+
+    return F.coalesce(F.array_join(F.transform(calls, one), "\n"), F.lit(""))
+
+
+def render_chatml(c: Column, generation_prompt: bool = False, full: bool = False, tools: Column | None = None, reasoning: bool = False) -> Column:
     """ChatML with reasoning kept only in turns after the last user query; null where the template would refuse:
-    no user query, or a system turn that isn't first. Text roles only."""
+    no user query, a system turn that isn't first, or an unknown role. full: messages have sanitised tool_calls as well;
+    tools: JSON texts of the functions that may be called; reasoning: messages have reasoning_content, which goes before a trace in the content."""
     body = lambda m: T.strip(F.coalesce(m["content"], F.lit("")))
     query = lambda m: (m["role"] == "user") & ~(body(m).startswith("<tool_response>") & body(m).endswith("</tool_response>"))
     last = F.coalesce(F.array_max(F.transform(c, lambda m, i: F.when(query(m), i + 1).otherwise(0))), F.lit(0)) - 1
@@ -134,18 +177,38 @@ def render_chatml(c: Column, generation_prompt: bool = False) -> Column:
     def one(m: Column, i: Column) -> Column:
         b = body(m)
         has = b.contains("</think>")
+        if reasoning:
+            has = has & m["reasoning_content"].isNull()
         head = F.regexp_replace(F.split_part(b, F.lit("</think>"), F.lit(1)), r"\n+$", "")
-        why = F.when(has, T.strip(F.element_at(F.split(head, "<think>"), -1))).otherwise("")
+        why = F.when(has, T.strip(F.element_at(F.split(head, "<think>"), -1))).otherwise(T.strip(F.coalesce(m["reasoning_content"], F.lit(""))) if reasoning else F.lit(""))
         said = F.when(has, F.regexp_replace(F.element_at(F.split(b, "</think>"), -1), r"^\n+", "")).otherwise(b)
         start = F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"))
         answer = F.when(i > last, F.concat(start, F.lit("<think>\n"), why, F.lit("\n</think>\n\n"), said)).otherwise(F.concat(start, said))
-        return F.concat(F.when(m["role"] == "assistant", answer).otherwise(F.concat(start, b)), F.lit("<|im_end|>\n"))
+        if full:
+            calls = tool_calls_text(m["tool_calls"])
+            answer = F.concat(answer, F.when((calls != "") & (T.strip(said) != ""), F.lit("\n\n")).otherwise(""), calls)
+        before, behind = F.get(c, i - 1)["role"], F.get(c, i + 1)["role"]
+        tool = F.concat(
+            F.when((i > 0) & (before != "tool"), F.lit("<|im_start|>user")).otherwise(""), F.lit("\n<tool_response>\n"), b, F.lit("\n</tool_response>"),
+            F.when(behind.isNull() | (behind != "tool"), F.lit("<|im_end|>\n")).otherwise(""),
+        )
+        end = F.lit("<|im_end|>\n")
+        plain = F.when(m["role"] == "assistant", F.concat(answer, end)).when(m["role"] == "tool", tool).otherwise(F.concat(start, b, end))
+        return F.when((m["role"] == "system") & (i == 0), F.lit("")).otherwise(plain) if tools is not None else plain
 
     misplaced = F.exists(F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), lambda m: m["role"] == "system")
+    unknown = F.exists(c, lambda m: ~F.coalesce(m["role"].isin("system", "user", "assistant", "tool"), F.lit(False)))
     out = F.array_join(F.transform(c, one), "")
+    if tools is not None:
+        first = F.get(c, F.lit(0))
+        own = F.when(F.coalesce(first["role"] == "system", F.lit(False)), body(first)).otherwise("")
+        listed = F.array_join(F.transform(tools, lambda t: F.concat(F.lit("\n"), t)), "")
+        some = F.concat(F.lit("<|im_start|>system\n" + _TOOLS_HEAD), listed, F.lit(_TOOLS_TAIL), F.when(own != "", F.concat(F.lit("\n\n"), own)).otherwise(""), F.lit("<|im_end|>\n"))
+        none = F.when(F.coalesce(first["role"] == "system", F.lit(False)), F.concat(F.lit("<|im_start|>system\n"), own, F.lit("<|im_end|>\n"))).otherwise("")
+        out = F.concat(F.when(F.size(tools) > 0, some).otherwise(none), out)
     if generation_prompt:
         out = F.concat(out, F.lit("<|im_start|>assistant\n<think>\n\n</think>\n\n"))
-    return F.when((last >= 0) & ~F.coalesce(misplaced, F.lit(False)), out)
+    return F.when((last >= 0) & ~F.coalesce(misplaced, F.lit(False)) & ~F.coalesce(unknown, F.lit(False)), out)
 
 
 #: Preamble of the channel format.
@@ -222,10 +285,20 @@ def dataset_prompt(kind: str, **cols: Column) -> Column:
     if kind in ("mbpp", "mt-bench"):
         return cols["prompt"]
     if kind == "longbench":
-        return F.concat(F.substring(cols["context"], 1, 32768), F.lit("\n\n"), cols["question"])
+        return F.concat(T.first_words(cols["context"], 8192), F.lit("\n\n"), cols["question"])
+    if kind in DATASETS:
+        return DATASETS[kind](**cols)
     raise ValueError(f"unknown kind {kind!r}")
 
 
+DATASETS: dict[str, Callable[..., Column]] = {}  # further kinds: name and builder of the prompt from its columns
+
+
+def completion_text(body: Column) -> Column:
+    """The answer in a response body: the first choice's text or message content, empty where there is none."""
+    return F.coalesce(F.get_json_object(body, "$.choices[0].text"), F.get_json_object(body, "$.choices[0].message.content"), F.lit(""))
+
+
 @dataclass(frozen=True)
 class Template:
     name: str

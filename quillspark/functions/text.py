@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Patterns of the calibration buckets.
 CODE_FENCE = r"(?i)```(?:python|py|cpp|c\+\+|c|js|javascript|ts|java|go|rust|sh|bash|html|css|sql|json)?\b"
@@ -63,13 +67,14 @@ def flatten_think(c: Column) -> Column:
 
 
 def classify_bucket(user: Column, assistant: Column) -> Column:
-    """code, math, science or general, in this order of priority."""
+    """code, math, science or general, in this order of priority; words and their borders are those of any script."""
     blob = F.concat_ws("\n", F.coalesce(user, F.lit("")), F.coalesce(assistant, F.lit("")))
     low = F.lower(blob)
+    u = "(?U)"
     return (
-        F.when(blob.rlike(CODE_FENCE) | blob.rlike(CODE_SIGN), "code")
-        .when(blob.rlike(MATH_LATEX) | (F.regexp_count(low, F.lit(MATH_WORDS)) >= 2), "math")
-        .when(low.rlike(SCIENCE) | blob.rlike(CHOICE), "science")
+        F.when((blob.contains("```") & blob.rlike(u + CODE_FENCE)) | blob.rlike(u + CODE_SIGN), "code")
+        .when(blob.rlike(MATH_LATEX) | (F.regexp_count(low, F.lit(u + MATH_WORDS)) >= 2), "math")
+        .when(low.rlike(u + SCIENCE) | blob.rlike(u + CHOICE), "science")
         .otherwise("general")
     )
 
@@ -79,6 +84,68 @@ def words(c: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0)), F.array().cast("array<string>"))
 
 
+def first_words(c: Column, n: int) -> Column:
+    """The text up to its n-th word of the plain tokenizer, white space between kept; shorter texts stay whole."""
+    return F.when(F.size(words(c)) <= n, c).otherwise(F.regexp_extract(c, rf"^\s*(?:\S+\s+){{{n - 1}}}\S+", 0))
+
+
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))
+def word_offsets(texts: pd.Series) -> pd.Series:
+    """The plain tokenizer's words: 0-based places of their first character and behind their last. In Arrow batches, as an
+    array that grows word by word would be copied each time in the JVM."""
+    return pd.Series([[{"s": m.start(), "e": m.end()} for m in _WORD.finditer(t)] if t is not None else [] for t in texts], dtype=object)
+
+
+def escape_literal(s: str) -> str:
+    """A pattern that matches the text as it stands."""
+    return "".join(c if c.isalnum() or c == "_" or ord(c) > 127 else "\\" + c for c in s)
+
+
+def spans(c: Column, header: str, stop: str, inside: bool = True) -> Column:
+    """ARRAY<STRUCT<a, b>>: 0-based places from behind each header to the next stop pattern or the end of the text; the stop itself
+    is part of the span if inside, else it is only looked at. header is a literal, stop a pattern."""
+    h = escape_literal(header)
+    pattern = rf"{h}(?:[\s\S]*?)(?:{stop}|\z)" if inside else rf"{h}(?:[\s\S]*?)(?={stop}|\z)"
+    n = len(header)
+    step = lambda a, m: F.struct(
+        (F.call_function("locate", m, c, a["at"]) + F.length(m)).alias("at"),
+        F.concat(a["out"], F.array(F.struct((F.call_function("locate", m, c, a["at"]) - 1 + n).alias("a"), (F.call_function("locate", m, c, a["at"]) - 1 + F.length(m)).alias("b")))).alias("out"),
+    )
+    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+    return F.aggregate(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), zero, step, lambda a: a["out"])
+
+
+def strip_prefixes(name: Column, prefixes: tuple[str, ...], suffixes: tuple[str, ...] = ()) -> Column:
+    """A module's name without the first of the prefixes that it has, and without the first such suffix."""
+    out = name
+    pre = F.lit(0)
+    for p in reversed(prefixes):
+        pre = F.when(name.startswith(p), len(p)).otherwise(pre)
+    out = F.substring(name, pre + 1, F.length(name))
+    cut = F.lit(0)
+    for x in reversed(suffixes):
+        cut = F.when(out.endswith(x), len(x)).otherwise(cut)
+    return F.substring(out, F.lit(1), F.length(out) - cut)
+
+
+def is_ignored(module: Column, prefixes: tuple[str, ...] = (), patterns: tuple[str, ...] = KEPT_MODULES) -> Column:
+    """Whether a module is on an ignore list: by the beginning of its name, or by a pattern."""
+    out = F.lit(False)
+    for p in prefixes:
+        out = out | module.startswith(p)
+    for p in patterns:
+        out = out | module.rlike(p)
+    return out
+
+
+def status_kind(status: Column) -> Column:
+    """ok below 400, permanent for 4xx but 429, transient for all else and for no status at all."""
+    return F.when(status.isNull(), "transient").when(status < 400, "ok").when((status < 500) & (status != 429), "permanent").otherwise("transient")
+
+
 def word_id(c: Column, vocabulary: int) -> Column:
     """A stable id for a word in a hashed vocabulary."""
     return F.pmod(F.conv(F.substring(F.md5(c), 1, 7), 16, 10).cast("bigint"), F.lit(vocabulary)).cast("int")
@@ -114,4 +181,5 @@ def checkpoint_place(name: Column) -> tuple[Column, Column]:
 
 def evaluation_route(prompt: Column) -> Column:
     """Whether a prompt takes the reasoning route: it ends with 'step by step.' or its tail asks for a letter."""
-    return prompt.endswith("step by step.") | F.right(prompt, F.lit(30)).contains("Answer: Let")
+    p = F.regexp_replace(prompt, r"(?U)\s+$", "")
+    return p.endswith("step by step.") | F.right(p, F.lit(30)).contains("Answer: Let")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark import runtime
 
-ID_LIST_ROWS = 2_000_000  # ids a broadcast may hold (about 64 MB); longer lists are joined by shuffle
+ID_LIST_BYTES = 64 << 20  # estimated bytes of an id list that may be broadcast; longer lists are joined by shuffle
 
 
 def distinct_ids(df: DataFrame, col: str = "id") -> DataFrame:
@@ -25,12 +31,12 @@ def union_ids(frames: list[DataFrame], col: str = "id") -> DataFrame:
 
 def without(df: DataFrame, ids: DataFrame, col: str = "id") -> DataFrame:
     """Rows whose id isn't listed; rows with a null id stay, as nothing says that they were drawn."""
-    return df.join(runtime.small_or_shuffled(ids.select(col).filter(F.col(col).isNotNull()).distinct(), ID_LIST_ROWS), col, "left_anti")
+    return df.join(runtime.small_or_shuffled(ids.select(col).filter(F.col(col).isNotNull()).distinct(), ID_LIST_BYTES), col, "left_anti")
 
 
 def within(df: DataFrame, ids: DataFrame, col: str = "id") -> DataFrame:
     """Rows whose id is listed."""
-    return df.join(runtime.small_or_shuffled(ids.select(col).filter(F.col(col).isNotNull()).distinct(), ID_LIST_ROWS), col, "left_semi")
+    return df.join(runtime.small_or_shuffled(ids.select(col).filter(F.col(col).isNotNull()).distinct(), ID_LIST_BYTES), col, "left_semi")
 
 
 def missing_ids(wanted: DataFrame, have: DataFrame, col: str = "id") -> DataFrame:
@@ -105,14 +111,15 @@ def sample_limit(df: DataFrame, id_col: str, n: int, seed: str = "0") -> DataFra
     return (rows.filter(F.col("_h") <= cut) if cut is not None else rows.limit(0)).drop("_h")
 
 
-def cycle(pool: DataFrame, order: str, n: int) -> DataFrame:
-    """n rows, i being row i mod size of the ordered pool; the pool is a short list of prompts."""
-    numbered = pool.withColumn("_k", F.row_number().over(Window.orderBy(order)) - 1)
+def cycle(pool: DataFrame, order: str, n: int, offset: int = 0) -> DataFrame:
+    """n rows, i being row (offset + i) mod size of the ordered pool; a warm-up takes the places behind the measured ones by its
+    offset. The pool is joined by place, not sent: it may be of any size."""
+    numbered = global_position(pool, order).withColumnRenamed("position", "_k")
     size = numbered.count()
     if size == 0:
         return pool.withColumn("i", F.lit(0).cast("long")).limit(0)
-    i = pool.sparkSession.range(n).select(F.col("id").alias("i"), F.pmod("id", F.lit(size)).cast("int").alias("_k"))
-    return i.join(F.broadcast(numbered), "_k").drop("_k")
+    i = pool.sparkSession.range(n).select(F.col("id").alias("i"), F.pmod(F.col("id") + offset, F.lit(size)).cast("long").alias("_k"))
+    return i.join(numbered, "_k").drop("_k")
 
 
 def shard(df: DataFrame, order: str, world: int, drop_last: bool = False) -> DataFrame:
@@ -126,20 +133,94 @@ def shard(df: DataFrame, order: str, world: int, drop_last: bool = False) -> Dat
     return rows
 
 
+def _numbered(df: DataFrame, order: str, value: str | None) -> DataFrame:
+    """df in range partitions of a column, with _p, the partition, and _r, what lies before each row in it: rows, or the sum of a value.
+
+    The partition's own task counts, in order, while it writes, so rows are shuffled once. Nulls of the value count 0.
+    """
+    fields, names = df.schema.fields, df.columns
+    at = None if value is None else names.index(value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, before = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = np.ones(b.num_rows, dtype=np.int64) if at is None else np.array([x or 0 for x in b.column(at).to_pylist()], dtype=np.int64)
+            upto = np.cumsum(n) + before
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, p, dtype=np.int32)), pa.array(upto - n)], names=[*names, "_p", "_r"])
+            before = int(upto[-1]) if len(upto) else before
+
+    schema = T.StructType([*fields, T.StructField("_p", T.IntegerType()), T.StructField("_r", T.LongType())])
+    return runtime.materialize(df.repartitionByRange(order).sortWithinPartitions(order).mapInArrow(run, schema), "numbered")
+
+
+def _carried(rows: DataFrame, sizes: DataFrame, out: str) -> DataFrame:
+    """_r and the totals of the partitions before, one number for each partition."""
+    offsets = sizes.withColumn("_before", F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).drop("_s")
+    return rows.join(F.broadcast(offsets), "_p").withColumn(out, F.col("_r") + F.col("_before")).drop("_p", "_r", "_before")
+
+
 def global_position(df: DataFrame, order: str) -> DataFrame:
     """df with position, from 0, in the order of a column: range partitions are numbered within and offset by the
-    sums of the partitions before (one number per partition). Ties get some order."""
-    ranged = runtime.materialize(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()), "positions")
-    w = Window.partitionBy("_p").orderBy(order)
-    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
-    return ranged.withColumn("_r", F.row_number().over(w) - 1).join(F.broadcast(offsets), "_p").withColumn("position", F.col("_r") + F.col("_before")).drop("_p", "_r", "_before")
+    counts of the partitions before (one number per partition). Ties get some order."""
+    rows = _numbered(df, order, None)
+    return _carried(rows, rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_s")), "position")
 
 
 def running_total(df: DataFrame, order: str, value: str, out: str = "before") -> DataFrame:
     """df with the sum of value over all rows before each in the order of a column of distinct values, the same way."""
-    ranged = runtime.materialize(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()), "running")
-    w = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("_p").agg(F.sum(value).alias("_s"))
-    offsets = sums.withColumn("_before", F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).drop("_s")
-    return ranged.withColumn("_r", F.coalesce(F.sum(value).over(w), F.lit(0))).join(F.broadcast(offsets), "_p").withColumn(out, F.col("_r") + F.col("_before")).drop("_p", "_r", "_before")
+    rows = _numbered(df, order, value)
+    return _carried(rows, rows.groupBy("_p").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_s")), out)
+
+
+def drawn_rows(prompts: DataFrame, draw: DataFrame) -> DataFrame:
+    """(category, rank, id, conversations, reasoning) of a draw's ids, in a second pass over the prompts: of the rows with a drawn
+    id, the first by line_no that makes a prompt. Texts are read for drawn ids only."""
+    from quillspark.functions import chat
+
+    rows = prompts.select(runtime.canonical_uuid(F.col("id")).alias("id"), "line_no", "conversations", "reasoning")
+    rows = within(rows, draw).withColumn("conversations", chat.to_prompt(chat.normal_roles(F.col("conversations")))).filter("conversations IS NOT NULL")
+    return draw.join(first_per_key(rows, "id", ["line_no"]), "id").select("category", "rank", "id", "conversations", "reasoning")
+
+
+def head(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
+    """The first n rows of an order, a feature that takes a limit; all where there is none."""
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
+def fraction(df: DataFrame, by: list[str], id_col: str, share: float | int) -> DataFrame:
+    """Of each group a share of the rows (below 1) or a number of them, those of lowest hash."""
+    ranked = rank_by_hash(df, by, id_col)
+    if share >= 1:
+        return ranked.filter(F.col("rank") <= int(share)).drop("rank")
+    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) * share).alias("_n"))
+    return ranked.join(sizes, by).filter(F.col("rank") <= F.col("_n")).drop("rank", "_n")
+
+
+def tasks_subset(tasks: DataFrame, csv: str | None, name: str = "task", key: str = "key") -> DataFrame:
+    """Tasks whose name or key is in a comma-separated list; all without a list. It is an error if none is."""
+    if not csv:
+        return tasks
+    wanted = [x.strip() for x in csv.split(",") if x.strip()]
+    out = tasks.filter(F.col(name).isin(wanted) | F.col(key).isin(wanted))
+    if out.isEmpty():
+        raise ValueError(f"no task is named {csv!r}")
+    return out
+
+
+def concat_splits(parts: list[DataFrame]) -> DataFrame:
+    """The ranks' lists as one, with the rank each row comes from."""
+    out = parts[0].withColumn("rank", F.lit(0))
+    for k, p in enumerate(parts[1:], 1):
+        out = out.unionByName(p.withColumn("rank", F.lit(k)))
+    return out
+
+
+def dual_views(df: DataFrame, content: Column, mode: str = "both") -> DataFrame:
+    """df with view (think, no_think) and text, one row for each view of the mode: the content as it is, and without reasoning
+    blocks; a trace that never closes takes the rest with it."""
+    from quillspark.functions import text
+
+    views = {"think": content, "no_think": text.strip_think_blocks(content)}
+    names = list(views) if mode == "both" else [mode]
+    v = F.array(*(F.struct(F.lit(k).alias("view"), views[k].alias("text")) for k in names))
+    return df.withColumn("_v", F.explode(v)).select(*df.columns, "_v.view", "_v.text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import blocks, select, tokens
+from quillspark.operators import blocks, select, tokens, training
 from quillspark.plans.registry import query
 from quillspark.plans.token_queries import _D, _DV, V, docs
 from quillspark.runtime import table
@@ -70,10 +70,18 @@ def split_by_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.split_by_lengths(flat, "position", lengths).select("doc_id", "index")
 
 
-@query("SELECT count(*) FILTER (vec_id % 6 <> 0) AS n_quantized, count(*) FILTER (vec_id % 6 = 0) AS n_skipped, coalesce(string_agg(CASE WHEN (vec_id % 3 = 0) <> (vec_id % 6 = 0) THEN 'm' || vec_id END, ',' ORDER BY 'm' || vec_id), '') AS mismatched, false AS ok FROM embeddings")
+def _modules(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.concat(F.lit("m"), "vec_id").alias("name"), (F.col("vec_id") % 3 == 0).alias("want"), (F.col("vec_id") % 6 == 0).alias("is"))
+
+
+@query("SELECT count(*) FILTER (vec_id % 6 <> 0) AS n_quantized, count(*) FILTER (vec_id % 6 = 0) AS n_skipped, count(*) FILTER ((vec_id % 3 = 0) <> (vec_id % 6 = 0)) AS n_mismatched, false AS ok FROM embeddings")
 def mask_audit(spark: SparkSession, sf: str) -> DataFrame:
-    m = table(spark, sf, "embeddings").select(F.concat(F.lit("m"), "vec_id").alias("name"), (F.col("vec_id") % 3 == 0).alias("want"), (F.col("vec_id") % 6 == 0).alias("is"))
-    return blocks.audit(m, "want", "is", "name")
+    return blocks.audit(_modules(spark, sf), "want", "is")
+
+
+@query("SELECT 'm' || vec_id AS name FROM embeddings WHERE (vec_id % 3 = 0) <> (vec_id % 6 = 0)")
+def mask_mismatches(spark: SparkSession, sf: str) -> DataFrame:
+    return blocks.mismatches(_modules(spark, sf), "want", "is", "name")
 
 
 @query("""SELECT event_type, arg_min(value, (event_id % 4 <> 0)::INTEGER * 10000000000 + event_id) AS value FROM events WHERE event_id % 4 < 2 AND value IS NOT NULL GROUP BY 1""")
@@ -89,16 +97,37 @@ def bucket_quota(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.bucket_quota(table(spark, sf, "documents").select("doc_domain", "doc_id"), "doc_domain", "doc_id", "doc_id", 20)
 
 
-@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS token FROM embeddings")
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 1000) AS v, (vec_id % 97 + 0.5) / 97 AS u FROM embeddings),
+w AS (SELECT vec_id, u, v, list_transform(v, lambda x: exp((x - list_max(v)) / 50)) AS w FROM e),
+c AS (SELECT vec_id, v, u * list_sum(w) AS lim, list_transform(range(1, len(w) + 1), lambda i: list_sum(w[1:i])) AS c FROM w)
+SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS token, CAST(least(len(list_filter(c, lambda x: x <= lim)), len(v) - 1) AS INTEGER) AS drawn FROM c""")
 def sample_token(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    return table(spark, sf, "embeddings").select("vec_id", blocks.sampled_token(v, 0.0, F.lit(0.5)).alias("token"))
+    v = F.transform("embedding", lambda x: x.cast("double") * 1000)
+    u = (F.col("vec_id") % 97 + 0.5) / 97
+    return table(spark, sf, "embeddings").select("vec_id", blocks.sampled_token(v, 0.0, F.lit(0.5)).alias("token"), blocks.sampled_token(v, 50.0, u).cast("int").alias("drawn"))
 
 
-@query(f"SELECT i.t AS id, e.vec_id, e.label FROM (SELECT DISTINCT unnest(ids) AS t FROM ({_D})) i JOIN embeddings e ON e.vec_id = i.t")
+@query(f"SELECT i.t AS id, e.vec_id, e.label FROM (SELECT DISTINCT unnest(ids) AS t FROM ({_D})) i LEFT JOIN (SELECT * FROM embeddings WHERE vec_id >= 100 AND vec_id < 400) e ON e.vec_id = i.t")
 def embedding_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    ids = docs(spark, sf).select(F.explode("ids").alias("id")).distinct()
-    return ids.join(table(spark, sf, "embeddings").select("vec_id", "label"), F.col("id") == F.col("vec_id"))
+    ids = docs(spark, sf).select(F.explode("ids").alias("id")).select(F.col("id").cast("long").alias("id")).distinct()
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("vec_id").alias("found"), "label")
+    return blocks.embedding_rows(ids, v, "id", "vec_id", 100, 400).select(F.col("id").cast("int").alias("id"), F.col("found").alias("vec_id"), "label")
+
+
+@query(f"SELECT doc_id, CAST(count(*) FILTER (t >= 1000 AND t < 2000) AS BIGINT) AS inside FROM (SELECT doc_id, unnest(ids) AS t FROM ({_D})) GROUP BY 1")
+def predicate_vocab_range(spark: SparkSession, sf: str) -> DataFrame:
+    t = docs(spark, sf).select("doc_id", F.explode("ids").alias("t"))
+    return t.groupBy("doc_id").agg(F.count_if(training.in_vocabulary_range(F.col("t"), 1000, 2000)).alias("inside"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, list_transform(ids, lambda x: CASE WHEN x % 2 = 0 THEN 1 ELSE 0 END) AS m FROM ({_D})),
+a AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY md5(doc_id || ':' || i), i) AS k FROM (SELECT doc_id, m, unnest(range(0, greatest(len(m) - 8, 0) + 1)) AS i FROM s) WHERE m[i + 1] = 1)
+SELECT s.doc_id, coalesce((SELECT string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FROM a WHERE a.doc_id = s.doc_id AND k <= 4), '') AS anchors FROM s""")
+def anchor_random(spark: SparkSession, sf: str) -> DataFrame:
+    mask = F.transform("ids", lambda x: F.when(x % 2 == 0, 1).otherwise(0))
+    a = docs(spark, sf).select("doc_id", blocks.random_anchors(mask, F.col("doc_id"), 8, 4).alias("a"))
+    kept = F.filter(F.arrays_zip(F.col("a.anchors").alias("x"), F.col("a.keep").alias("k")), lambda z: z["k"] == 1)
+    return a.select("doc_id", F.array_join(F.transform(kept, lambda z: z["x"].cast("string")), ",").alias("anchors"))
 
 
 @query("SELECT line_no FROM prompts WHERE id IS NULL OR id NOT IN (SELECT id FROM regen WHERE id IS NOT NULL) ORDER BY line_no LIMIT 50")

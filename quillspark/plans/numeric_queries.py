@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import losses, schedules
 from quillspark.functions import numeric as N
+from quillspark.operators import blocks
 from quillspark.plans.registry import query
 from quillspark.runtime import table
 
@@ -121,13 +123,9 @@ def moe_load_balance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH c AS (SELECT vec_id, unnest([0, 16, 32, 48]) AS o, v FROM ({_E})), q AS (SELECT vec_id, list_max(v[o + 1 : o + 16]) AS m, list_sum(list_transform(v[o + 1 : o + 16], lambda x: exp(x - list_max(v[o + 1 : o + 16])))) AS s FROM c), g AS (SELECT vec_id, max(m) AS mm FROM q GROUP BY 1) SELECT vec_id, round(mm + ln(sum(s * exp(m - mm))), 6) AS lse FROM q JOIN g USING (vec_id) GROUP BY vec_id, mm")
 def logsumexp_merge(spark: SparkSession, sf: str) -> DataFrame:
-    chunk = F.explode(N.groups(F.col("v"), 16))
-    c = emb(spark, sf).select("vec_id", chunk.alias("c"))
-    # a chunk as (its largest value, the sum of exponents below it), merged in any order
-    part = F.aggregate("c", F.lit(0.0), lambda s, x: s + F.exp(x))
-    q = c.select("vec_id", F.array_max("c").alias("m"), part.alias("e")).select("vec_id", "m", (F.col("e") / F.exp("m")).alias("s"))
-    top = q.groupBy("vec_id").agg(F.max("m").alias("top"))
-    return q.join(top, "vec_id").groupBy("vec_id", "top").agg(F.sum(F.col("s") * F.exp(F.col("m") - F.col("top"))).alias("z")).select("vec_id", r(F.col("top") + F.log("z")).alias("lse"))
+    c = emb(spark, sf).select("vec_id", F.explode(N.groups(F.col("v"), 16)).alias("c"))
+    parts = c.select("vec_id", losses.lse_parts(F.col("c")).alias("p"))
+    return losses.merged_lse(parts, "vec_id", "p").select("vec_id", r(F.col("lse")).alias("lse"))
 
 
 @query("SELECT CAST(k AS INTEGER) AS k, round(exp(-greatest(k - 1, 0) / 4.0), 9) AS w FROM range(16) x(k)")
@@ -135,16 +133,15 @@ def position_decay_weight(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1).select(F.posexplode(N.decay_weights(16, 1, 4.0)).alias("k", "w")).select("k", F.round("w", 9).alias("w"))
 
 
-_SM = f"SELECT vec_id, list_transform(v[1:8], lambda x: CASE WHEN x > -0.1 THEN 0.9 * abs(x) + 0.1 ELSE 1.0 END) AS s, list_transform(v[1:8], lambda x: CASE WHEN x > -0.1 THEN 1 ELSE 0 END) AS m FROM ({_E})"
-_PX = f"SELECT vec_id, m, list_transform(range(1, 9), lambda i: list_product(s[1:i])) AS p FROM ({_SM})"
+_SM = f"SELECT vec_id, list_transform(v, lambda x: CASE WHEN x > -0.1 THEN 0.9 * abs(x) + 0.1 ELSE 1.0 END) AS s, list_transform(v, lambda x: CASE WHEN x > -0.1 THEN 1 ELSE 0 END) AS m FROM ({_E})"
+_PX = f"SELECT vec_id, m, list_transform(range(1, 65), lambda i: list_product(s[1:i])) AS p FROM ({_SM})"
 
 
-@query(f"SELECT vec_id, round(p[8], 9) AS last_prefix, round(list_sum(list_transform(range(1, 9), lambda i: p[i] * m[i])), 9) AS first_suffix FROM ({_PX})")
+@query(f"SELECT vec_id, round(p[64], 9) AS last_prefix, round(list_sum(list_transform(range(1, 65), lambda i: p[i] * m[i])), 9) AS first_suffix FROM ({_PX})")
 def dpace_weight(spark: SparkSession, sf: str) -> DataFrame:
-    h = emb(spark, sf).select("vec_id", F.slice("v", 1, 8).alias("v"))
-    h = h.select("vec_id", F.transform("v", F.abs).alias("p"), F.transform("v", lambda x: F.when(x > -0.1, 1).otherwise(0)).alias("m"))
+    h = emb(spark, sf).select("vec_id", F.transform("v", F.abs).alias("p"), F.transform("v", lambda x: F.when(x > -0.1, 1).otherwise(0)).alias("m"))
     h = h.select("vec_id", "m", N.prefix_products(F.col("p"), F.col("m"), 0.1).alias("x"))
-    return h.select("vec_id", F.round(F.get("x", F.lit(7)), 9).alias("last_prefix"), F.round(F.get(N.suffix_sums(F.col("x"), F.col("m")), F.lit(0)), 9).alias("first_suffix"))
+    return h.select("vec_id", F.round(F.get("x", F.lit(63)), 9).alias("last_prefix"), F.round(F.get(N.suffix_sums(F.col("x"), F.col("m")), F.lit(0)), 9).alias("first_suffix"))
 
 
 @query(f"SELECT vec_id, round(list_sum(list_transform(v, lambda x: abs(x / sqrt(list_sum(list_transform(v, lambda y: y * y)) / len(v) + 1e-6)))), 6) AS l1, round(-v[33], 6) AS turned FROM ({_E})")
@@ -159,23 +156,59 @@ def hessian_accumulate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gptq_quantize(spark: SparkSession, sf: str) -> DataFrame:
-    e = emb(spark, sf).select(F.concat(F.lit("m"), F.floor(F.col("vec_id") / 64)).alias("module"), (F.col("vec_id") % 64).cast("int").alias("row_idx"), "v")
-    g = N.gptq(e.withColumn("x", F.lit(None).cast("array<array<double>>")), 32)
+    """Modules of 64 rows, each with the 256 vectors behind its own as calibration inputs; brute force in tests/test_losses.py."""
+    e = emb(spark, sf).withColumn("m", F.floor(F.col("vec_id") / 64))
+    w = e.select(F.concat(F.lit("m"), "m").alias("module"), (F.col("vec_id") % 64).cast("int").alias("row_idx"), "v")
+    x = e.select(F.explode(F.sequence(F.greatest(F.col("m") - 4, F.lit(0)), F.greatest(F.col("m") - 1, F.lit(0)))).alias("of"), F.col("v").alias("x")).select(F.concat(F.lit("m"), "of").alias("module"), "x")
+    g = N.gptq(w, x, 32)
     return g.select("module", "row_idx", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"), r(F.col("err"), 9).alias("err"))
 
 
-@query(f"SELECT e.vec_id, e.label, len(list_filter(range(0, 64), lambda k: abs(k - e.vec_id % 64) <= 7)) AS visible FROM embeddings e")
+@query("SELECT e.vec_id, e.label, len(list_filter(range(0, 64), lambda k: abs(k - e.vec_id % 64) <= 7)) AS visible, 64::BIGINT AS whole FROM embeddings e")
 def swa_predicate(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", "label", (F.col("vec_id") % 64).alias("q"))
-    seen = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda k: F.abs(k - F.col("q")) <= 7)
-    return e.select("vec_id", "label", F.size(seen).cast("long").alias("visible"))
+    seen = lambda longest: F.size(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda k: N.window_visible(F.col("q"), k, 8, longest))).cast("long")
+    return e.select("vec_id", "label", seen(64).alias("visible"), seen(8).alias("whole"))
 
 
-@query("SELECT CAST(t AS INTEGER) AS step, round(CASE WHEN t < 10 THEN (t + 1) / 10.0 * 0.1 ELSE 0.05 * (1 + cos(pi() * (t - 10) / 90.0)) END, 9) AS lr FROM range(100) x(t)")
+@query("SELECT vec_id, len(list_filter(range(0, 96), lambda k: (vec_id % 32 >= k AND k < 20 AND vec_id % 32 < 20) OR (k >= 32 AND (k - vec_id % 32) % 32 = 0 AND k % 32 < 20))) AS visible FROM embeddings")
+def eagle_mask_predicate(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 32).alias("q"))
+    seen = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(95).cast("long")), lambda k: N.suffix_visible(F.col("q"), k, F.lit(20), 32))
+    return e.select("vec_id", F.size(seen).cast("long").alias("visible"))
+
+
+_COS = "0.1 * (1 + cos(pi() * ({s}) / {n})) / 2"
+
+
+@query(f"""SELECT CAST(t AS INTEGER) AS step, round(CASE WHEN t < 10 THEN (t + 1) / 10.0 * 0.1 ELSE {_COS.format(s='t - 10', n='90.0')} END, 9) AS lr,
+ round(CASE WHEN t < 10 THEN (t + 1) / 10.0 * 0.1 WHEN t < 25 THEN 0.1 ELSE {_COS.format(s='t - 25', n='75.0')} END, 9) AS lr_warm_delayed, round(CASE WHEN t < 20 THEN 0.1 ELSE {_COS.format(s='t - 20', n='80.0')} END, 9) AS lr_delayed,
+ count(*) AS n FROM (SELECT event_id % 100 AS t FROM events) GROUP BY t""")
 def lr_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.col("id")
-    lr = F.when(t < 10, (t + 1) / 10.0 * 0.1).otherwise(0.05 * (1 + F.cos(F.pi() * (t - 10) / 90.0)))
-    return spark.range(100).select(t.cast("int").alias("step"), F.round(lr, 9).alias("lr"))
+    t = F.col("t")
+    steps = table(spark, sf, "events").groupBy((F.col("event_id") % 100).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    late = schedules.delayed(t, 0.1, 20, lambda s: schedules.cosine(s, 0.1, 80))
+    rates = {"lr": schedules.warmup_cosine(t, 0.1, 100, 10), "lr_warm_delayed": schedules.warmup_cosine(t, 0.1, 100, 10, 15), "lr_delayed": late}
+    return steps.select(t.cast("int").alias("step"), *(F.round(c, 9).alias(k) for k, c in rates.items()), "n")
+
+
+@query(f"SELECT vec_id, round(list_sum(list_transform(range(1, 129), lambda i: v[(i - 1) // 2 + 1] * i)), 6) AS repeated, round(list_sum(list_transform(range(1, 17), lambda i: v[16 + i] * i)), 6) AS chunk, round(list_sum(list_transform(range(1, 17), lambda i: (CASE WHEN i <= 8 THEN v[8 + i] ELSE v[40 + i - 8] END) * i)), 6) AS merged, round(list_sum(v[17:32]) + 2 * list_sum(v[49:64]), 6) AS layers FROM ({_E})")
+def chunk_shard(spark: SparkSession, sf: str) -> DataFrame:
+    """repeat_kv, rank chunks plain and merged, and the states of two layers end to end."""
+    v = F.col("v")
+    weigh = lambda a: r(N.total(F.transform(a, lambda x, i: x * (i + 1))))
+    states = N.groups(v, 16)
+    both = N.concat_layers(states, (0, 2))
+    layers = r(N.total(F.slice(both, 1, 16)) + 2 * N.total(F.slice(both, 17, 16)))
+    return emb(spark, sf).select("vec_id", weigh(N.repeat_groups(v, 2)).alias("repeated"), weigh(N.rank_chunk(v, 1, 4)).alias("chunk"), weigh(N.merged_chunk(v, (32, 32), 1, 4)).alias("merged"), layers.alias("layers"))
+
+
+@query(f"WITH s AS (SELECT label, [round(max(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE)))) / 7, 9)] AS scale FROM embeddings WHERE label % 2 = 0 GROUP BY 1) SELECT e.vec_id, CASE WHEN e.vec_id % 7 > 0 THEN round(s.scale[1] * 7, 6) END AS amax, CASE WHEN s.scale IS NULL THEN 'no_scale' WHEN e.vec_id % 7 = 0 THEN 'shape' ELSE 'written' END AS outcome FROM embeddings e LEFT JOIN s USING (label)")
+def inject_amax(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("l"), "label").alias("layer"), "label", N.absmax(N.doubles(F.col("embedding"))).alias("a"))
+    s = e.filter("label % 2 = 0").groupBy("layer").agg(F.array(F.round(F.max("a") / 7, 9)).alias("scale")).withColumnRenamed("layer", "name")
+    m = e.select("vec_id", F.concat(F.when(F.col("vec_id") % 3 == 0, F.lit("_student.")).otherwise(""), "layer").alias("name"), F.when(F.col("vec_id") % 7 == 0, 2).otherwise(1).alias("n"))
+    return blocks.inject_scales(m, s).select("vec_id", r(F.get("amax", F.lit(0))).alias("amax"), "outcome")
 
 
 @query(f"SELECT w.label, s.scale, count(*) AS n FROM embeddings w LEFT JOIN (SELECT label, round(max(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE)))) / 7, 9) AS scale FROM embeddings WHERE label % 2 = 0 GROUP BY 1) s USING (label) GROUP BY ALL")

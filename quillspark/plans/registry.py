@@ -36,4 +36,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from quillspark.plans import block_queries, chat_queries, numeric_queries, select_queries, stats_queries, text_queries, token_queries  # noqa: F401
+    from quillspark.plans import block_queries, chat_queries, loss_queries, numeric_queries, select_queries, stats_queries, text_queries, token_queries, training_queries  # noqa: F401

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark import runtime
-from quillspark.functions import chat
+from quillspark.functions import chat, text
 from quillspark.operators import select
-from quillspark.plans.chat_queries import _P, convs, s_strip
+from quillspark.plans.chat_queries import WS, _P, convs, s_strip, s_strip_blocks
 from quillspark.plans.registry import query
 from quillspark.runtime import table
 
@@ -47,12 +47,12 @@ def dedup_md5_representative(spark: SparkSession, sf: str) -> DataFrame:
     return select.representatives(p, runtime.canonical_label(F.col("category")), chat.user_text(F.col("c")), "id")
 
 
-_NU = f"md5(regexp_replace(lower({_UT}), '\\s+', ' ', 'g'))"
+_NU = f"md5(regexp_replace(lower({_UT}), '{WS}+', ' ', 'g'))"
 
 
 @query(f"SELECT h AS text_md5, min(line_no) AS line_no FROM (SELECT line_no, {_NU} AS h FROM ({_P})) GROUP BY 1")
 def dedup_normalized_user(spark: SparkSession, sf: str) -> DataFrame:
-    p = convs(spark, sf).select("line_no", F.md5(F.regexp_replace(F.lower(chat.user_text(F.col("c"))), r"[\t\n\f\r ]+", " ")).alias("text_md5"))
+    p = convs(spark, sf).select("line_no", F.md5(text.collapse_space(chat.user_text(F.col("c")))).alias("text_md5"))
     return p.groupBy("text_md5").agg(F.min("line_no").alias("line_no"))
 
 
@@ -135,13 +135,48 @@ def rank_stride_shard(spark: SparkSession, sf: str) -> DataFrame:
     return select.shard(table(spark, sf, "documents").select("doc_id"), "doc_id", 8, drop_last=True).select("doc_id", "shard")
 
 
-@query("""WITH v AS (SELECT resp_id, unnest(['think', 'no_think']) AS view, coalesce(conversations[len(conversations)].content, '') AS a FROM regen WHERE len(conversations) > 0)
-SELECT resp_id, view, md5(CASE WHEN view = 'think' THEN a ELSE regexp_replace(a, '(?s)<think>.*?</think>\\n*', '', 'g') END) AS digest FROM v""")
+@query(f"""WITH v AS (SELECT resp_id, unnest(['think', 'no_think']) AS view, coalesce(conversations[len(conversations)].content, '') AS a FROM regen WHERE len(conversations) > 0)
+SELECT resp_id, view, md5(CASE WHEN view = 'think' THEN a ELSE {s_strip_blocks('a')} END) AS digest FROM v""")
 def dual_view_union(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "regen").filter(F.size("conversations") > 0).select("resp_id", F.coalesce(F.get("conversations", F.size("conversations") - 1)["content"], F.lit("")).alias("a"))
-    bare = F.regexp_replace("a", r"(?s)<think>.*?</think>\n*", "")
-    v = F.array(F.struct(F.lit("think").alias("view"), F.col("a").alias("t")), F.struct(F.lit("no_think").alias("view"), bare.alias("t")))
-    return a.select("resp_id", F.explode(v).alias("v")).select("resp_id", "v.view", F.md5("v.t").alias("digest"))
+    return select.dual_views(a, F.col("a")).select("resp_id", "view", F.md5("text").alias("digest"))
+
+
+@query(_DRAW.replace("WANT", "40").replace("SELECT category, CAST(k AS INTEGER) AS rank, id FROM (", "SELECT w.category, w.rank, w.id, x.n_turns FROM (SELECT category, CAST(k AS INTEGER) AS rank, id FROM (") + f""") w JOIN (
+SELECT id, arg_min(n, line_no) AS n_turns FROM (SELECT line_no, {s_uuid('id')} AS id, CAST(k - len(list_filter(c[1:k], lambda m: m.role = 'system' AND coalesce({s_strip('m.content')} = '', true))) + CASE WHEN c[1].role = 'system' AND coalesce({s_strip('c[1].content')} <> '', false) THEN 0 ELSE 1 END AS INTEGER) AS n
+ FROM (SELECT line_no, id, c, coalesce(list_max(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN c[i].role = 'user' THEN i ELSE 0 END)), 0) AS k FROM ({_P.replace('SELECT line_no', 'SELECT line_no, id')})) WHERE k > 0) GROUP BY 1) x USING (id)""")
+def semi_join_selected(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "prompts")
+    rows = select.drawn_rows(p, select.corpus_draw(p, table(spark, sf, "manifest"), 40))
+    return rows.select("category", "rank", "id", F.size("conversations").alias("n_turns"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 700")
+def max_samples_head(spark: SparkSession, sf: str) -> DataFrame:
+    return select.head(table(spark, sf, "documents").select("doc_id"), ["doc_id"], 700)
+
+
+@query("""SELECT benchmark, item_id FROM (SELECT benchmark, item_id, row_number() OVER (PARTITION BY benchmark ORDER BY md5(CAST(item_id AS VARCHAR)), item_id) AS k, count(*) OVER (PARTITION BY benchmark) AS n FROM bench_turns) WHERE k <= ceil(n * 0.3)""")
+def limit_fraction(spark: SparkSession, sf: str) -> DataFrame:
+    return select.fraction(table(spark, sf, "bench_turns").select("benchmark", "item_id"), ["benchmark"], "item_id", 0.3)
+
+
+@query("SELECT source AS task, target_share FROM source_weights WHERE source IN ('web', 'forum') OR max_repeats IN (2)")
+def filter_task_subset(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "source_weights").select(F.col("source").alias("task"), "target_share", F.col("max_repeats").cast("string").alias("key"))
+    return select.tasks_subset(t, "web, forum,2").select("task", "target_share")
+
+
+@query("SELECT doc_id, CAST(doc_id % 3 AS INTEGER) AS rank FROM documents")
+def concat_splits(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id")
+    return select.concat_splits([d.filter(F.col("doc_id") % 3 == k) for k in range(3)])
+
+
+@query("""WITH n AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, item_id FROM bench_turns), c AS (SELECT count(*) AS c FROM n)
+SELECT i.i, n.item_id FROM (SELECT unnest(range(50)) AS i) i CROSS JOIN c JOIN n ON n.k = (i.i + 5) % c.c""")
+def cycle_pool_warmup(spark: SparkSession, sf: str) -> DataFrame:
+    return select.cycle(table(spark, sf, "bench_turns").select("item_id"), "item_id", 50, offset=5).select("i", "item_id")
 
 
 @query(f"""WITH p AS (SELECT p.line_no, {s_label('p.category')} AS label FROM prompts p) SELECT label AS category, count(*) AS n_rows, count(DISTINCT line_no) AS n_unique, count(*) FILTER (label IS NULL) AS n_unlabelled FROM p GROUP BY 1""")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import chat, text
-from quillspark.operators import stats
+from quillspark.functions import losses, text
+from quillspark.operators import stats, training
 from quillspark.plans.chat_queries import _R, convs, s_blank
 from quillspark.plans.registry import query
 from quillspark.runtime import table
@@ -90,15 +90,20 @@ def mal_from_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type, round(avg(value), 6) AS mean_tpot, round(1 / avg(value), 6) AS throughput, round(sum(user_id) / greatest(sum(value), 1e-6), 4) AS tokens_per_second FROM events GROUP BY 1")
 def throughput(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("event_type").agg(
-        F.round(F.avg("value"), 6).alias("mean_tpot"), F.round(1 / F.avg("value"), 6).alias("throughput"), F.round(F.sum("user_id") / F.greatest(F.sum("value"), F.lit(1e-6)), 4).alias("tokens_per_second")
-    )
+    r = training.decode_rates(table(spark, sf, "events"), ["event_type"], "value", "user_id", "value")
+    return r.select("event_type", F.round("mean_tpot", 6).alias("mean_tpot"), F.round("throughput", 6).alias("throughput"), F.round("tokens_per_second", 4).alias("tokens_per_second"))
+
+
+@query("SELECT event_type, round(avg(value) FILTER (user_id % 2 = 0) / nullif(avg(value) FILTER (user_id % 2 = 1), 0), 6) AS speedup FROM events GROUP BY 1")
+def decode_speedup(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("kind", F.when(F.col("user_id") % 2 == 0, "base").otherwise("block"))
+    return training.decode_speedup(e, ["event_type"], "kind", "value", "base", "block").select("event_type", F.round("speedup", 6).alias("speedup"))
 
 
 @query("SELECT event_type, round(sum(value * (user_id % 2)) / greatest(sum(user_id % 2), 1e-8), 6) AS masked, round(sum(value * user_id) / (sum(user_id) + 1e-6), 6) AS weighted FROM events GROUP BY 1")
 def masked_mean(spark: SparkSession, sf: str) -> DataFrame:
     v, m = F.col("value"), F.col("user_id") % 2
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(stats.masked_mean(v, m), 6).alias("masked"), F.round(F.sum(v * F.col("user_id")) / (F.sum("user_id") + 1e-6), 6).alias("weighted"))
+    return table(spark, sf, "events").groupBy("event_type").agg(F.round(stats.masked_mean(v, m), 6).alias("masked"), F.round(losses.weighted_mean_loss(v, F.col("user_id")), 6).alias("weighted"))
 
 
 @query("SELECT event_id, user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS delta FROM events")
@@ -137,39 +142,30 @@ def filter_min_context(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.size(text.words(F.col("text"))).alias("n_tokens")).filter("n_tokens >= 300")
 
 
-@query("SELECT CASE WHEN value < 20 THEN 'ok' WHEN CAST(value AS INTEGER) % 100 = 29 THEN 'transient' WHEN value < 60 THEN 'permanent' ELSE 'transient' END AS kind, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
+@query("SELECT status, CASE WHEN status IS NULL THEN 'transient' WHEN status < 400 THEN 'ok' WHEN status < 500 AND status <> 429 THEN 'permanent' ELSE 'transient' END AS kind, count(*) AS n FROM (SELECT CASE WHEN event_id % 11 > 0 THEN CAST([200, 204, 301, 400, 404, 422, 429, 500, 503][event_id % 9 + 1] AS INTEGER) END AS status FROM events) GROUP BY ALL")
 def http_permanent_vs_transient(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("value")
-    kind = F.when(v < 20, "ok").when(F.round(v).cast("int") % 100 == 29, "transient").when(v < 60, "permanent").otherwise("transient")
-    return table(spark, sf, "events").filter("value IS NOT NULL").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    code = F.element_at(F.array(*map(F.lit, (200, 204, 301, 400, 404, 422, 429, 500, 503))), (F.col("event_id") % 9 + 1).cast("int"))
+    e = table(spark, sf, "events").select(F.when(F.col("event_id") % 11 > 0, code).alias("status"))
+    return e.groupBy("status", text.status_kind(F.col("status")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_LW = "regexp_extract_all(coalesce(text, ''), '\\S+')"
 
 
-@query("""SELECT doc_id, md5(array_to_string(regexp_extract_all(coalesce(text, ''), '\\S+')[1:64], ' ')) AS short, md5(array_to_string(regexp_extract_all(coalesce(text, ''), '\\S+')[1:256], ' ')) AS medium FROM documents""")
+@query(f"""WITH d AS (SELECT doc_id, {_LW} AS w FROM documents WHERE len({_LW}) >= 256 ORDER BY doc_id LIMIT 60)
+SELECT doc_id, c.category, md5(array_to_string(w[1:c.n], ' ')) AS digest FROM d CROSS JOIN (VALUES ('short', 8), ('medium', 64), ('long', 256)) c(category, n)""")
 def longbench_latency_pool(spark: SparkSession, sf: str) -> DataFrame:
-    w = table(spark, sf, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
-    return w.select("doc_id", F.md5(F.array_join(F.slice("w", 1, 64), " ")).alias("short"), F.md5(F.array_join(F.slice("w", 1, 256), " ")).alias("medium"))
+    pool = training.latency_pool(table(spark, sf, "documents"), "doc_id", "text", {"short": 8, "medium": 64, "long": 256}, 60)
+    return pool.select("doc_id", "category", F.md5("prompt").alias("digest"))
 
 
 @query("SELECT len(conversations) AS turns, repeat('filler ', CAST(greatest(1, len(conversations) // 2) AS INTEGER)) AS filler, count(*) AS n FROM regen GROUP BY 1, 2")
 def filler_repeat(spark: SparkSession, sf: str) -> DataFrame:
     n = F.size("conversations")
-    return table(spark, sf, "regen").groupBy(n.cast("long").alias("turns"), F.repeat(F.lit("filler "), F.greatest(F.lit(1), F.floor(n / 2)).cast("int")).alias("filler")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "regen").groupBy(n.cast("long").alias("turns"), training.filler("filler ", F.floor(n / 2)).alias("filler")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH t AS (SELECT category, count(*) AS n FROM prompts GROUP BY 1) SELECT category, n, n / sum(n) OVER () AS share FROM t""")
 def category_share(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "prompts").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     return t.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
-
-
-_C = chat  # the calibration set below uses the last turns of each answer
-
-
-@query(f"""WITH p AS ({_R}), o AS (SELECT resp_id, list_last(list_transform(list_filter(c, lambda m: m.role = 'user'), lambda m: m.content)) AS u, list_last(list_transform(list_filter(c, lambda m: m.role = 'assistant'), lambda m: m.content)) AS a FROM p),
-k AS (SELECT resp_id, md5(regexp_replace(lower(u), '\\s+', ' ', 'g')) AS h, len(regexp_extract_all(u || ' ' || a, '\\S+')) AS n FROM o WHERE NOT {s_blank('u')} AND NOT {s_blank('a')}),
-d AS (SELECT h, min(resp_id) AS resp_id FROM k WHERE n <= 400 GROUP BY 1)
-SELECT d.resp_id, CAST(k.n AS INTEGER) AS n_tokens FROM d JOIN k USING (resp_id)""")
-def build_calib(spark: SparkSession, sf: str) -> DataFrame:
-    o = convs(spark, sf, "regen", "resp_id").select("resp_id", _C.last_turns(F.col("c")).alias("o")).filter("o IS NOT NULL")
-    k = o.select("resp_id", F.md5(F.regexp_replace(F.lower("o.user"), r"[\t\n\f\r ]+", " ")).alias("h"), F.size(text.words(F.concat_ws(" ", "o.user", "o.assistant"))).alias("n_tokens"))
-    return k.filter("n_tokens <= 400").groupBy("h").agg(F.min(F.struct("resp_id", "n_tokens")).alias("s")).select("s.resp_id", "s.n_tokens")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text
 from quillspark.operators import select
-from quillspark.plans.chat_queries import _R, convs, s_blank, s_last, s_strip, s_strip_blocks  # noqa: F401
+from quillspark.plans.chat_queries import WS, _R, convs, s_blank, s_last, s_strip, s_strip_blocks  # noqa: F401
 from quillspark.plans.registry import query
 from quillspark.runtime import table
 from quillspark.sources import readers, sinks
@@ -65,7 +65,12 @@ def _q(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
 
-_BL = "coalesce(u, '') || chr(10) || coalesce(a, '')"
+def s_ascii(x: str) -> str:
+    """A text in whose place ASCII word borders are those of any script: other letters, marks and numbers become x, all else a space."""
+    return f"regexp_replace(regexp_replace({x}, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\x00-\\x7F]', ' ', 'g'), '[^\\x00-\\x7F]', 'x', 'g')"
+
+
+_BL = s_ascii("(coalesce(u, '') || chr(10) || coalesce(a, ''))")
 _U = f"SELECT resp_id, CASE WHEN {s_last('c', 'user')} > 0 THEN c[{s_last('c', 'user')}].content END AS u, CASE WHEN {s_last('c', 'assistant')} > 0 THEN c[{s_last('c', 'assistant')}].content END AS a FROM ({_R})"
 
 
@@ -111,16 +116,11 @@ def scan_parquet_shards(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_columns(spark, f"{sf}/prompts.parquet", ["id", "category"]).groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("SELECT event_type, CAST(sum(user_id) AS DOUBLE) AS total FROM events GROUP BY 1")
+@query("SELECT event_type || '_total' AS name, CAST(sum(user_id) AS DOUBLE) AS total FROM events GROUP BY 1")
 def scan_metrics_text(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat(F.col("event_type"), F.lit('_total{id="'), F.col("event_id"), F.lit('"} '), F.col("user_id"))
-    lines = table(spark, sf, "events").select("event_type", line.alias("line"))
-    kinds = [r[0] for r in lines.select("event_type").distinct().orderBy("event_type").collect()]
-    out = None
-    for k in kinds:
-        one = readers.metric(lines, f"{k}_total").select(F.lit(k).alias("event_type"), "total")
-        out = one if out is None else out.unionByName(one)
-    return out
+    noise = spark.createDataFrame([("# HELP a_total of it",), ("a_total nothing",), ("",)], "line STRING")
+    return readers.metrics(table(spark, sf, "events").select(line.alias("line")).unionByName(noise))
 
 
 @query("SELECT 'epoch_' || (user_id % 13) || '_step_' || max(event_id) AS name, CAST(user_id % 13 AS INTEGER) AS epoch, CAST(max(event_id) AS INTEGER) AS step FROM events WHERE user_id % 13 = (SELECT max(user_id % 13) FROM events) GROUP BY user_id % 13")
@@ -146,6 +146,63 @@ def parse_alloc(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(F.explode("m").alias("category", "want"))
 
 
-@query("SELECT item_id, ends_with(turns[1], 'step by step.') OR contains(right(turns[1], 30), 'Answer: Let') AS reasoning FROM bench_turns")
+@query(f"""WITH t AS (SELECT item_id, unnest(range(len(turns))) AS turn, unnest(turns) AS t FROM bench_turns), v AS (SELECT item_id, turn, unnest(['', 'step by step.' || chr(10), '  Answer: Let ' || chr(9)]) AS tail, t FROM t)
+SELECT item_id, turn, count(*) FILTER (ends_with(regexp_replace(t || ' ' || tail, '{WS}+$', ''), 'step by step.') OR contains(right(regexp_replace(t || ' ' || tail, '{WS}+$', ''), 30), 'Answer: Let')) AS reasoning FROM v GROUP BY 1, 2""")
 def evaluation_route(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "bench_turns").select("item_id", text.evaluation_route(F.get("turns", F.lit(0))).alias("reasoning"))
+    t = table(spark, sf, "bench_turns").select("item_id", F.posexplode("turns").alias("turn", "t"))
+    v = t.withColumn("tail", F.explode(F.array(F.lit(""), F.lit("step by step.\n"), F.lit("  Answer: Let \t"))))
+    on = text.evaluation_route(F.concat("t", F.lit(" "), "tail"))
+    return v.groupBy("item_id", F.col("turn").cast("long").alias("turn")).agg(F.count_if(on).alias("reasoning"))
+
+
+@query("SELECT line_no, id FROM (SELECT line_no, 's' || (line_no % 7) AS id FROM prompts WHERE line_no % 3 > 0)")
+def rstrip_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat(F.element_at(F.array(F.lit("_student."), F.lit("_teacher_model."), F.lit("")), (F.col("line_no") % 3 + 1).cast("int")), F.lit("s"), F.col("line_no") % 7, F.element_at(F.array(F.lit(".weight"), F.lit("")), (F.col("line_no") % 2 + 1).cast("int")))
+    return table(spark, sf, "prompts").filter("line_no % 3 > 0").select("line_no", text.strip_prefixes(name, ("_teacher_model.", "_student."), (".weight",)).alias("id"))
+
+
+@query("SELECT vec_id, vec_id % 5 > 0 AND starts_with('l' || (vec_id % 12) || '.mlp', 'l1') OR vec_id % 5 = 0 AS ignored FROM embeddings")
+def filter_ignore_list(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat(F.when(F.col("vec_id") % 5 == 0, F.lit("visual.")).otherwise(""), F.lit("l"), F.col("vec_id") % 12, F.lit(".mlp"))
+    return table(spark, sf, "embeddings").select("vec_id", text.is_ignored(name, ("l1",), (r"^visual\.",)).alias("ignored"))
+
+
+@query(f"SELECT doc_id, CAST((length(text) - length(replace(text, '(a.b)*', ''))) // 6 AS INTEGER) AS n FROM (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN '(a.b)* (axb)' ELSE '' END AS text FROM documents)")
+def escape_literal(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, "(a.b)* (axb)").otherwise(""))
+    return table(spark, sf, "documents").select("doc_id", F.regexp_count(t, F.lit(text.escape_literal("(a.b)*"))).alias("n"))
+
+
+@query("SELECT DISTINCT id FROM (SELECT id FROM manifest UNION ALL SELECT id FROM regen) WHERE id IS NOT NULL")
+def scan_exclude_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of two JSONL files, written here from two tables, and a file that is missing."""
+    import warnings
+
+    from quillspark import runtime
+
+    at = runtime.scratch(spark, "exclude")
+    table(spark, sf, "manifest").select("id").write.json(f"{at}/a")
+    table(spark, sf, "regen").select("id").write.json(f"{at}/b")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return readers.exclude_ids(spark, [f"{at}/a", f"{at}/none", f"{at}/b"])
+
+
+@query("SELECT CAST(n AS INTEGER) AS shard, count(*) AS n_rows, min(doc_id) AS first FROM (SELECT doc_id, doc_id % 3 AS n FROM documents) GROUP BY 1")
+def scan_parquet_glob(spark: SparkSession, sf: str) -> DataFrame:
+    from quillspark import runtime
+
+    at = runtime.scratch(spark, "shards")
+    d = table(spark, sf, "documents").select("doc_id", "lang", (F.col("doc_id") % 3).alias("n"))
+    for k in range(3):  # one file a shard, as they are handed on
+        d.filter(F.col("n") == k).coalesce(1).write.parquet(f"{at}/tmp-{k}")
+        runtime.rename(spark, readers.glob_paths(spark, f"{at}/tmp-{k}/*.parquet")[0], f"{at}/part-{k}.parquet")
+    return readers.read_shards(spark, f"{at}/part-*.parquet", ["doc_id"]).groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("first"))
+
+
+@query("SELECT item_id AS position, md5(turns[1] || chr(10) || 'Please reason step by step, and put your final answer within \\boxed{}.') AS digest FROM bench_turns")
+def scan_hf_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    from quillspark import runtime
+
+    source = lambda: table(spark, sf, "bench_turns").select(F.col("item_id").alias("position"), F.get("turns", F.lit(0)).alias("question"))
+    return readers.benchmark_prompts(spark, "gsm8k", source, runtime.scratch(spark, "benchmarks")).select("position", F.md5("prompt").alias("digest"))

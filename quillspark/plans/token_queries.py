@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import tokens
+from quillspark.operators import blocks, tokens
 from quillspark.plans.chat_queries import _R, convs
 from quillspark.plans.registry import query
 from quillspark.runtime import table
@@ -73,9 +73,12 @@ def vocab_kept(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.vocab_mapping(tokens.vocab_counts(docs(spark, sf), "ids"), 1000, V)[1]
 
 
-@query("SELECT CAST(NULL AS INTEGER) AS target_id WHERE false")
+@query(f"SELECT CAST(id AS INTEGER) AS target_id FROM ({_DV}) WHERE id % 10 = 3 UNION ALL SELECT CAST(r AS INTEGER) FROM range({V}) x(r) WHERE r % 50 = 1 AND r NOT IN (SELECT id FROM ({_DV}))")
 def vocab_mapping_validate(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.mapping_faults(*tokens.vocab_mapping(tokens.vocab_counts(docs(spark, sf), "ids"), 1000, V))
+    """A sound mapping that is then spoilt: some kept ids are marked as dropped, and some dropped ones as kept."""
+    d2t, t2d = tokens.vocab_mapping(tokens.vocab_counts(docs(spark, sf), "ids"), 1000, V)
+    kept = F.when(F.col("target_id") % 10 == 3, False).when(F.col("target_id") % 50 == 1, True).otherwise(F.col("kept"))
+    return tokens.mapping_faults(d2t, t2d.withColumn("kept", kept)).select(F.col("target_id").cast("int").alias("target_id"))
 
 
 @query(f"SELECT round((SELECT sum(cnt) FROM ({_DV})) / (SELECT sum(cnt) FROM ({_VC})), 9) AS coverage")
@@ -151,9 +154,10 @@ def anchor_linspace(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter("n_chars IS NOT NULL").select("doc_id", F.array_join(a.cast("array<string>"), ",").alias("anchors"))
 
 
-@query(f"SELECT pmod AS block, count(*) AS n FROM (SELECT (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 4 AS pmod FROM events) GROUP BY 1")
+@query("""WITH p AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+SELECT event_id, p % 4 = 0 AS by_size, coalesce(event_type <> before, true) AS by_block FROM p""")
 def block_start_flags(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    i = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    return table(spark, sf, "events").select(F.pmod(i.cast("long"), F.lit(4)).alias("block")).groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    a = blocks.block_starts(e, "user_id", "event_id", size=4).withColumnRenamed("starts", "by_size").drop("position")
+    b = blocks.block_starts(a, "user_id", "event_id", block="event_type")
+    return b.select("event_id", "by_size", F.col("starts").alias("by_block"))

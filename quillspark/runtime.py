@@ -202,12 +202,13 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
 
 def size_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the plan's size, an upper bound for files read whole."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def small_or_shuffled(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hints a broadcast only where the counted rows are at most max_rows; else the join stays a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small_or_shuffled(df: DataFrame, max_bytes: int) -> DataFrame:
+    """Hints a broadcast only where Catalyst's upper bound of the plan's size is at most max_bytes; else Spark decides at run
+    time, when the shuffled size is known. Nothing is counted for it."""
+    return F.broadcast(df) if size_bytes(df) <= max_bytes else df
 
 
 def kth_smallest(df: DataFrame, col: str, k: int, step: int = 4, leaf: int = 20_000) -> str | None:

@@ -178,8 +178,9 @@ def test_gptq_and_hessian(spark):
     x = rng.normal(size=(64, 16))
     x[:, 3] = 0
     w = rng.normal(size=(8, 16))
-    df = spark.createDataFrame([("m", i, list(map(float, w[i])), [list(map(float, r)) for r in x]) for i in range(8)], "module STRING, row_idx INT, v ARRAY<DOUBLE>, x ARRAY<ARRAY<DOUBLE>>")
-    got = numeric.gptq(df, 8).toPandas()
+    df = spark.createDataFrame([("m", i, list(map(float, w[i]))) for i in range(8)], "module STRING, row_idx INT, v ARRAY<DOUBLE>")
+    inputs = spark.createDataFrame([("m", list(map(float, r))) for r in x], "module STRING, x ARRAY<DOUBLE>")
+    got = numeric.gptq(df, inputs, 8).toPandas()
     q = np.stack([np.array(c) * np.repeat(s, 8) for c, s in zip(got["codes"], got["scales"])])
     assert (np.stack(got["codes"])[:, 3] == 0).all()
     rtn = np.rint(w / np.repeat(np.abs(w.reshape(8, 2, 8)).max(2) / 7, 8, axis=1)) * np.repeat(np.abs(w.reshape(8, 2, 8)).max(2) / 7, 8, axis=1)
