@@ -106,6 +106,8 @@ def script_language(w: str) -> str | None:
 
 def language_hits(text: str) -> Counter[str]:
     """Evidence of each language in a text: small words for Latin script, words or signs for the others."""
+    if text.isascii():
+        return Counter([_WORD_LANG[w] for w in _PLAIN_WORD.findall(text.lower()) if w in _WORD_LANG])
     hits: Counter[str] = Counter()
     get = _WORD_LANG.get
     for w in _WORD.findall(text.lower()):
@@ -266,7 +268,7 @@ def _key_of(words: list[str]) -> str:
 @lru_cache(maxsize=4096)
 def _about(question: str) -> frozenset[str]:
     """The question's words that say what it is about: four letters or more, small words aside."""
-    return frozenset(w for w in clause_words(question) if len(w) > 3 and w not in _WORD_LANG)
+    return frozenset(w for w in clause_words(question) if len(w) > 3 and w[0] > "9" and w not in _WORD_LANG)
 
 
 _shapes: dict[tuple[object, ...], list[int]] = {}
@@ -326,8 +328,8 @@ def features(
                         f += [bucket("w" + t[x : x + 2]) for x in range(len(t) - 1)]
                     elif k is not None:
                         hits[k] = hits.get(k, 0) + 1
-            content = any(len(t) > 3 and t not in small and not t[0].isdigit() for t in toks)
-            shared = len(about.intersection(toks)) if content else 0
+            content = [t for t in toks if len(t) > 3 and t[0] > "9" and t not in small]
+            shared = len(about.intersection(content)) if content else 0
             prose = "p" if hits or content else "n"
             if "ja" in hits and "zh" in hits:
                 hits["ja"] += hits.pop("zh")
@@ -493,10 +495,15 @@ def vocabulary(rows: DataFrame) -> DataFrame:
                 body, open_trace = split_trace(a) if a is not None else ("", True)
                 parts = [] if open_trace else clauses(body)
                 if parts:
-                    n.update(counted(body, parts))
+                    words = [clause_words(p) for p in parts]
+                    if body.isascii():
+                        flat = [w for w in chain.from_iterable(words) if w[0] > "9"]
+                        n.update(set(flat[:-1] if asked(parts) is not None else flat))
+                    else:
+                        n.update(counted(body, parts))
                     if not _stopped(parts[-1], False):
                         ends[_end_key(parts[-1])] += 1
-                    said += [_key_of(clause_words(p)) for p in parts]
+                    said += map(_key_of, words)
                     bit += [1 << (int(q) & 63)] * len(parts)
             h = _clause_hashes(said)
             order = np.argsort(h, kind="stable")
@@ -738,21 +745,24 @@ def is_copy(question: str, answer: str) -> bool:
 
 def judge(question: str, answer: str, labels: np.ndarray, sizes: list[int], told: list[bool]) -> str | None:
     """Defect of a pair from the coverage of its clauses; None for a sound one."""
-    n = np.array(sizes, dtype=float)
-    total = n.sum()
-    part = [n[labels == k].sum() / total if total else 0.0 for k in range(len(LABELS))]
-    if part[ECHO] >= 0.5 and is_copy(question, answer):
+    tags = labels.tolist()
+    if not any(tags):
+        return None
+    n = [0] * len(LABELS)
+    known = 0
+    for k, w, t in zip(tags, sizes, told):
+        n[k] += w
+        known += w if t else 0
+    total = sum(n)
+    if total and n[ECHO] >= 0.5 * total and is_copy(question, answer):
         return "copied"
-    if part[REFUSAL] > 0.5 and part[REFUSAL] >= 2 * part[ANSWER]:
+    if n[REFUSAL] > 0.5 * total and n[REFUSAL] >= 2 * n[ANSWER]:
         return "refusal"
-    known = n[np.array(told, dtype=bool)].sum()
-    if known and n[labels == FOREIGN].sum() > 0.5 * known:
+    if known and n[FOREIGN] > 0.5 * known:
         hits, ok = language_hits(_FENCE.sub(" ", answer)), allowed_languages(question)
         if hits and ok and max(hits, key=hits.__getitem__) not in ok:
             return "other_language"
-    if len(labels) and labels[-1] == UNFINISHED:
-        return "truncated"
-    return None
+    return "truncated" if tags[-1] == UNFINISHED else None
 
 
 def train(rows: DataFrame, sample: int = SAMPLE, words: DataFrame | None = None, seeds: re.Pattern[str] = SEEDS) -> Field:

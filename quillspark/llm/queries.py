@@ -177,7 +177,10 @@ SQL["p2_found"] = _RECORDS + "SELECT line_a, line_b FROM (SELECT min(line_no) OV
 SQL["p2_collapsed"] = _RECORDS + "SELECT min(line_no) AS line_no, count(*) AS n_copies, CAST(min(delivery) AS INTEGER) AS first_delivery FROM k GROUP BY k"
 
 _WORDS = "string_split(trim(regexp_replace(regexp_replace(lower(upper({x})), '\\p{{Cf}}', '', 'g'), '[\\s\\p{{Z}}\\p{{P}}\\p{{C}}]+', ' ', 'g')), ' ')"
-SQL["p7_found"] = f"""WITH t AS (SELECT item_id, {_WORDS.format(x="t")} AS w FROM (SELECT item_id, unnest(turns) AS t FROM bench_turns)),
+_PASSAGES = f"""WITH t AS (SELECT item_id, {_WORDS.format(x="t")} AS w FROM (SELECT item_id, unnest(turns) AS t FROM bench_turns)),
 a AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM t)),
-d AS (SELECT doc_id, {_WORDS.format(x="text")} AS w FROM documents WHERE text IS NOT NULL)
-SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)) JOIN a USING (g)"""
+d AS (SELECT doc_id, {_WORDS.format(x="text")} AS w FROM documents WHERE text IS NOT NULL),
+j AS (SELECT DISTINCT doc_id, item_id, g FROM (SELECT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)) JOIN a USING (g))
+"""
+SQL["p7_found"] = _PASSAGES + "SELECT DISTINCT doc_id, item_id FROM j"
+SQL["p7_report"] = _PASSAGES + "SELECT item_id, benchmark, count(*) AS n_docs, max(n) AS most_passages FROM (SELECT doc_id, item_id, count(*) AS n FROM j GROUP BY 1, 2) JOIN bench_turns USING (item_id) GROUP BY 1, 2"
