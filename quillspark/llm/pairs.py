@@ -76,6 +76,7 @@ _UNIT = re.compile(r"[\u3400-\u9fff]|[^\W\d_\u3400-\u9fff]+")  # words, and each
 _PLAIN_WORD, _PLAIN_WORD_OR_NUMBER = re.compile(r"[a-z]+"), re.compile(r"[a-z]+|[0-9]+")  # the same for ASCII, faster
 _WORD_OR_NUMBER = re.compile(r"[^\W\d_]+|\d+")
 _CUT = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[。？！])")
+_STOP = re.compile(r"[.!?\n]\s*")
 _MARK = re.compile(r"\s*(?:\d{1,2}[.)]|[-*•])\s*$")
 _LISTED = re.compile(r"(?:\d{1,2}[.)]|[-*•])\s")
 _FENCE = re.compile(r"(```.*?```|```.*\Z)", re.DOTALL)
@@ -133,6 +134,23 @@ def allowed_languages(question: str) -> set[str]:
     return out
 
 
+def _pieces(part: str) -> list[str]:
+    """A text cut by _CUT, ends stripped, nothing empty. ASCII texts are searched by a set of signs, which is faster than looking back."""
+    if not part.isascii():
+        return [x for x in map(str.strip, _CUT.split(part)) if x]
+    out, at = [], 0
+    for m in _STOP.finditer(part):
+        a, b = m.span()
+        if part[a] == "\n":
+            out.append(part[at:a].strip())
+            at = b
+        elif b > a + 1:
+            out.append(part[at : a + 1].strip())
+            at = b
+    out.append(part[at:].strip())
+    return [x for x in out if x]
+
+
 def clauses(answer: str) -> list[str]:
     """Sentences and lines of an answer; a code fence is one clause; a list mark belongs to what follows it."""
     out: list[str] = []
@@ -141,10 +159,7 @@ def clauses(answer: str) -> list[str]:
             out.append(part)
             continue
         mark = ""
-        for s in _CUT.split(part):
-            s = s.strip()
-            if not s:
-                continue
+        for s in _pieces(part):
             if len(s) < 8 and _MARK.fullmatch(s) and (out or mark):
                 mark = (mark + " " + s).strip()
             else:
@@ -271,16 +286,17 @@ def _about(question: str) -> frozenset[str]:
     return frozenset(w for w in clause_words(question) if len(w) > 3 and w[0] > "9" and w not in _WORD_LANG)
 
 
-_shapes: dict[tuple[object, ...], list[int]] = {}
-
-
-def _shape(shared: str, again: str, prose: str, quote: str, long: int, ratio: int, count: int) -> list[int]:
-    """Buckets of what sets answers apart that say nothing about the question."""
-    k = (shared, again, prose, quote, long, ratio, count)
-    got = _shapes.get(k)
-    if got is None:
-        got = _shapes[k] = [_bucket(x) for x in (shared, again, again + shared + prose + quote, f"{again}{shared}{prose}R{ratio}", f"{shared}{prose}L{long}", f"{again}{prose}N{count}")]
-    return got
+@lru_cache(maxsize=4096)
+def _shapes(long: int, ratio: int, count: int) -> list[list[int]]:
+    """Buckets of what sets answers apart that say nothing about the question, for answers of one length, length against the
+    question's and number of clauses: by 8 * words shared (0 for no word that says anything) + 4 * repeated + 2 * prose + quoted."""
+    out = []
+    for shared in ("s-", "s0", "s1", "s2"):
+        for again in ("once", "again"):
+            for prose in ("n", "p"):
+                for quote in ("", "q"):
+                    out.append([_bucket(x) for x in (shared, again, again + shared + prose + quote, f"{again}{shared}{prose}R{ratio}", f"{shared}{prose}L{long}", f"{again}{prose}N{count}")])
+    return out
 
 
 def features(
@@ -300,7 +316,8 @@ def features(
     bucket, small = _bucket, _WORD_LANG
     words = [clause_words(s) for s in parts] if words is None else words
     long, count = size_of or (sum(map(len, parts)), n)
-    scale = min(12, long.bit_length()), min(3, max(-3, long.bit_length() - len(question).bit_length())), min(count, 5)
+    shapes, lead = _shapes(min(12, long.bit_length()), min(3, max(-3, long.bit_length() - len(question).bit_length())), min(count, 5)), intro(cq)
+    new, echoed = bucket("new"), bucket("echo")
     base, first, near, far = bucket("b"), bucket("first"), bucket("near"), bucket("far")
     each: list[dict[str, int]] = []
     total: dict[str, int] = {}
@@ -309,7 +326,7 @@ def features(
         c = "".join(toks)  # canon(s)
         size = len(c)
         f = [base, first] if i == 0 else [base]
-        echo = size >= 6 and bool(cq) and (c in cq or size > 12 and c[-max(12, size - INTRO) :] in cq or cq in c and size <= len(cq) + intro(cq))
+        echo = size >= 6 and bool(cq) and (c in cq or size > 12 and c[-max(12, size - INTRO) :] in cq or cq in c and size <= len(cq) + lead)
         hits: dict[str, int] = {}
         if s.startswith("```"):
             f.append(bucket("code" if len(s) > 5 and s.endswith("```") else "open"))
@@ -330,15 +347,14 @@ def features(
                         hits[k] = hits.get(k, 0) + 1
             content = [t for t in toks if len(t) > 3 and t[0] > "9" and t not in small]
             shared = len(about.intersection(content)) if content else 0
-            prose = "p" if hits or content else "n"
             if "ja" in hits and "zh" in hits:
                 hits["ja"] += hits.pop("zh")
             for k, m in hits.items():
                 total[k] = total.get(k, 0) + m
             if i == n - 1:
                 f += [bucket(x) for x in _ending(s, _TOKENS.findall(s.lower()), n == 1, known)]
-            f += _shape("s-" if not content else f"s{min(2, shared)}", "again" if repeated[i] else "once", prose, "q" if '"' in s else "", *scale)
-        f.append(bucket("echo" if echo else "new"))
+            f += shapes[(8 * min(3, shared + 1) if content else 0) + (4 if repeated[i] else 0) + (2 if hits or content else 0) + ('"' in s)]
+        f.append(echoed if echo else new)
         out.append(f)
         sizes.append(size)
         each.append({} if echo else hits)
