@@ -7,8 +7,9 @@ stand at one place of otherwise equal records, and the words that records of a l
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,7 @@ _CUT = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[。？！])")
 _ENDED = re.compile(r"[.!?。？！:]\W*$")
 _PROSE = re.compile(r"[^\W\d_][^\W\d_\s.,!?'’;:-]*(?:[\s.,!?'’;:-]+[^\W\d_]+)*[\s.,!?'’;:-]*")
 _DIGITS, _GAPS = re.compile(r"\d+"), re.compile(r"\W+")
+_PLAIN = re.compile(r"[a-z0-9_]+")
 _UNIT = re.compile(r"[぀-ヿ㐀-鿿]|[^\W぀-ヿ㐀-鿿]+")
 _CAPITAL = re.compile(r"(?<=\w\s)(?=[A-ZÀ-ÞА-ЯЁ])")
 #: Signs outside of prose, its punctuation and light markup.
@@ -78,12 +80,14 @@ def sentences(text: str | None) -> tuple[list[str], int]:
 
 def skeleton(s: str) -> str:
     """What records of one template share of a sentence: its words in lower case, numbers as one."""
-    return _GAPS.sub(" ", _DIGITS.sub("0", s.lower())).strip()
+    t = _DIGITS.sub("0", s.lower())
+    return " ".join(_PLAIN.findall(t)) if t.isascii() else _GAPS.sub(" ", t).strip()
 
 
 def units(s: str) -> list[str]:
     """Words in lower case, numbers as one, each ideograph on its own."""
-    return _UNIT.findall(_DIGITS.sub("0", s.lower()))
+    t = _DIGITS.sub("0", s.lower())
+    return (_PLAIN if t.isascii() else _UNIT).findall(t)
 
 
 # frames: what stands around a place. 1: the word on either side. 3: up to three words on either side.
@@ -188,12 +192,12 @@ def _batch(schema: pa.Schema, cols: dict[str, object], n: int) -> pa.RecordBatch
 
 def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents, and behind them rows (lang, word, n) with the numbers of documents that hold each word."""
-    seen: Counter[tuple[str, str]] = Counter()
+    seen: defaultdict[str, Counter[str]] = defaultdict(Counter)
 
     def words() -> pa.RecordBatch:
-        got = _batch(_DOC, {"lang": [k for k, _ in seen], "word": [w for _, w in seen], "n": list(seen.values())}, len(seen))
+        rows = [(k, w, n) for k, by in seen.items() for w, n in by.items()]
         seen.clear()
-        return got
+        return _batch(_DOC, dict(zip(("lang", "word", "n"), zip(*rows))), len(rows))
 
     names = _DOC.names[:11]
     for batch in batches:
@@ -201,21 +205,19 @@ def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3))):
             segs, code = sentences(text)
             keys = [skeleton(s) for s in segs]
-            bag = units("\n".join(segs))
+            each = [k.split(" ") if k.isascii() else units(k) for k in keys]
+            n = [len(w) for w in each]
             if segs:
-                lang = (lang or "").strip().lower()[:2]
-                seen.update([(lang, w) for w in set(bag)])
-                seen[lang, ""] += 1
-            n = [k.count(" ") + 1 if k.isascii() else len(units(k)) for k in keys]
+                seen[(lang or "").strip().lower()[:2]].update({"", *chain.from_iterable(each)})
             lines = [not _ENDED.search(s) for s in segs]
-            alts = [x for i, s in enumerate(segs) for x in variants(i, s)] if not code and len(bag) <= PAGE_WORDS else []
+            alts = [x for i, s in enumerate(segs) for x in variants(i, s)] if not code and sum(n) <= PAGE_WORDS else []
             h = _hash([*keys, *(x[1] for x in alts), "\n".join(keys), (text or "").strip()]).tolist()
             alts = [{"seg": x[0], "key": y, "size": x[2], "part": x[3]} for x, y in zip(alts, h[len(keys) :])]
             at = [dict(zip(("seg", "kind", "frame", "name", "sign", "prose", "subs"), x)) for x in candidates(segs)]
-            page = h[-2] if segs and not code and len(bag) <= PAGE_WORDS else None
+            page = h[-2] if segs and not code and sum(n) <= PAGE_WORDS else None
             out.append((d, h[: len(keys)], [len(s) for s in segs], n, lines, bool(lines and lines[0] and len(segs) > 1), code, page, h[-1], alts, at))
         yield _batch(_DOC, dict(zip(names, zip(*out))) if out else {}, len(out))
-        if len(seen) > 500_000:
+        if sum(map(len, seen.values())) > 500_000:
             yield words()
     if seen:
         yield words()
