@@ -108,7 +108,8 @@ def labelled(df: DataFrame, ids: str = "input_ids") -> DataFrame:
 def calibration_candidates(rows: DataFrame, position: str, conversation: str, cap: int = CALIB_TOKENS, scan: int | None = None) -> DataFrame:
     """(position, bucket, n_tokens, n_assistant_tokens, user_md5, flattened, kept): parsed rows of a corpus. Reasoning is flattened
     into the answer, the bucket told from user and answer, lengths counted on the rendered conversation; kept is true for rows
-    up to cap tokens. scan takes the first rows of the order only (a feature)."""
+    up to cap tokens. scan takes the first rows of the order only (a feature). Written once, as a filter on a length would have it
+    rendered and counted again."""
     o = select.head(rows.select(position, conversation), [position], scan)
     o = o.select(position, chat.last_turns(chat.normal_roles(F.col(conversation))).alias("o")).filter("o IS NOT NULL")
     raw = F.col("o.assistant")
@@ -117,7 +118,7 @@ def calibration_candidates(rows: DataFrame, position: str, conversation: str, ca
     full = F.size(text.words(chat.render_chatml(F.array(turn("system"), turn("user"), turn("assistant")))))
     head = F.size(text.words(chat.render_chatml(F.array(turn("system"), turn("user")), generation_prompt=True)))
     got = o.select(position, text.classify_bucket(F.col("user"), F.col("assistant")).alias("bucket"), full.alias("n_tokens"), F.greatest(full - head, F.lit(0)).alias("n_assistant_tokens"), F.md5(text.collapse_space(F.col("user"))).alias("user_md5"), "flattened")
-    return got.withColumn("kept", F.col("n_tokens") <= cap)
+    return runtime.materialize(got.withColumn("kept", F.col("n_tokens") <= cap), "calibration")
 
 
 def mix_targets(mix: str = "eval", total: int = 1024, floor: int = 128) -> dict[str, int]:
