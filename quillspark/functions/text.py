@@ -89,14 +89,14 @@ def first_words(c: Column, n: int) -> Column:
     return F.when(F.size(words(c)) <= n, c).otherwise(F.regexp_extract(c, rf"^\s*(?:\S+\s+){{{n - 1}}}\S+", 0))
 
 
-_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))
 def word_offsets(texts: pd.Series) -> pd.Series:
     """The plain tokenizer's words: 0-based places of their first character and behind their last. In Arrow batches, as an
     array that grows word by word would be copied each time in the JVM."""
-    return pd.Series([[{"s": m.start(), "e": m.end()} for m in _WORD.finditer(t)] if t is not None else [] for t in texts], dtype=object)
+    return pd.Series([[{"s": m.start(), "e": m.end()} for m in WORD.finditer(t)] if t is not None else [] for t in texts], dtype=object)
 
 
 def escape_literal(s: str) -> str:

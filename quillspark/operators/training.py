@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark import runtime
 from quillspark.functions import chat, text
@@ -24,12 +29,28 @@ def encode(df: DataFrame, rendered: str, header: str, stop: str, vocabulary: int
     """df with input_ids and loss_mask of a column of rendered texts, with the plain tokenizer: the mask is 1 in the spans from behind
     each header to stop. Each step is a projection of its own, so that no text is rendered or searched twice."""
     t = F.col(rendered)
-    found = df.withColumns({"_at": text.word_offsets(t), "_sp": text.spans(t, header, stop, inside), "input_ids": F.transform(text.words(t), lambda w: text.word_id(w, vocabulary))})
-    sp = F.slice("_sp", F.greatest(F.size("_sp"), F.lit(1)), F.lit(1)) if last_only else F.col("_sp")
-    pick = lambda a, k: F.transform(a, lambda x: x[k])
-    ready = found.select(*df.columns, "input_ids", pick(F.col("_at"), "s").alias("_s"), pick(F.col("_at"), "e").alias("_e"), pick(sp, "a").alias("_a"), pick(sp, "b").alias("_b"))
-    mask = tokens.mask_by_spans(F.col("_s"), F.col("_e"), F.col("_a"), F.col("_b"), touching)
-    return ready.select(*df.columns, "input_ids", mask.alias("loss_mask"))
+    sp = text.spans(t, header, stop, inside)
+    found = df.withColumns({"_sp": F.slice(sp, F.greatest(F.size(sp), F.lit(1)), F.lit(1)) if last_only else sp, "input_ids": F.transform(text.words(t), lambda w: text.word_id(w, vocabulary))})
+    pick = lambda k: F.transform("_sp", lambda x: x[k])
+    return found.select(*df.columns, "input_ids", word_mask(touching)(t, pick("a"), pick("b")).alias("loss_mask"))
+
+
+def word_mask(touching: bool) -> Callable[..., Column]:
+    """A function of (text, span begins, span ends): 1 for each word of the plain tokenizer that touches a span (one that begins at
+    its end counts), or that lies in one whole, else 0. In Arrow batches: tests of each word against each span are interpreted in the JVM."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+        out = []
+        for t, a, b in zip(texts, begins, ends):
+            at = np.array([m.span() for m in text.WORD.finditer(t or "")], dtype=np.int64).reshape(-1, 2)
+            on = np.zeros(len(at), dtype=bool)
+            for x, y in zip(a, b):
+                on |= (at[:, 1] > x) & (at[:, 0] <= y) if touching else (at[:, 0] >= x) & (at[:, 1] <= y)
+            out.append(on.astype(np.int32))
+        return pd.Series(out, dtype=object)
+
+    return run
 
 
 class Parser:
