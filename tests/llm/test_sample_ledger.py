@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import hashlib
 from fractions import Fraction
 
 from pyspark.sql import functions as F
 
+from quillspark import runtime
 from quillspark.llm.sample_ledger import SelectionLedger, stable_sample
 
 
@@ -66,3 +68,53 @@ def test_cases(spark):
     got = {(r["id"], r["delivery"]) for r in stable_sample(df, Fraction(1)).collect()}
     assert got == {(u.lower(), -1), ("other", 1)}
     assert stable_sample(df, Fraction(0)).count() == 0 and stable_sample(df.limit(0)).count() == 0
+
+
+def drawn(deliveries, share=Fraction(1, 10)):
+    """Brute force: what is drawn from the new keys of each delivery, one after the other."""
+    seen, out = set(), set()
+    for keys_ in deliveries:
+        new = sorted({*keys_} - seen, key=lambda k: hashlib.md5(k.encode()).hexdigest() + k)
+        seen |= {*new}
+        out |= {*new[: int(share * len(seen)) - len(out)]}
+    return out
+
+
+def test_jobs_do_not_grow_with_the_deliveries(spark):
+    def run(batches):
+        spark.sparkContext.setJobGroup(f"ledger-{batches}", "")
+        got = keys(stable_sample(ids(spark, 900, batches)))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"ledger-{batches}"))
+
+    md5 = [hashlib.md5(str(k).encode()).hexdigest() for k in range(900)]
+    (few, a), (many, b) = run(3), run(60)
+    assert few == drawn([md5[k::3] for k in range(3)]) and many == drawn([md5[k::60] for k in range(60)])
+    assert 0 < b <= a + 2
+
+
+def test_late_and_fresh_deliveries_in_one_update(spark, tmp_path):
+    """A key of a known and a new delivery belongs to the round of the known ones, even where their number is higher."""
+    hexes = [hashlib.md5(str(k).encode()).hexdigest() for k in range(700)]
+    old = {4: hexes[:100], 7: hexes[100:200]}
+    new = {2: hexes[150:400], 4: hexes[90:130] + hexes[390:430], 7: hexes[380:500], 9: hexes[450:700], -5: hexes[:50]}
+    df = lambda x: spark.createDataFrame([(k, d) for d, ks in x.items() for k in ks], "id STRING, batch_no INT")
+    assert keys(stable_sample(df(old), path=str(tmp_path))) == drawn([old[4], old[7]])
+    got = stable_sample(df(new), path=str(tmp_path)).collect()
+    assert {r["id"] for r in got} == drawn([old[4], old[7], new[4] + new[7], new[-5], new[2], new[9]])
+    first = {k: d for d in (9, 2, 7, 4) for k in new[d]} | {k: d for d in (7, 4) for k in old[d]}
+    assert all(first[r["id"]] == r["delivery"] for r in got)
+    a = SelectionLedger(spark, str(tmp_path))
+    assert a.deliveries == {-5, 2, 4, 7, 9} and len(a.rounds) == 2
+    assert {*map(tuple, stable_sample(df(new), path=str(tmp_path)).collect())} == {*map(tuple, got)} and len(SelectionLedger(spark, str(tmp_path)).rounds) == 2
+
+
+def test_kth_smallest_by(spark):
+    rows = [(g, hashlib.md5(f"{g} {k}".encode()).hexdigest()) for g, n in ((-1, 1), (3, 40), (5, 900)) for k in range(n)]
+    want = {g: sorted(h for x, h in rows if x == g) for g in (-1, 3, 5)}
+    df, sizes = spark.createDataFrame(rows, "g INT, h STRING"), {g: len(x) for g, x in want.items()}
+    for leaf in (1, 10, 30, 2000):
+        for ks in ({-1: 1, 3: 40, 5: 1}, {-1: 0, 3: 17, 5: 333, 8: 4}, {5: 9999}):
+            got = runtime.kth_smallest_by(df, "g", "h", ks, sizes, leaf)
+            assert got == {g: want[g][min(k, sizes[g]) - 1] for g, k in ks.items() if k and g in sizes}
+    assert runtime.kth_smallest_by(df, "g", "h", {3: 0}, sizes) == {}
