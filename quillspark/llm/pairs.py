@@ -68,29 +68,44 @@ SCRIPTS = (
 )
 _SCRIPT_FROM = [a for a, _, _ in SCRIPTS]
 _ASKED_STEMS = tuple("japan|japon|япон|日|korea|corea|coré|корей|韩|arab|árab|араб|阿拉|engl|angl|inglés|англи|英|germ|deutsch|allem|alem|немец|德|fren|franz|fran|французск|法|spani|espa|castell|испан|西班|russ|ruso|русск|俄|chin|китай|中文|汉语".split("|"))
+_ASCII_STEMS = tuple(x for x in _ASKED_STEMS if x.isascii())
 _ASKED = {k: re.compile(rf"(?<![a-zа-я])(?:{v})", re.IGNORECASE) for k, v in ASKED.items()}
 UNSPACED = frozenset(["zh", "ja", "th"])
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _WORD = re.compile(r"[^\W\d_]+")
 _UNIT = re.compile(r"[\u3400-\u9fff]|[^\W\d_\u3400-\u9fff]+")  # words, and each ideograph on its own
-_PLAIN_WORD, _PLAIN_WORD_OR_NUMBER = re.compile(r"[a-z]+"), re.compile(r"[a-z]+|[0-9]+")  # the same for ASCII, faster
 _WORD_OR_NUMBER = re.compile(r"[^\W\d_]+|\d+")
 _CUT = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[。？！])")
-_STOP = re.compile(r"[.!?\n]\s*")
 _MARK = re.compile(r"\s*(?:\d{1,2}[.)]|[-*•])\s*$")
 _LISTED = re.compile(r"(?:\d{1,2}[.)]|[-*•])\s")
 _FENCE = re.compile(r"(```.*?```|```.*\Z)", re.DOTALL)
-_DROP, _PLAIN_RUN = re.compile(r"[\W_]+"), re.compile(r"[a-z0-9]+")
+_DROP = re.compile(r"[\W_]+")
 _DIGITS = re.compile(r"\d+")
 _SAYS = re.compile(r"[^\W_]")
 _END = re.compile(r"[.!?。？！…][\"'”»)\]*]*$|```$")
+_STOPS, _CLOSERS = frozenset(".!?。？！…"), "\"'”»)]*"
+# ASCII texts are taken apart by tables of bytes, which is much faster than by patterns: what isn't in a table's text is a space
+_ABC, _NUM = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+def _table(letters: str, digits: str, nul: str = " ") -> bytes:
+    to = {**dict(zip(_ABC, letters)), **dict(zip(_ABC.upper(), letters)), **dict(zip(_NUM, digits)), "\x00": nul}
+    return "".join(to.get(chr(i), " ") for i in range(128)).encode() + b" " * 128
+
+
+_LETTERS, _SAID, _LINES, _KINDS = _table(_ABC, " " * 10), _table(_ABC, _NUM, "\n"), _table(_ABC, "0" * 10, "\n"), _table("a" * 26, "0" * 10)
+_SILENT = bytes(i for i in range(128) if not chr(i).isalnum())
+_SILENT_BUT_NUL = _SILENT.replace(b"\x00", b"")
+_ODD_SPACE = b"\t\r\f\v\x1c\x1d\x1e\x1f"
+_BETWEEN = re.compile(rb"(?<=[a-z])(?=0)|(?<=0)(?=[a-z])")
 
 
 @lru_cache(maxsize=1024)
 def canon(text: str) -> str:
     """Letters and digits of a text, without case."""
-    t = text.casefold()
-    return "".join(_PLAIN_RUN.findall(t)) if t.isascii() else _DROP.sub("", t)
+    if text.isascii():
+        return text.encode().translate(_SAID, _SILENT).decode()
+    return _DROP.sub("", text.casefold())
 
 
 @lru_cache(maxsize=65_536)
@@ -105,17 +120,28 @@ def script_language(w: str) -> str | None:
     return "ja" if k == "zh" and any("\u3040" <= c <= "\u30ff" for c in w) else k
 
 
+class _WordLanguages(dict[str, "str | None"]):
+    """Language that each word seen is evidence of, as a small word or by its script."""
+
+    def __missing__(self, w: str) -> str | None:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[w] = _WORD_LANG.get(w) or script_language(w)
+        return got
+
+
+_word_languages = _WordLanguages()
+
+
 def language_hits(text: str) -> Counter[str]:
     """Evidence of each language in a text: small words for Latin script, words or signs for the others."""
     if text.isascii():
-        return Counter([_WORD_LANG[w] for w in _PLAIN_WORD.findall(text.lower()) if w in _WORD_LANG])
-    hits: Counter[str] = Counter()
-    get = _WORD_LANG.get
-    for w in _WORD.findall(text.lower()):
-        if k := get(w):
-            hits[k] += 1
-        elif k := script_language(w):
-            hits[k] += len(w) if k in UNSPACED else 1
+        return Counter(filter(None, map(_WORD_LANG.get, text.encode().translate(_LETTERS).decode().split())))
+    words = _WORD.findall(text.lower())
+    told = [_word_languages[w] for w in words]
+    hits = Counter(filter(None, told))
+    for k in UNSPACED.intersection(hits):
+        hits[k] = sum([len(w) for w, x in zip(words, told) if x == k])
     if "ja" in hits and "zh" in hits:
         hits["ja"] += hits.pop("zh")
     return hits
@@ -127,28 +153,21 @@ def allowed_languages(question: str) -> set[str]:
     prose = _FENCE.sub(" ", question) if "```" in question else question
     hits = language_hits(prose)
     top = max(hits.values(), default=0)
-    out = {k for k, n in hits.items() if top and n * 3 >= top}
+    out = set(hits) if len(hits) < 2 else {k for k, n in hits.items() if n * 3 >= top}
     low = prose.lower()
-    if out and any(x in low for x in _ASKED_STEMS):
-        out |= {k for k, p in _ASKED.items() if p.search(prose)}
+    if out:
+        for x in _ASCII_STEMS if low.isascii() else _ASKED_STEMS:
+            if x in low:
+                out |= {k for k, p in _ASKED.items() if p.search(prose)}
+                break
     return out
 
 
 def _pieces(part: str) -> list[str]:
-    """A text cut by _CUT, ends stripped, nothing empty. ASCII texts are searched by a set of signs, which is faster than looking back."""
-    if not part.isascii():
+    """A text cut by _CUT, ends stripped, nothing empty. ASCII texts without odd white space are cut at line ends put behind full stops."""
+    if not part.isascii() or len(part.encode().translate(None, _ODD_SPACE)) < len(part):
         return [x for x in map(str.strip, _CUT.split(part)) if x]
-    out, at = [], 0
-    for m in _STOP.finditer(part):
-        a, b = m.span()
-        if part[a] == "\n":
-            out.append(part[at:a].strip())
-            at = b
-        elif b > a + 1:
-            out.append(part[at : a + 1].strip())
-            at = b
-    out.append(part[at:].strip())
-    return [x for x in out if x]
+    return [x for x in map(str.strip, part.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")) if x]
 
 
 def clauses(answer: str) -> list[str]:
@@ -243,20 +262,21 @@ def asked(parts: list[str]) -> str | None:
 
 def counted(body: str, parts: list[str]) -> set[str]:
     """Words that an answer gives to the vocabulary: all but a last one without a full stop, which may be cut."""
-    words = (_PLAIN_WORD if body.isascii() else _UNIT).findall(body.lower())
+    words = body.encode().translate(_LETTERS).decode().split() if body.isascii() else _UNIT.findall(body.lower())
     return set(words[:-1] if asked(parts) is not None else words)
 
 
 def _stopped(s: str, alone: bool) -> bool:
-    return bool(_END.search(s)) and (alone or not _MARK.fullmatch(s))
+    s = s.removesuffix("\n")
+    return (s.rstrip(_CLOSERS)[-1:] in _STOPS or s.endswith("```")) and (alone or not _MARK.fullmatch(s))
 
 
-def _ending(s: str, toks: list[str], alone: bool, known: Container[str]) -> list[str]:
+def _ending(s: str, alone: bool, known: Container[str]) -> list[str]:
     """Features of how the last clause ends."""
     mark = not alone and bool(_MARK.fullmatch(s))
     if _stopped(s, alone):
         return ["last", "stop"]
-    t = [("0" if x[0].isdigit() else x) for x in toks[-3:]]
+    t = [("0" if x[0].isdigit() else x) for x in _TOKENS.findall(s.lower())[-3:]]
     f = ["last", "nostop", "e1" + t[-1] if t else "e1", "e2" + " ".join(t[-2:]), "e3" + " ".join(t[-3:])]
     if t and t[-1].isalpha() and _UNIT.findall(t[-1])[-1] not in known:
         f.append("e_unknown")
@@ -268,7 +288,32 @@ def _ending(s: str, toks: list[str], alone: bool, known: Container[str]) -> list
 
 
 def clause_words(s: str) -> list[str]:
-    return (_PLAIN_WORD_OR_NUMBER if s.isascii() else _WORD_OR_NUMBER).findall(s.casefold())
+    return _WORD_OR_NUMBER.findall(s.casefold())
+
+
+def said(parts: list[str]) -> tuple[list[list[str]], bytes | None]:
+    """Words of each clause, and what said_letters needs of them. ASCII clauses are taken together, their numbers told as 0."""
+    text = "\x00".join(parts)
+    if not text.isascii() or text.count("\x00") >= len(parts):
+        return [clause_words(s) for s in parts], None
+    raw = text.encode()
+    low = raw.translate(_LINES)
+    while b"00" in low:
+        low = low.replace(b"00", b"0")
+    kinds = low.translate(_KINDS)
+    if b"a0" in kinds or b"0a" in kinds:
+        low = _BETWEEN.sub(b" ", low)
+    return [x.split() for x in low.decode().split("\n")], raw
+
+
+def said_letters(words: list[list[str]], raw: bytes | None) -> list[str]:
+    """Canon of each clause."""
+    return ["".join(w) for w in words] if raw is None else raw.translate(_SAID, _SILENT_BUT_NUL).decode().split("\n")
+
+
+def said_keys(words: list[list[str]], raw: bytes | None) -> list[str]:
+    """Key of each clause."""
+    return [_key_of(w) for w in words] if raw is None else [" ".join(w) for w in words]
 
 
 def clause_key(s: str) -> str:
@@ -276,6 +321,12 @@ def clause_key(s: str) -> str:
     return _key_of(clause_words(s))
 
 
+def clause_keys(parts: list[str]) -> list[str]:
+    plain = [s for s in parts if s.isascii() and "\x00" not in s]
+    keys = iter(said_keys(*said(plain)))
+    return [next(keys) if s.isascii() and "\x00" not in s else clause_key(s) for s in parts]
+
+
 def _key_of(words: list[str]) -> str:
     return _DIGITS.sub("0", " ".join(words))
 
@@ -283,7 +334,8 @@ def _key_of(words: list[str]) -> str:
 @lru_cache(maxsize=4096)
 def _about(question: str) -> frozenset[str]:
     """The question's words that say what it is about: four letters or more, small words aside."""
-    return frozenset(w for w in clause_words(question) if len(w) > 3 and w[0] > "9" and w not in _WORD_LANG)
+    words = question.encode().translate(_LETTERS).decode().split() if question.isascii() else clause_words(question)
+    return frozenset([w for w in words if len(w) > 3 and w[0] > "9" and w not in _WORD_LANG])
 
 
 @lru_cache(maxsize=4096)
@@ -300,59 +352,67 @@ def _shapes(long: int, ratio: int, count: int) -> list[list[int]]:
 
 
 def features(
-    parts: list[str], question: str, allowed: set[str], known: Container[str], repeated: Sequence[bool], size_of: tuple[int, int] | None = None, words: list[list[str]] | None = None
+    parts: list[str], question: str, allowed: set[str], known: Container[str], repeated: Sequence[bool], size_of: tuple[int, int] | None = None, words: tuple[list[list[str]], bytes | None] | None = None
 ) -> tuple[list[list[int]], list[int], list[bool]]:
     """Features of each clause (bucket numbers), its weight in letters and digits (an ideograph has the weight of
     three), and whether it is prose of a known language. repeated tells which clauses answers to many questions share;
-    size_of gives the answer's characters and clauses where parts are its last ones only; words are the clauses' words if known.
+    size_of gives the answer's characters and clauses where parts are its last ones only; words is said(parts) if known.
 
     Beside words: how the clause ends, whether it echoes the question, its language (the answer's where its own is unclear), and what
     sets answers apart that say nothing about the question: the words it shares with it, whether it is repeated, and the
     answer's length against the question's.
     """
     cq, about = canon(question), _about(question)
+    long_q = len(cq)
     out, sizes, told = [], [], []
     n = len(parts)
     bucket, small = _bucket, _WORD_LANG
-    words = [clause_words(s) for s in parts] if words is None else words
+    words = said(parts) if words is None else words
+    letters = said_letters(*words)
     long, count = size_of or (sum(map(len, parts)), n)
     shapes, lead = _shapes(min(12, long.bit_length()), min(3, max(-3, long.bit_length() - len(question).bit_length())), min(count, 5)), intro(cq)
     new, echoed = bucket("new"), bucket("echo")
     base, first, near, far = bucket("b"), bucket("first"), bucket("near"), bucket("far")
     each: list[dict[str, int]] = []
     total: dict[str, int] = {}
-    for i, s in enumerate(parts):
-        toks = words[i]
-        c = "".join(toks)  # canon(s)
+    get, each_bucket = small.get, _word_buckets
+    for i, (s, toks, c) in enumerate(zip(parts, words[0], letters)):
         size = len(c)
         f = [base, first] if i == 0 else [base]
-        echo = size >= 6 and bool(cq) and (c in cq or size > 12 and c[-max(12, size - INTRO) :] in cq or cq in c and size <= len(cq) + lead)
+        echo = size >= 6 and long_q > 0 and (c[-12:] in cq and (c in cq or size > 12 and c[-max(12, size - INTRO) :] in cq) or long_q <= size <= long_q + lead and cq in c)
         hits: dict[str, int] = {}
         if s.startswith("```"):
             f.append(bucket("code" if len(s) > 5 and s.endswith("```") else "open"))
             if i == n - 1:
                 f += [bucket(x) for x in (("last", "stop") if len(s) > 5 and s.endswith("```") else ("last", "nostop", "e_open"))]
         else:
-            f += [_word_buckets[t] for t in toks]
-            for k in [small[t] for t in toks if t in small]:
-                hits[k] = hits.get(k, 0) + 1
+            f += [each_bucket[t] for t in toks]
+            for k in (langs := list(filter(None, map(get, toks)))):
+                if k not in hits:
+                    hits[k] = langs.count(k)
+                    if hits[k] == len(langs):
+                        break
             if not s.isascii():
                 for t in toks:
-                    k = script_language(t) if t not in small else None
+                    k = _word_languages[t] if t not in small else None
                     if k in UNSPACED:
                         hits[k] = hits.get(k, 0) + len(t)
                         size += 2 * len(t)
                         f += [bucket("w" + t[x : x + 2]) for x in range(len(t) - 1)]
                     elif k is not None:
                         hits[k] = hits.get(k, 0) + 1
-            content = [t for t in toks if len(t) > 3 and t[0] > "9" and t not in small]
-            shared = len(about.intersection(content)) if content else 0
+            content = False
+            for t in toks:
+                if len(t) > 3 and t[0] > "9" and t not in small:
+                    content = True
+                    break
+            shared = len(about.intersection(toks)) if content else 0
             if "ja" in hits and "zh" in hits:
                 hits["ja"] += hits.pop("zh")
             for k, m in hits.items():
                 total[k] = total.get(k, 0) + m
             if i == n - 1:
-                f += [bucket(x) for x in _ending(s, _TOKENS.findall(s.lower()), n == 1, known)]
+                f += [bucket(x) for x in _ending(s, n == 1, known)]
             f += shapes[(8 * min(3, shared + 1) if content else 0) + (4 if repeated[i] else 0) + (2 if hits or content else 0) + ('"' in s)]
         f.append(echoed if echo else new)
         out.append(f)
@@ -362,12 +422,18 @@ def features(
     for f, hits in zip(out, each):
         told.append(bool(hits))
         if hits:
-            best = max(hits, key=hits.__getitem__)
+            best = max(hits, key=hits.__getitem__) if len(hits) > 1 else next(iter(hits))
             lang = best if best == main or hits[best] >= max(3, 2 * hits.get(main, 0)) else main
             f.append(far if allowed and lang not in allowed else near)
     return out, sizes, told
 
 
+def _sums(emit: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of emit over each clause's features: flat has those of all clauses, size their numbers."""
+    start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+    return np.add.reduceat(emit[flat], start, axis=0) if len(flat) else np.zeros((0, len(LABELS)))
+
+
 @dataclass
 class Field:
     """A linear-chain conditional random field over hashed features."""
@@ -379,21 +445,28 @@ class Field:
 
     def scores(self, feats: list[list[int]]) -> np.ndarray:
         size = np.fromiter(map(len, feats), dtype=np.int64, count=len(feats))
-        flat = np.fromiter(chain.from_iterable(feats), dtype=np.int64, count=int(size.sum()))
-        start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        return np.add.reduceat(self.emit[flat], start, axis=0) if len(flat) else np.zeros((0, len(LABELS)))
+        return _sums(self.emit, np.fromiter(chain.from_iterable(feats), dtype=np.int64, count=int(size.sum())), size)
+
+    def row_scores(self, rows: list[list[list[int]]]) -> list[np.ndarray]:
+        """Scores of each row's clauses."""
+        e = self.scores([f for r in rows for f in r])
+        ends = np.cumsum([len(r) for r in rows]).tolist()
+        return [e[b - len(r) : b] for r, b in zip(rows, ends)]
 
     def decode(self, rows: list[list[list[int]]]) -> list[np.ndarray]:
-        """Best labels of each row (Viterbi), rows of like length side by side."""
+        """Best labels of each row."""
+        return self.best(self.row_scores(rows))
+
+    def best(self, rows: list[np.ndarray]) -> list[np.ndarray]:
+        """Best labels of each row (Viterbi) by its scores, rows of like length side by side."""
         out: list[np.ndarray] = [np.empty(0, dtype=int)] * len(rows)
-        order = sorted((i for i in range(len(rows)) if rows[i]), key=lambda i: len(rows[i]))
+        order = sorted((i for i in range(len(rows)) if len(rows[i])), key=lambda i: len(rows[i]))
         for k in range(0, len(order), 256):
             part = order[k : k + 256]
-            e = self.scores([f for i in part for f in rows[i]])
             n = np.array([len(rows[i]) for i in part])
             t = int(n.max())
             x = np.zeros((len(part), t, len(LABELS)))
-            x[np.arange(t)[None, :] < n[:, None]] = e
+            x[np.arange(t)[None, :] < n[:, None]] = np.concatenate([rows[i] for i in part])
             best, back = x[:, 0], np.zeros((len(part), t, len(LABELS)), dtype=np.int8)
             for j in range(1, t):
                 s = best[:, :, None] + self.move[None]
@@ -423,14 +496,17 @@ def fit_field(rows: list[tuple[list[list[int]], list[int]]], known: frozenset[st
     ge, gm = np.full((BUCKETS, k), 1e-2), np.full((k, k), 1e-2)
     rng = random.Random(seed)
     rows = [r for r in rows if r[0]]
-    model = Field(emit, move, known)
+    flats = [np.fromiter(chain.from_iterable(f), dtype=np.int64, count=sum(map(len, f))) for f, _ in rows]
+    counts = [np.fromiter(map(len, f), dtype=np.int64, count=len(f)) for f, _ in rows]
+    golds = [np.array(y) for _, y in rows]
+    columns = np.arange(k)
     for _ in range(epochs):
         order = sorted(range(len(rows)), key=lambda i: (min(len(rows[i][0]) // 4, 12), rng.random()))
         batches = [order[i : i + 64] for i in range(0, len(order), 64)]
         rng.shuffle(batches)
         for part in batches:
-            feats = [f for i in part for f in rows[i][0]]
-            e = model.scores(feats)
+            flat, size = np.concatenate([flats[i] for i in part]), np.concatenate([counts[i] for i in part])
+            e = _sums(emit, flat, size)
             n = np.array([len(rows[i][0]) for i in part])
             b, t = len(part), int(n.max())
             on = np.arange(t)[None, :] < n[:, None]
@@ -445,13 +521,10 @@ def fit_field(rows: list[tuple[list[list[int]], list[int]]], known: frozenset[st
             for j in range(t - 2, -1, -1):
                 w[:, j] = np.where(on[:, j + 1, None], _lse(move[None] + (x[:, j + 1] + w[:, j + 1])[:, None, :], 2), 0.0)
             p = np.exp(a + w - z[:, None, None])[on]
-            gold = np.concatenate([np.array(rows[i][1]) for i in part])
+            gold = np.concatenate([golds[i] for i in part])
             p[np.arange(len(p)), gold] -= 1
-            flat = np.fromiter((q for f in feats for q in f), dtype=np.int64)
-            per = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
             uniq, inv = np.unique(flat, return_inverse=True)
-            g = np.zeros((len(uniq), k))
-            np.add.at(g, inv, p[per])
+            g = np.bincount((inv[:, None] * k + columns).ravel(), np.repeat(p, size, axis=0).ravel(), len(uniq) * k).reshape(-1, k)
             g = g / b + decay * emit[uniq]
             ge[uniq] += g * g
             emit[uniq] -= rate * g / np.sqrt(ge[uniq])
@@ -461,13 +534,11 @@ def fit_field(rows: list[tuple[list[list[int]], list[int]]], known: frozenset[st
                 if live.any():
                     pair = a[live, j - 1, :, None] + move[None] + (x[live, j] + w[live, j])[:, None, :] - z[live, None, None]
                     gt += np.exp(pair).sum(0)
-            for i in part:
-                y = rows[i][1]
-                np.subtract.at(gt, (y[:-1], y[1:]), 1)
+            np.subtract.at(gt, (np.concatenate([golds[i][:-1] for i in part]), np.concatenate([golds[i][1:] for i in part])), 1)
             gt /= b
             gm += gt * gt
             move -= rate * gt / np.sqrt(gm)
-    return model
+    return Field(emit, move, known)
 
 
 def _masked(s: str) -> str:
@@ -505,23 +576,27 @@ def vocabulary(rows: DataFrame) -> DataFrame:
             return got
 
         for pdf in batches:
-            said: list[str] = []
+            keys: list[str] = []
             bit: list[int] = []
             for a, q in zip(pdf["a"], pdf["q"]):
                 body, open_trace = split_trace(a) if a is not None else ("", True)
                 parts = [] if open_trace else clauses(body)
                 if parts:
-                    words = [clause_words(p) for p in parts]
-                    if body.isascii():
-                        flat = [w for w in chain.from_iterable(words) if w[0] > "9"]
-                        n.update(set(flat[:-1] if asked(parts) is not None else flat))
+                    words = said(parts)
+                    if words[1] is not None:
+                        own = set(chain.from_iterable(words[0]))
+                        own.discard("0")
+                        last = asked(parts)
+                        if last is not None and sum(w.count(last) for w in words[0]) == 1:
+                            own.discard(last)
+                        n.update(own)
                     else:
                         n.update(counted(body, parts))
                     if not _stopped(parts[-1], False):
                         ends[_end_key(parts[-1])] += 1
-                    said += map(_key_of, words)
+                    keys += said_keys(*words)
                     bit += [1 << (int(q) & 63)] * len(parts)
-            h = _clause_hashes(said)
+            h = _clause_hashes(keys)
             order = np.argsort(h, kind="stable")
             h, b = h[order], np.array(bit, dtype=np.uint64)[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
@@ -554,6 +629,7 @@ class Example:
     mine: bool
     size: tuple[int, int]
     again: list[bool] | None = None  # which clauses count as repeated, where not looked up
+    found: list[list[int]] | None = None  # its features, once found
 
 
 def _example(parts: list[str], q: str, label: int, body: str | None = None) -> Example:
@@ -568,18 +644,20 @@ def _featured(made: list[Example], look: Look, told: Callable[[list[str]], np.nd
     """Features and labels of examples, and the words at their ends that are known: a word is known to an example where an
     answer other than its own has it, as for the rows tagged later."""
     n = look([_word_key(x.last) for x in made if x.last is not None])
-    again = told([p for x in made if x.again is None for p in x.parts])
+    again = told([p for x in made if x.found is None and x.again is None for p in x.parts])
     known: set[str] = set()
     out, at = [], 0
     for x in made:
         if here := x.last is not None and n.get(_word_key(x.last), 0) - x.mine >= 1:
             known.add(x.last)
-        if x.again is None:
-            flags = again[at : at + len(x.parts)].tolist()
-            at += len(x.parts)
-        else:
-            flags = x.again
-        out.append((features(x.parts, x.question, allowed_languages(x.question), {x.last} if here else (), flags, x.size)[0], x.labels))
+        if x.found is None:
+            if x.again is None:
+                flags = again[at : at + len(x.parts)].tolist()
+                at += len(x.parts)
+            else:
+                flags = x.again
+            x.found = features(x.parts, x.question, allowed_languages(x.question), {x.last} if here else (), flags, x.size)[0]
+        out.append((x.found, x.labels))
     return out, frozenset(known)
 
 
@@ -807,7 +885,7 @@ def train(rows: DataFrame, sample: int = SAMPLE, words: DataFrame | None = None,
         n = {r["key"]: r["n"] for r in words.join(F.broadcast(few), "key").collect()}
         return {k: n.get(x, 0) for k, x in zip(keys, h)}
 
-    model = fit(made, look, lambda parts: bits.hits(shared, _clause_hashes([clause_key(p) for p in parts])), max(3, 3 * n_rows / sample), seeds=seeds)
+    model = fit(made, look, lambda parts: bits.hits(shared, _clause_hashes(clause_keys(parts))), max(3, 3 * n_rows / sample), seeds=seeds)
     return replace(model, repeated=shared)
 
 
@@ -868,7 +946,13 @@ def defects(rows: DataFrame, field: Field | None = None, sample: int = SAMPLE) -
         emit = np.zeros((BUCKETS, len(LABELS)), dtype=np.float32)
         emit[used] = w
         model = Field(emit, move, trusted)
-        unknown = [_bucket("e_unknown")]
+        unknown = emit[_bucket("e_unknown")]
+
+        def if_unknown(e: np.ndarray) -> np.ndarray:
+            e = e.copy()
+            e[-1] += unknown
+            return e
+
         for pdf in batches:
             out: list[tuple[int, str | None, str | None, str | None, int]] = []  # id, defect, defect if the last word is unknown, that word, is it elsewhere in the row
             split: list[tuple[int, str, str, list[str]]] = []
@@ -880,23 +964,25 @@ def defects(rows: DataFrame, field: Field | None = None, sample: int = SAMPLE) -
                     out.append((i, "empty", None, None, 0))
                 else:
                     split.append((i, q, body, clauses(body)))
-            words = [[clause_words(p) for p in parts] for *_, parts in split]
-            h = _clause_hashes([_key_of(w) for ws in words for w in ws])
-            flags = np.zeros(len(h), dtype=bool)
-            for m in maps:
-                flags |= bits.hits(m, h)
-            todo: list[tuple[int, str, str, list[list[int]], list[int], list[bool], str | None, list[str]]] = []
-            at = 0
-            for (i, q, body, parts), ws in zip(split, words):
-                last = asked(parts)
-                if last in trusted:
-                    last = None
-                got = features(parts, q, allowed_languages(q), _All(), flags[at : at + len(parts)].tolist(), None, ws)
-                at += len(parts)
-                todo.append((i, q, body, *got, last, parts))
+            todo: list[tuple[int, str, str, np.ndarray, list[int], list[bool], str | None, list[str]]] = []
+            for k in range(0, len(split), 256):  # so few that their words stay in the cache
+                some = split[k : k + 256]
+                words = [said(parts) for *_, parts in some]
+                h = _clause_hashes([k for w in words for k in said_keys(*w)])
+                flags = np.zeros(len(h), dtype=bool)
+                for m in maps:
+                    flags |= bits.hits(m, h)
+                at = 0
+                got = []
+                for (_, q, _, parts), ws in zip(some, words):
+                    got.append(features(parts, q, allowed_languages(q), _All(), flags[at : at + len(parts)].tolist(), None, ws))
+                    at += len(parts)
+                for (i, q, body, parts), (_, sizes, prose), e in zip(some, got, model.row_scores([f for f, _, _ in got])):
+                    last = asked(parts)
+                    todo.append((i, q, body, e, sizes, prose, None if last in trusted else last, parts))
             both = [t for t in todo if t[6] is not None]
-            other = {id(t): judge(t[1], t[2], y, t[4], t[5]) for t, y in zip(both, model.decode([[*t[3][:-1], t[3][-1] + unknown] for t in both]))}
-            for t, y in zip(todo, model.decode([t[3] for t in todo])):
+            other = {id(t): judge(t[1], t[2], y, t[4], t[5]) for t, y in zip(both, model.best([if_unknown(t[3]) for t in both]))}
+            for t, y in zip(todo, model.best([t[3] for t in todo])):
                 d = judge(t[1], t[2], y, t[4], t[5])
                 e = other.get(id(t), d)
                 if d or e:

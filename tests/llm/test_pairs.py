@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from llm_rows import REGEN, msgs
 from pyspark.sql import functions as F
@@ -114,3 +116,50 @@ def test_field_is_kept_for_the_same_files(spark, sf, monkeypatch):
     monkeypatch.setattr(pairs, "train", None)
     b = pairs.trained(rows.select("*"), 200)
     assert (a.emit == b.emit).all() and a.known == b.known and (a.repeated == b.repeated).all()
+
+
+ODD = ["", "7", "B2B in 1999 3rd_try 007x", "a.b  c!\tD?\x1c e", "One.\r\nTwo. Three!\n\n\n? four", "x\x00y. Z", "1) Say 10 000 kg (20%). 2) No_1 ...", "Straße 5. Ёж ٣ 雪が降る。 Ja?", "Said \"so.\") Then", "```a1 = 0x00\n```", "00 0a a00 0", "end.\n", "end.* ", "what?!  yes"]
+
+
+def test_texts_are_taken_apart_as_by_the_patterns():
+    """Tables of bytes give what the patterns of clauses, words, keys and endings say, on odd texts too."""
+    for parts in [*([x] for x in ODD), ODD, [x for x in ODD if x.isascii() and "\x00" not in x]]:
+        words, raw = pairs.said(parts)
+        want = [pairs._WORD_OR_NUMBER.findall(x.replace("_", " ").casefold()) for x in parts]
+        want = [[y for w in ws for y in (pairs.re.findall("[a-z]+|[0-9]+", w) if w.isascii() else [w])] for ws in want]
+        assert [["0" if w.isascii() and w.isdigit() else w for w in ws] for ws in words] == [["0" if w.isascii() and w.isdigit() else w for w in ws] for ws in want]
+        assert pairs.said_letters(words, raw) == [pairs._DROP.sub("", x.casefold()) for x in parts] == [pairs.canon(x) for x in parts]
+        assert pairs.said_keys(words, raw) == pairs.clause_keys(parts) == [pairs.clause_key(x) for x in parts]
+    for x in ODD:
+        assert pairs._pieces(x) == [y for y in map(str.strip, pairs._CUT.split(x)) if y]
+        assert pairs._stopped(x, True) is bool(pairs._END.search(x))
+
+
+def test_taking_apart_is_cheaper_than_the_patterns():
+    texts = [f"The lamps of room {i} are on, and the team of 12 people knows it by now. See the 3rd harbour! Is it wet?\n- It was {i * 7} times." * 5 for i in range(300)]
+
+    def tables():
+        return [pairs.said_keys(*pairs.said(pairs._pieces(x))) for x in texts]
+
+    def patterns():
+        return [[pairs._DIGITS.sub("0", " ".join(pairs._WORD_OR_NUMBER.findall(y.casefold()))) for y in map(str.strip, pairs._CUT.split(x)) if y] for x in texts]
+
+    def cost(f):
+        took = []
+        for _ in range(5):
+            began = time.thread_time()
+            f()
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    assert [len(x) for x in tables()] == [len(x) for x in patterns()] and cost(tables) < 0.7 * cost(patterns)
+
+
+def test_features_of_an_example_are_found_once():
+    made = [pairs._example(["The lamps are on.", "It is wet"], Q, pairs.ANSWER)]
+
+    def told(parts):
+        return pairs.np.zeros(len(parts), dtype=bool)
+
+    first, again = (pairs._featured(made, lambda keys: {}, told)[0] for _ in range(2))
+    assert first == again and first[0][0] is again[0][0]
